@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from coldgraph.functions.skew import HOT_ROWS, attach, hot_keys
+from coldgraph.functions.vectors import sum_vectors
 
 
 def neighbor_sums(
@@ -20,13 +21,8 @@ def neighbor_sums(
     """
     sources = vectors.select(F.col("id").alias("src"), "x")
     joined = attach(links, sources, "src", ["dst"], hot_rows=hot_rows)
-    summed = joined.groupBy(F.col("dst").alias("id")).agg(
-        F.sum("weight").alias("degree"),
-        *[F.sum(F.col("weight") * F.col("x")[i]).alias(f"s{i}") for i in range(d)],
-    )
-    return summed.select(
-        "id", F.array(*[F.col(f"s{i}") for i in range(d)]).alias("sums"), "degree"
-    )
+    named = joined.withColumnRenamed("dst", "id")
+    return sum_vectors(named, "id", "x", d, "weight", "sums", degree=F.sum("weight"))
 
 
 class LinkTable:

@@ -22,6 +22,14 @@ def generalized_eigh(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return values, inverse.T @ vectors
 
 
-def chebyshev_scale(cut: float) -> tuple[float, float]:
-    """Centre and half-width of the interval [-1, cut] that the filter damps."""
-    return (cut - 1) / 2, (cut + 1) / 2
+def filter_roots(cut: float, degree: int) -> list[float]:
+    """Roots of the Chebyshev polynomial on [-1, cut], large and small ones in turn.
+
+    The product of (A - root) is small on that interval and grows fast above it.
+    """
+    angles = np.pi * (np.arange(degree) + 0.5) / degree
+    roots = sorted((cut - 1) / 2 + (cut + 1) / 2 * np.cos(angles))
+    half = degree // 2
+    low, high = roots[:half], roots[half:][::-1]
+    turns = [r for pair in zip(high, low) for r in pair]
+    return [float(r) for r in turns + high[half:]]

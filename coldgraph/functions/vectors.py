@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIGITS = 6
+SUM_BLOCK = 16
 
 
 def rounded(column: Column) -> Column:
@@ -52,15 +53,40 @@ def long_form(df: DataFrame, column: str, *keys: str) -> DataFrame:
     )
 
 
-def weighted_sums(df: DataFrame, key: str, column: str, d: int, weight: str) -> list[Column]:
-    """``d`` sums, one per element. Wide sums combine map-side; exploding the
-    vectors would multiply the shuffled rows by ``d``."""
-    return [F.sum(F.col(weight) * F.col(column)[i]).alias(f"s{i}") for i in range(d)]
+def sum_vectors(
+    df: DataFrame, key: str, column: str, d: int, weight: str | None, out: str, **extra: Column
+) -> DataFrame:
+    """``(key, out, extra...)``: element-wise sums of ``weight * column`` per key.
 
+    Vectors are cut into blocks of ``SUM_BLOCK`` elements, and each block is summed
+    as plain columns. Blocks combine map-side, unlike collected vectors, and the
+    generated loop stays small enough for the JIT whatever the vector length.
+    ``extra`` aggregates are taken once per key.
+    """
 
-def sum_vectors(df: DataFrame, key: str, column: str, d: int, weight: str) -> DataFrame:
-    sums = df.groupBy(key).agg(*weighted_sums(df, key, column, d, weight))
-    return sums.select(key, F.array(*[F.col(f"s{i}") for i in range(d)]).alias(column))
+    factor = "" if weight is None else f"`{weight}` * "
+    counted = [c.alias(n) for n, c in extra.items()]
+    if d <= SUM_BLOCK:
+        sums = [F.expr(f"sum({factor}`{column}`[{i}]) AS s{i}") for i in range(d)]
+        values = F.expr(f"array({', '.join(f's{i}' for i in range(d))})")
+        return df.groupBy(key).agg(*sums, *counted).select(key, values.alias(out), *extra)
+    blocks = ", ".join(
+        f"struct({b} AS block, slice(`{column}`, {b * SUM_BLOCK + 1}, {SUM_BLOCK}) AS part)"
+        for b in range(-(-d // SUM_BLOCK))
+    )
+    rest = [c for c in df.columns if c != column]
+    sums = [F.expr(f"sum({factor}get(part, {i})) AS s{i}") for i in range(SUM_BLOCK)]
+    partial = (
+        df.select(*rest, F.expr(f"inline(array({blocks}))"))
+        .groupBy(key, "block")
+        .agg(*sums, *counted)
+    )
+    values = f"array({', '.join(f's{i}' for i in range(SUM_BLOCK))})"
+    joined = partial.groupBy(key).agg(
+        F.expr(f"array_sort(collect_list(struct(block, {values} AS values))) AS parts"),
+        *[F.max(n).alias(n) for n in extra],
+    )
+    return joined.select(key, F.slice(F.flatten("parts.values"), 1, d).alias(out), *extra)
 
 
 def matrix(array: pa.Array | pa.ChunkedArray, d: int) -> np.ndarray:

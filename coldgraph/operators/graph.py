@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import is_integer, split_bucket
 from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.vectors import sum_vectors
 from coldgraph.sources.tables import require
 
 
@@ -158,27 +159,22 @@ def cooccurrence_sums(
     """
     vectors = nodes.select(F.col("id").alias("entity"), F.col("features").alias("x"))
     placed = attach(pairs, vectors, "entity", ["context"], hot_rows=hot_rows)
-    totals = placed.groupBy("context").agg(
-        F.count(F.lit(1)).alias("size"),
-        *[F.sum(F.col("x")[i]).alias(f"t{i}") for i in range(d)],
-    )
-    totals = totals.select(
-        "context", "size", F.array(*[F.col(f"t{i}") for i in range(d)]).alias("total")
-    )
+    totals = sum_vectors(placed, "context", "x", d, None, "total", size=F.count(F.lit(1)))
     known = pairs.join(vectors.select("entity"), "entity", "left_semi")
     read_back = attach(known, totals, "context", ["entity"], hot_rows=hot_rows)
-    gathered = read_back.groupBy("entity").agg(
-        F.sum(F.col("size") - 1).cast("double").alias("degree"),
-        F.count(F.lit(1)).alias("contexts"),
-        *[F.sum(F.col("total")[i]).alias(f"s{i}") for i in range(d)],
+    gathered = sum_vectors(
+        read_back,
+        "entity",
+        "total",
+        d,
+        None,
+        "sums",
+        degree=F.sum(F.col("size") - 1).cast("double"),
+        contexts=F.count(F.lit(1)),
     )
-    own = gathered.join(vectors, "entity")
-    return own.select(
-        F.col("entity").alias("id"),
-        F.array(*[F.col(f"s{i}") - F.col("contexts") * F.col("x")[i] for i in range(d)]).alias(
-            "sums"
-        ),
-        "degree",
+    without_own = F.zip_with("sums", "x", lambda s, x: s - F.col("contexts") * x)
+    return gathered.join(vectors, "entity").select(
+        F.col("entity").alias("id"), without_own.alias("sums"), "degree"
     )
 
 

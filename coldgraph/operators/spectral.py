@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.functions.propagation import LinkTable, neighbor_sums
 from coldgraph.functions.skew import HOT_ROWS, attach
-from coldgraph.functions.solvers import chebyshev_scale, fix_signs, generalized_eigh
+from coldgraph.functions.solvers import filter_roots, fix_signs, generalized_eigh
 from coldgraph.functions.vectors import collect_products, dimension, map_vectors, product_sums
 from coldgraph.operators.graph import symmetric
 from coldgraph.session import materialize
@@ -78,30 +78,16 @@ def rayleigh(edges: DataFrame, coords: DataFrame, hot_rows: int = HOT_ROWS) -> D
     """
     k = dimension(coords, "z")
     rows = _summed_nodes(coords.select("id", F.col("z").alias("x")), edges, k, hot_rows)
-    parts = rows.agg(
-        F.sum("degree").alias("total"),
-        *[
-            column
-            for i in range(k)
-            for column in (
-                F.sum(F.col("degree") * F.col("x")[i] * F.col("x")[i]).alias(f"q{i}"),
-                F.sum(F.col("degree") * F.col("x")[i]).alias(f"m{i}"),
-                F.sum(F.col("x")[i] * F.col("sums")[i]).alias(f"a{i}"),
-            )
-        ],
-    )
-    triples = F.array(
-        *[
-            F.struct(
-                (F.col(f"q{i}") - F.col(f"a{i}")).alias("rough"),
-                (F.col(f"q{i}") - F.col(f"m{i}") * F.col(f"m{i}") / F.col("total")).alias("spread"),
-            )
-            for i in range(k)
-        ]
-    )
-    return parts.select(F.posexplode(triples).alias("dim", "t")).select(
-        "dim", F.when(F.col("t.spread") > 0, F.col("t.rough") / F.col("t.spread")).alias("value")
+    elements = rows.select("degree", F.posexplode(F.arrays_zip("x", "sums")).alias("dim", "e"))
+    d, z = F.col("degree"), F.col("e.x")
+    parts = elements.groupBy("dim").agg(
+        F.sum(z * (d * z - F.col("e.sums"))).alias("rough"),
+        F.sum(d * z * z).alias("square"),
+        F.sum(d * z).alias("first"),
+        F.sum(d).alias("total"),
     )
+    spread = F.col("square") - F.col("first") * F.col("first") / F.col("total")
+    return parts.select("dim", F.when(spread > 0, F.col("rough") / spread).alias("value"))
 
 
 def spectral_moments(
@@ -333,9 +319,9 @@ def spectral_embedding(
 ) -> DataFrame:
     """``(id, z)``: leading non-trivial eigenvectors of D^-1/2 A D^-1/2, scaled by D^-1/2.
 
-    Chebyshev-filtered block iteration. The three-term recurrence is one join and
-    one aggregate per step: a self-link of every node carries the former iterate, so
-    the state is read once and the plan grows linearly. Each round ends with a
+    Chebyshev-filtered block iteration, the filter taken as a product of factors
+    (A - root). A self-link of every node carries the root term, so a step reads the
+    state once: one join without shuffle, one aggregate. Each round ends with a
     written table and a small Rayleigh-Ritz problem on the driver. Iteration
     stops when the kept Ritz values move less than ``tolerance``.
     """
@@ -358,22 +344,13 @@ def spectral_embedding(
         links.release()
 
 
-def _step(links: LinkTable, state: DataFrame, width: int, center: float, half: float, first: bool):
-    """One term of the recurrence on state ``(id, c0.., p0..)``: current and former block."""
-    joined = links.join(state)
-    own = F.col("weight").isNull()
-    columns = []
-    for i in range(width):
-        current, former = F.col(f"c{i}"), F.col(f"p{i}")
-        factor = (1.0 if first else 2.0) / half
-        message = F.when(own, -center * factor * current).otherwise(
-            F.col("weight") * factor * current
-        )
-        if not first:
-            message = message - F.when(own, former).otherwise(0.0)
-        columns.append(F.sum(message).alias(f"c{i}"))
-        columns.append(F.max(F.when(own, current)).alias(f"p{i}"))
-    return joined.groupBy(F.col("dst").alias("id")).agg(*columns)
+def _step(links: LinkTable, state: DataFrame, width: int, root: float, keep: bool = False):
+    """State ``(id, c0..)`` times (A - root); ``keep`` also passes the former block on."""
+    joined = links.join(state).withColumn("factor", F.coalesce("weight", F.lit(-root)))
+    columns = [f"sum(factor * c{i}) AS c{i}" for i in range(width)]
+    if keep:
+        columns += [f"max(CASE WHEN weight IS NULL THEN c{i} END) AS p{i}" for i in range(width)]
+    return joined.groupBy(F.col("dst").alias("id")).agg(*[F.expr(c) for c in columns])
 
 
 def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
@@ -385,21 +362,16 @@ def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
     blocks = base.select("id", *[c.alias(f"c{i}") for i, c in enumerate(start)])
     cut, former = 0.0, None
     for _ in range(rounds):
-        center, half = chebyshev_scale(cut)
-        state = blocks.select(
-            "id",
-            *[F.col(f"c{i}") for i in range(width)],
-            *[F.lit(0.0).alias(f"p{i}") for i in range(width)],
-        )
-        for step in range(degree):
-            state = _step(links, state, width, center, half, first=step == 0)
+        state = blocks
+        for root in filter_roots(cut, degree):
+            state = _step(links, state, width, root)
         # One plain product A X, next to X, for the Rayleigh-Ritz sums.
-        state = _step(links, state, width, 0.0, 1.0, first=True)
+        state = _step(links, state, width, 0.0, keep=True)
         pair = materialize(
-            state.select(
+            state.selectExpr(
                 "id",
-                F.array(*[F.col(f"p{i}") for i in range(width)]).alias("x"),
-                F.array(*[F.col(f"c{i}") for i in range(width)]).alias("ax"),
+                f"array({', '.join(f'p{i}' for i in range(width))}) AS x",
+                f"array({', '.join(f'c{i}' for i in range(width))}) AS ax",
             ),
             "iterate",
         )
@@ -409,37 +381,32 @@ def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
         )
         rotation, values = _ritz(sums["g"], sums["h"])
         cut = float(np.clip(values[-1], -0.5, 0.95))
-        blocks = pair.select(
-            "id",
-            *[_combination("x", rotation[:, i]).alias(f"c{i}") for i in range(rotation.shape[1])],
-        )
+        rotated = _rotate(pair, width, rotation)
         width = rotation.shape[1]
+        blocks = rotated.selectExpr("id", *[f"x[{i}] AS c{i}" for i in range(width)])
         kept = values[: min(k, len(values))]
         if former is not None and np.abs(kept - former[: len(kept)]).max() < tolerance:
             break
         former = kept
     kept = min(k, width - 1)
-    scaled = blocks.join(base, "id").select(
-        "id", *[(F.col(f"c{i + 1}") / F.sqrt("degree")).alias(f"z{i}") for i in range(kept)]
-    )
-    signs = _largest_signs(scaled, kept)
-    return scaled.select(
-        "id", F.array(*[F.col(f"z{i}") * float(signs[i]) for i in range(kept)]).alias("z")
+    scaled = rotated.join(base, "id").select(
+        "id",
+        F.transform(F.slice("x", 2, kept), lambda x: x / F.sqrt("degree")).alias("z"),
     )
+    signs = F.array(*[F.lit(s) for s in _largest_signs(scaled, kept)])
+    return scaled.select("id", F.zip_with("z", signs, lambda z, s: z * s).alias("z"))
 
 
-def _largest_signs(df: DataFrame, k: int) -> list[float]:
-    row = df.agg(
-        *[F.max_by(F.col(f"z{i}"), F.abs(F.round(F.col(f"z{i}"), 9))).alias(f"z{i}") for i in range(k)]
-    ).first()
-    return [-1.0 if (row[i] or 0.0) < 0 else 1.0 for i in range(k)]
+def _rotate(pair: DataFrame, width: int, rotation: np.ndarray) -> DataFrame:
+    return map_vectors(pair, "x", width, lambda x: x @ rotation, "x", "id")
 
 
-def _combination(column: str, coefficients: np.ndarray):
-    total = F.lit(0.0)
-    for i, c in enumerate(coefficients):
-        total = total + F.col(column)[i] * float(c)
-    return total
+def _largest_signs(coords: DataFrame, k: int) -> list[float]:
+    elements = coords.select("id", F.posexplode("z").alias("dim", "z"))
+    largest = F.max_by("z", F.struct(F.round(F.abs("z"), 9), F.col("id")))
+    rows = elements.groupBy("dim").agg(largest.alias("z")).collect()
+    negative = {row["dim"] for row in rows if row["z"] < 0}
+    return [-1.0 if i in negative else 1.0 for i in range(k)]
 
 
 def _ritz(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
