@@ -16,7 +16,7 @@ from coldgraph.operators.graph import symmetric
 from coldgraph.session import materialize
 from coldgraph.sources.tables import require
 
-ONE = F.array(F.lit(1.0))
+ONE = "array(1D)"
 
 
 def _with_degrees(edges: DataFrame, hot_rows: int) -> DataFrame:
@@ -102,7 +102,7 @@ def spectral_moments(
     """
     d = dimension(nodes, column)
     vectors = nodes.select("id", F.col(column).alias("x"))
-    rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", ONE)
+    rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", F.expr(ONE))
     sums = product_sums(
         rows,
         {"degree": ("x", "x"), "cross": ("x", "sums"), "first": ("x", "one"), "total": ("one", "one")},
@@ -229,7 +229,7 @@ def fit_spectral_map(
     else:
         d = dimension(nodes, "features")
     vectors = nodes.select("id", F.col("features").alias("x"))
-    rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", ONE)
+    rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", F.expr(ONE))
     moments = collect_products(
         product_sums(
             rows,
@@ -280,7 +280,7 @@ def fit_by_regression(nodes: DataFrame, coords: DataFrame, ridge: float = 1e-6)
     rows = nodes.select("id", F.col("features").alias("x")).join(coords.select("id", "z"), "id")
     sums = collect_products(
         product_sums(
-            rows.withColumn("one", ONE),
+            rows.withColumn("one", F.expr(ONE)),
             {"xx": ("x", "x"), "xz": ("x", "z"), "x": ("x", "one"), "z": ("z", "one"), "n": ("one", "one")},
             {"x": d, "z": k, "one": 1},
             {},
@@ -437,7 +437,7 @@ def subspace_similarity(coords_a: DataFrame, coords_b: DataFrame) -> DataFrame:
     rows = (
         coords_a.select("id", F.col("z").alias("a"))
         .join(coords_b.select("id", F.col("z").alias("b")), "id")
-        .withColumn("one", ONE)
+        .withColumn("one", F.expr(ONE))
     )
     sums = collect_products(
         product_sums(
