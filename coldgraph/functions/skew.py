@@ -36,6 +36,42 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[Row]:
     )
 
 
+def hot_ends(
+    df: DataFrame, ends: Sequence[str] = ("src", "dst"), hot_rows: int = HOT_ROWS
+) -> dict[str, list[Row]]:
+    """``hot_keys`` of several columns of one type, from one pass over ``df``."""
+    values = F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("key")) for e in ends])
+    counts = df.select(F.inline(values)).groupBy("end", "key").agg(F.count(F.lit(1)).alias("n"))
+    found = (
+        counts.filter((F.col("n") > hot_rows) & F.col("key").isNotNull())
+        .orderBy(F.desc("n"))
+        .limit(MAX_HOT * len(ends))
+        .select("end", "key", F.ceil(F.col("n") / hot_rows).cast("int").alias("copies"))
+        .collect()
+    )
+    return {e: [r for r in found if r["end"] == e][:MAX_HOT] for e in ends}
+
+
+def attach_ends(
+    pairs: DataFrame,
+    per_node: DataFrame,
+    value: str,
+    names: tuple[str, str],
+    how: str = "inner",
+    hot_rows: int = HOT_ROWS,
+) -> DataFrame:
+    """``pairs(src, dst, ...)`` with the ``value`` of both ends, looked up in ``per_node(id, value)``.
+
+    ``pairs`` should be a table or cheap to read: it is counted once for the hot ends.
+    """
+    hot = hot_ends(pairs, hot_rows=hot_rows)
+    result = pairs
+    for end, other, name in (("src", "dst", names[0]), ("dst", "src", names[1])):
+        named = per_node.select(F.col("id").alias(end), F.col(value).alias(name))
+        result = attach(result, named, end, [other], how, hot[end], hot_rows)
+    return result
+
+
 def attach(
     left: DataFrame,
     right: DataFrame,

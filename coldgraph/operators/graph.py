@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import is_integer, split_bucket
-from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends, hot_ends
 from coldgraph.functions.vectors import sum_vectors
+from coldgraph.session import materialize
 from coldgraph.sources.tables import require
 
 
@@ -108,12 +109,11 @@ def cold_split(nodes: DataFrame, edges: DataFrame, share: float) -> ColdSplit:
 def induced_subgraph(edges: DataFrame, ids: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges with both ends in ``ids(id)``."""
     keep = ids.select("id").distinct()
-    left = attach(
-        edges, keep.withColumnRenamed("id", "src"), "src", ["dst"], "left_semi", hot_rows=hot_rows
-    )
-    right = keep.withColumnRenamed("id", "dst")
-    both = attach(left, right, "dst", ["src"], "left_semi", hot_rows=hot_rows)
-    return both.select("src", "dst", "weight")
+    hot = hot_ends(edges, hot_rows=hot_rows)
+    for end, other in (("src", "dst"), ("dst", "src")):
+        named = keep.withColumnRenamed("id", end)
+        edges = attach(edges, named, end, [other], "left_semi", hot[end], hot_rows)
+    return edges.select("src", "dst", "weight")
 
 
 # --- co-occurrence -----------------------------------------------------------
@@ -187,35 +187,36 @@ def shared_neighbors(
     the other end up, so a hub in many pairs is not expanded.
     """
     both = symmetric(edges)
-    degree = both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
-    wanted = pairs.select("src", "dst").distinct()
-    for end in ("src", "dst"):
-        sized = degree.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree"))
-        wanted = attach(
-            wanted, sized, end, ["dst" if end == "src" else "src"], hot_rows=hot_rows
-        )
+    degree = materialize(
+        both.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree")), "degrees"
+    )
+    wanted = materialize(pairs.select("src", "dst").distinct(), "pairs")
+    sized = attach_ends(
+        wanted, degree, "degree", ("src_degree", "dst_degree"), hot_rows=hot_rows
+    )
     src_small = F.col("src_degree") <= F.col("dst_degree")
-    oriented = wanted.select(
+    oriented = sized.select(
         "src",
         "dst",
         F.when(src_small, F.col("src")).otherwise(F.col("dst")).alias("small"),
         F.when(src_small, F.col("dst")).otherwise(F.col("src")).alias("large"),
     )
     from_small = both.select(F.col("src").alias("small"), F.col("dst").alias("via"))
+    oriented = materialize(oriented, "oriented")
     listed = attach(oriented, from_small, "small", ["large"], hot_rows=hot_rows)
     links = both.select(F.col("src").alias("large"), F.col("dst").alias("via"))
-    found = listed.join(links, ["large", "via"], "left_semi")
-    via_degree = degree.select(F.col("id").alias("via"), F.col("degree").alias("via_degree"))
-    return attach(
-        found.select("src", "dst", "via"), via_degree, "via", ["src", "dst"], hot_rows=hot_rows
+    found = materialize(
+        listed.join(links, ["large", "via"], "left_semi").select("src", "dst", "via"), "shared"
     )
+    via_degree = degree.select(F.col("id").alias("via"), F.col("degree").alias("via_degree"))
+    return attach(found, via_degree, "via", ["src", "dst"], hot_rows=hot_rows)
 
 
 def cooccurrence_weights(
     pairs: DataFrame, occurrences: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Number of shared contexts of given entity pairs ``(src, dst)``; 0 where none."""
-    wanted = pairs.select("src", "dst").distinct()
+    wanted = materialize(pairs.select("src", "dst").distinct(), "pairs")
     ends = wanted.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst"))
     shared = shared_neighbors(ends, star_edges(occurrences), hot_rows)
     counted = shared.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))

@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import StandardScaler, VectorAssembler
+from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import mix, mix_pair, pair_bucket
-from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.vectors import DIGITS, cosine, distance, dot, rounded
 from coldgraph.operators.graph import shared_neighbors, symmetric
 from coldgraph.operators.neighbors import knn
@@ -88,10 +88,7 @@ def score_links(
     """Pairs with ``score``: -distance, cosine or dot; nothing is trained."""
     if how not in HOW:
         raise ValueError(f"unknown score {how}")
-    sided = pairs
-    for end, name, other in (("src", "a", "dst"), ("dst", "b", "src")):
-        vectors = coords.select(F.col("id").alias(end), F.col(column).alias(name))
-        sided = attach(sided, vectors, end, [other], hot_rows=hot_rows)
+    sided = attach_ends(pairs, coords, column, ("a", "b"), hot_rows=hot_rows)
     score = {
         "distance": lambda: -distance("a", "b"),
         "cosine": lambda: cosine("a", "b"),
@@ -102,16 +99,15 @@ def score_links(
 
 def topology_scores(pairs: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """``(src, dst, common, jaccard, adamic_adar, preferential)``; 0 for pairs with a cold end."""
-    wanted = pairs.select("src", "dst").distinct()
+    wanted = materialize(pairs.select("src", "dst").distinct(), "pairs")
     degree = symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("degree"))
     shared = shared_neighbors(wanted, edges, hot_rows)
     counted = shared.groupBy("src", "dst").agg(
         F.count(F.lit(1)).alias("common"), F.sum(1 / F.log("via_degree")).alias("adamic_adar")
     )
-    sided = wanted
-    for end, other in (("src", "dst"), ("dst", "src")):
-        named = degree.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree"))
-        sided = attach(sided, named, end, [other], how="left", hot_rows=hot_rows)
+    sided = attach_ends(
+        wanted, degree, "degree", ("src_degree", "dst_degree"), "left", hot_rows
+    )
     a = F.coalesce("src_degree", F.lit(0))
     b = F.coalesce("dst_degree", F.lit(0))
     common = F.coalesce("common", F.lit(0))
@@ -165,8 +161,7 @@ def score_ladder(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:
     )
     shares = [i / steps for i in range(1, steps)]
     bounds = counted.agg(F.percentile_approx("score", shares, 10_000)).first()[0] or []
-    bounds = sorted(set(bounds))
-    ranged = counted.withColumn("step", _interval("score", bounds))
+    ranged = _with_interval(counted, sorted(set(bounds)))
     totals = ranged.groupBy("step").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rows = sorted((r["step"], r["pos"], r["neg"]) for r in totals.collect())
     offsets, pos, neg = [], 0, 0
@@ -190,18 +185,12 @@ def score_ladder(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:
     )
 
 
-def _interval(column: str, bounds: list[float]):
-    """How many bounds lie at or below the value, by halving."""
-
-    def search(low: int, high: int):
-        if low == high:
-            return F.lit(low)
-        middle = (low + high) // 2
-        return F.when(F.col(column) < F.lit(bounds[middle]), search(low, middle)).otherwise(
-            search(middle + 1, high)
-        )
-
-    return search(0, len(bounds)).cast("int")
+def _with_interval(counted: DataFrame, bounds: list[float]) -> DataFrame:
+    splits = [-float("inf"), *(bounds or [0.0]), float("inf")]
+    cut = Bucketizer(splits=splits, inputCol="score", outputCol="interval")
+    return cut.transform(counted).select(
+        *counted.columns, F.col("interval").cast("int").alias("step")
+    )
 
 
 def link_auc(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:

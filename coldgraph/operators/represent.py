@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import mix_pair
 from coldgraph.functions.propagation import LinkTable
-from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.vectors import dimension, sum_vectors
 from coldgraph.operators.graph import induced_subgraph, symmetric
 from coldgraph.operators.neighbors import augment_edges, knn
@@ -21,17 +21,34 @@ def _propagation_links(
     """Directed links of A + I scaled by D = weighted degree + 1, self-links included."""
     if norm not in ("sym", "rw"):
         raise ValueError(f"unknown norm {norm}")
-    both = symmetric(induced_subgraph(edges, nodes, hot_rows))
+    inside = materialize(induced_subgraph(edges, nodes, hot_rows), "induced")
+    both = symmetric(inside)
     known = both.groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
     lifted = nodes.select("id").join(known, "id", "left").select(
         "id", (F.coalesce("degree", F.lit(0.0)) + 1).alias("degree")
     )
-    links = both
-    for end, other in (("src", "dst"), ("dst", "src")):
-        named = lifted.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree"))
-        links = attach(links, named, end, [other], hot_rows=hot_rows)
-    scale = F.sqrt(F.col("src_degree") * F.col("dst_degree")) if norm == "sym" else F.col("dst_degree")
-    scaled = links.select("src", "dst", (F.col("weight") / scale).alias("weight"))
+    sided = attach_ends(inside, lifted, "degree", ("src_degree", "dst_degree"), hot_rows=hot_rows)
+    if norm == "sym":
+        scale = F.sqrt(F.col("src_degree") * F.col("dst_degree"))
+        scaled = symmetric(
+            sided.select("src", "dst", (F.col("weight") / scale).alias("weight"))
+        )
+    else:
+        ends = (("src", "dst"), ("dst", "src"))
+        scaled = sided.select(
+            F.inline(
+                F.array(
+                    *[
+                        F.struct(
+                            F.col(a).alias("src"),
+                            F.col(b).alias("dst"),
+                            (F.col("weight") / F.col(f"{b}_degree")).alias("weight"),
+                        )
+                        for a, b in ends
+                    ]
+                )
+            )
+        )
     own = lifted.select(
         F.col("id").alias("src"), F.col("id").alias("dst"), (1 / F.col("degree")).alias("weight")
     )
@@ -119,7 +136,8 @@ def sage_mean(
     """
     d = dimension(nodes, "features")
     vectors = nodes.select(F.col("id").alias("dst"), F.col("features").alias("x"))
-    sampled = sample_neighbors(induced_subgraph(edges, nodes, hot_rows), fanout, seed)
+    inside = induced_subgraph(edges, nodes, hot_rows)
+    sampled = materialize(sample_neighbors(inside, fanout, seed), "sampled")
     placed = attach(sampled, vectors, "dst", ["src"], hot_rows=hot_rows)
     means = sum_vectors(
         placed.select(F.col("src").alias("id"), "x"), "id", "x", d, None, "sums", n=F.count(F.lit(1))

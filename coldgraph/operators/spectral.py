@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from coldgraph.functions.propagation import LinkTable, neighbor_sums
-from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.skew import HOT_ROWS, attach_ends
 from coldgraph.functions.solvers import filter_roots, fix_signs, generalized_eigh
 from coldgraph.functions.vectors import collect_products, dimension, map_vectors, product_sums
 from coldgraph.operators.graph import symmetric
@@ -24,10 +24,9 @@ def _with_degrees(edges: DataFrame, hot_rows: int) -> DataFrame:
     per_node = (
         symmetric(edges).groupBy(F.col("src").alias("id")).agg(F.sum("weight").alias("degree"))
     )
-    for end, other in (("src", "dst"), ("dst", "src")):
-        named = per_node.select(F.col("id").alias(end), F.col("degree").alias(f"{end}_degree"))
-        edges = attach(edges, named, end, [other], hot_rows=hot_rows)
-    return edges
+    return attach_ends(
+        edges, per_node, "degree", ("src_degree", "dst_degree"), hot_rows=hot_rows
+    )
 
 
 def laplacian_entries(edges: DataFrame, kind: str = "sym", hot_rows: int = HOT_ROWS) -> DataFrame:

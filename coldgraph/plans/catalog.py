@@ -164,7 +164,7 @@ def laplacian_entries(spark, sf_dir):
 @query
 def laplacian_random_walk(spark, sf_dir):
     edges = materialize(retail_edges(spark, sf_dir), "edges")
-    return _rounded(spectral.laplacian_entries(edges, "rw"), "value")
+    return spectral.laplacian_entries(edges, "rw")
 
 
 @query
@@ -488,7 +488,7 @@ def _pairs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     nodes, edges = _planted(spark, sf_dir)
     train, held = links.split_edges(edges, SHARE)
     negatives = links.negative_samples(nodes, edges, held, 2)
-    return nodes, train, links.labelled_pairs(held, negatives)
+    return nodes, train, materialize(links.labelled_pairs(held, negatives), "pairs")
 
 
 def _scored(spark, sf_dir, how="cosine") -> DataFrame:
@@ -560,8 +560,8 @@ def spectral_link_auc(spark, sf_dir):
     true = split.truth_pairs()
     negatives = links.negative_samples(_all(split), split.truth.unionByName(split.warm_edges), true, 1)
     coords = spectral.apply_spectral_map(_model(split), _all(split))
-    scored = links.score_links(links.labelled_pairs(true, negatives), coords, "cosine")
-    return links.link_auc(scored)
+    pairs = materialize(links.labelled_pairs(true, negatives), "pairs")
+    return links.link_auc(links.score_links(pairs, coords, "cosine"))
 
 
 @query

@@ -89,6 +89,17 @@ def elements(table: str, column: str, name: str) -> str:
   FROM (SELECT id, {column}, unnest(range(1, len({column}) + 1)) AS pos FROM {table}))"""
 
 
+WITH_DEGREE = """
+deg AS MATERIALIZED (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY 1),
+eld AS MATERIALIZED (SELECT id, pos, v, d FROM el JOIN deg USING (id))"""
+DIFFERENCES = """
+ends AS MATERIALIZED (
+  SELECT src, dst, weight, a.features AS fa, b.features AS fb
+  FROM edges JOIN emb a ON a.id = src JOIN emb b ON b.id = dst),
+diff AS MATERIALIZED (
+  SELECT src, dst, weight, pos, fa[pos] - fb[pos] AS v
+  FROM (SELECT *, unnest(range(1, len(fa) + 1)) AS pos FROM ends))"""
+
 PROPAGATION = """
 deg AS (
   SELECT emb.id, 1 + coalesce(sum(weight), 0) AS d FROM emb LEFT JOIN sym ON sym.src = emb.id GROUP BY 1),
@@ -260,27 +271,24 @@ ORACLE: dict[str, str] = {
         FROM sym s JOIN deg a ON a.id = s.src JOIN deg b ON b.id = s.dst
         UNION ALL SELECT id, id, 1.0 FROM deg""",
     "laplacian_random_walk": with_(RETAIL, "deg AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY 1)") + """
-        SELECT s.src AS i, s.dst AS j, round(-s.weight / a.d, 6) AS value FROM sym s JOIN deg a ON a.id = s.src
+        SELECT s.src AS i, s.dst AS j, -s.weight / a.d AS value FROM sym s JOIN deg a ON a.id = s.src
         UNION ALL SELECT id, id, 1.0 FROM deg""",
-    "rayleigh_features": with_(NODES, EDGES, elements("emb", "features", "el"), """
-        deg AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY 1),
-        mu AS (SELECT pos, sum(d * v) / sum(d) AS m FROM el JOIN deg USING (id) GROUP BY 1),
-        den AS (SELECT pos, sum(d * (v - m) * (v - m)) AS s FROM el JOIN deg USING (id) JOIN mu USING (pos) GROUP BY 1),
-        num AS (SELECT a.pos, sum(weight * (a.v - b.v) * (a.v - b.v)) AS r
-                FROM edges JOIN el a ON a.id = src JOIN el b ON b.id = dst AND b.pos = a.pos GROUP BY 1)""") + """
+    "rayleigh_features": with_(NODES, EDGES, elements("emb", "features", "el"), WITH_DEGREE, DIFFERENCES, """
+        mu AS (SELECT pos, sum(d * v) / sum(d) AS m FROM eld GROUP BY 1),
+        den AS (SELECT pos, sum(d * (v - m) * (v - m)) AS s FROM eld JOIN mu USING (pos) GROUP BY 1),
+        num AS (SELECT pos, sum(weight * v * v) AS r FROM diff GROUP BY 1)""") + """
         SELECT (pos - 1)::INTEGER AS dim, round(r / s, 6) AS value FROM num JOIN den USING (pos)""",
-    "spectral_moments": with_(NODES, EDGES, elements("emb", "features", "el"), """
-        deg AS (SELECT src AS id, sum(weight) AS d FROM sym GROUP BY 1),
-        diff AS (SELECT src, dst, weight, a.pos, a.v - b.v AS v
-                 FROM edges JOIN el a ON a.id = src JOIN el b ON b.id = dst AND b.pos = a.pos)""") + """
+    "spectral_moments": with_(NODES, EDGES, elements("emb", "features", "el"), WITH_DEGREE, DIFFERENCES, """
+        dcol AS MATERIALIZED (SELECT pos, list(v ORDER BY src, dst) AS c, list(weight * v ORDER BY src, dst) AS wc
+                              FROM diff GROUP BY 1),
+        ncol AS MATERIALIZED (SELECT pos, list(v ORDER BY id) AS c, list(d * v ORDER BY id) AS wc FROM eld GROUP BY 1)""") + """
         SELECT 'laplacian' AS name, (x.pos - 1)::INTEGER AS p, (y.pos - 1)::INTEGER AS q,
-               round(sum(x.weight * x.v * y.v), 6) AS value
-        FROM diff x JOIN diff y ON y.src = x.src AND y.dst = x.dst GROUP BY 2, 3
+               round(list_dot_product(x.wc, y.c), 6) AS value FROM dcol x, dcol y
         UNION ALL
-        SELECT 'degree', (x.pos - 1)::INTEGER, (y.pos - 1)::INTEGER, round(sum(d * x.v * y.v), 6)
-        FROM el x JOIN el y ON y.id = x.id JOIN deg ON deg.id = x.id GROUP BY 2, 3
+        SELECT 'degree', (x.pos - 1)::INTEGER, (y.pos - 1)::INTEGER, round(list_dot_product(x.wc, y.c), 6)
+        FROM ncol x, ncol y
         UNION ALL
-        SELECT 'mean', (pos - 1)::INTEGER, 0, round(sum(d * v) / sum(d), 6) FROM el JOIN deg USING (id) GROUP BY 2""",
+        SELECT 'mean', (pos - 1)::INTEGER, 0, round(sum(d * v) / sum(d), 6) FROM eld GROUP BY 2""",
     "knn_features": with_(NODES, knn("emb", "emb", 10)) + "SELECT * FROM knn",
     "knn_cosine": with_(NODES, knn("emb", "emb", 10, "cosine")) + "SELECT * FROM knn",
     "knn_partitioned": with_(NODES, knn("emb", "emb", 10)) + "SELECT * FROM knn",
@@ -409,5 +417,7 @@ ORACLE: dict[str, str] = {
                                  AND c.ts <= arrivals.ts + INTERVAL 6 HOUR) AS linked FROM arrivals)
         SELECT date_trunc('day', ts)::TIMESTAMP AS window_start, count(*) AS arrivals,
                count(*) FILTER (NOT linked) AS cold, round(count(*) FILTER (NOT linked) / count(*), 6) AS rate
-        FROM flagged GROUP BY 1""",
+        FROM flagged
+        WHERE date_trunc('day', ts) + INTERVAL 31 HOUR <= (SELECT max(ts) FROM events)
+        GROUP BY 1""",
 }
