@@ -18,26 +18,6 @@ def rounded(column: Column) -> Column:
     return F.round(column, DIGITS)
 
 
-def dot(a: str, b: str) -> Column:
-    products = F.zip_with(F.col(a), F.col(b), lambda x, y: x * y)
-    return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
-
-
-def squared_distance(a: str, b: str) -> Column:
-    squares = F.zip_with(F.col(a), F.col(b), lambda x, y: (x - y) * (x - y))
-    return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
-
-
-def distance(a: str, b: str) -> Column:
-    return rounded(F.sqrt(squared_distance(a, b)))
-
-
-def cosine(a: str, b: str) -> Column:
-    """Cosine similarity; 0 when either vector is zero."""
-    norms = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    return rounded(F.when(norms > 0, dot(a, b) / norms).otherwise(0.0))
-
-
 def dimension(df: DataFrame, column: str) -> int:
     """Vector length, read from one row: all rows share it after ``load_nodes``."""
     row = df.select(F.size(column).alias("d")).first()
@@ -122,6 +102,50 @@ def map_vectors(
     return df.select(*keys, column).mapInArrow(apply, schema)
 
 
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.sqrt(((a - b) ** 2).sum(axis=1))
+
+
+def _dots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.einsum("ij,ij->i", a, b)
+
+
+def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Cosine similarity; 0 when either vector is zero."""
+    norms = np.sqrt(_dots(a, a)) * np.sqrt(_dots(b, b))
+    return np.where(norms > 0, _dots(a, b) / np.where(norms > 0, norms, 1.0), 0.0)
+
+
+PAIR_SCORES = {
+    "distance": lambda a, b: -_distances(a, b),
+    "cosine": _cosines,
+    "dot": _dots,
+}
+
+
+def score_pairs(df: DataFrame, a: str, b: str, how: str, keep: list[str]) -> DataFrame:
+    """``(keep..., score)`` of two vector columns, a batch at a time in Arrow.
+
+    Higher-order functions would walk the elements one by one outside the generated code.
+    """
+    score = PAIR_SCORES[how]
+    schema = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keep)
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            left, right = batch.column(a), batch.column(b)
+            d = len(left[0])
+            values = score(matrix(left, d), matrix(right, d)) + 0.0
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k) for k in keep), pa.array(np.round(values, DIGITS))],
+                names=[*keep, "score"],
+            )
+
+    return df.select(*keep, a, b).mapInArrow(apply, schema + ", score double")
+
+
 def product_sums(
     df: DataFrame, products: dict[str, tuple[str, str]], dims: dict[str, int], weight: dict[str, str]
 ) -> DataFrame:

@@ -218,7 +218,8 @@ def cooccurrence_weights(
     """Number of shared contexts of given entity pairs ``(src, dst)``; 0 where none."""
     wanted = materialize(pairs.select("src", "dst").distinct(), "pairs")
     ends = wanted.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst"))
-    shared = shared_neighbors(ends, star_edges(occurrences), hot_rows)
+    stars = materialize(star_edges(occurrences), "stars")
+    shared = shared_neighbors(ends, stars, hot_rows)
     counted = shared.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     halved = counted.select(
         (F.col("src") / 2).cast("bigint").alias("src"),

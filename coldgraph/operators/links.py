@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import mix, mix_pair, pair_bucket
 from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
-from coldgraph.functions.vectors import DIGITS, cosine, distance, dot, rounded
+from coldgraph.functions.vectors import PAIR_SCORES, rounded, score_pairs
 from coldgraph.operators.graph import shared_neighbors, symmetric
 from coldgraph.operators.neighbors import knn
 from coldgraph.session import materialize
@@ -78,23 +78,15 @@ def labelled_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     )
 
 
-HOW = ("distance", "cosine", "dot")
-
-
 def score_links(
     pairs: DataFrame, coords: DataFrame, how: str = "distance", column: str = "z",
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Pairs with ``score``: -distance, cosine or dot; nothing is trained."""
-    if how not in HOW:
+    if how not in PAIR_SCORES:
         raise ValueError(f"unknown score {how}")
     sided = attach_ends(pairs, coords, column, ("a", "b"), hot_rows=hot_rows)
-    score = {
-        "distance": lambda: -distance("a", "b"),
-        "cosine": lambda: cosine("a", "b"),
-        "dot": lambda: rounded(dot("a", "b")),
-    }[how]()
-    return sided.select(*pairs.columns, score.alias("score"))
+    return score_pairs(sided, "a", "b", how, pairs.columns)
 
 
 def topology_scores(pairs: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:

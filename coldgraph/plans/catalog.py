@@ -77,7 +77,7 @@ def symmetric_edges(spark, sf_dir):
 
 @query
 def degrees(spark, sf_dir):
-    found = graph.degrees(retail_edges(spark, sf_dir), retail_nodes(spark, sf_dir))
+    found = graph.degrees(retail_edges(spark, sf_dir), retail_nodes(spark, sf_dir, check=False))
     return _rounded(found, "weighted_degree")
 
 
@@ -91,7 +91,7 @@ def detect_cold(spark, sf_dir):
 @query
 def cold_split(spark, sf_dir):
     edges = retail_edges(spark, sf_dir)
-    split = graph.cold_split(retail_nodes(spark, sf_dir), edges, SHARE)
+    split = graph.cold_split(retail_nodes(spark, sf_dir, check=False), edges, SHARE)
     return split.warm_edges.select("src", "dst", F.lit("warm").alias("part")).unionByName(
         split.truth.select("src", "dst", F.lit("truth").alias("part"))
     )
@@ -104,7 +104,8 @@ def induced_subgraph(spark, sf_dir):
     ids = customers.select((F.col("c_custkey") * 2).alias("id")).unionByName(
         parts.select((F.col("p_partkey") * 2 + 1).alias("id"))
     )
-    return _rounded(graph.induced_subgraph(retail_edges(spark, sf_dir), ids), "weight")
+    edges = materialize(retail_edges(spark, sf_dir), "edges")
+    return _rounded(graph.induced_subgraph(edges, ids), "weight")
 
 
 @query
@@ -113,7 +114,8 @@ def knn_graph(spark, sf_dir):
 
 
 def _incidence(spark, sf_dir):
-    return graph.incidence(read(spark, sf_dir, "lineitem"), "l_partkey", "l_orderkey")
+    lines = read(spark, sf_dir, "lineitem")
+    return materialize(graph.incidence(lines, "l_partkey", "l_orderkey"), "incidence")
 
 
 @query

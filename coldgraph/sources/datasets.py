@@ -70,7 +70,7 @@ def retail_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalize_edges(retail_lines(spark, sf_dir), "part", "customer", "quantity")
 
 
-def retail_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def retail_nodes(spark: SparkSession, sf_dir: str, check: bool = True) -> DataFrame:
     """Customers (label: nation) and parts (unlabelled), three features each."""
     customers = read(spark, sf_dir, "customer").select(
         (F.col("c_custkey") * 2).alias("key"),
@@ -86,4 +86,4 @@ def retail_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         F.lit(None).cast("int").alias("nation"),
     )
-    return load_nodes(customers.unionByName(parts), "key", "vector", "nation", dim=3)
+    return load_nodes(customers.unionByName(parts), "key", "vector", "nation", dim=3, check=check)
