@@ -56,6 +56,8 @@ class LinkTable:
             keys = ["src", "salt"]
         self._keys = keys
         self._links = links.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+        # Filled now: only a finished layout is known to the planner of the steps.
+        self._links.count()
 
     def join(self, state: DataFrame) -> DataFrame:
         """Every link with the state row of its source (``id`` renamed to ``src``)."""

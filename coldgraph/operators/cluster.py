@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.ml.clustering import KMeans, KMeansModel, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.functions.vectors import rounded
@@ -48,25 +48,34 @@ def contingency(clusters: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def clustering_scores(clusters: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(n, purity, nmi, ari)`` from the contingency table by partial aggregates."""
-    table = contingency(clusters, labels)
-    nlogn = F.sum(F.col("n") * F.log(F.col("n")))
-    pairs = F.sum(F.col("n") * (F.col("n") - 1) / 2)
-    whole = table.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"), nlogn.alias("cells"), pairs.alias("both")
+    """``(n, purity, nmi, ari)``: grouping sets over the contingency table, then one aggregate."""
+    sets = (
+        contingency(clusters, labels)
+        .groupingSets([["cluster", "label"], ["cluster"], ["label"]], "cluster", "label")
+        .agg(
+            F.sum("n").alias("n"),
+            F.max("n").alias("top"),
+            F.grouping("cluster").alias("no_cluster"),
+            F.grouping("label").alias("no_label"),
+        )
     )
-    by_cluster = table.groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("top"))
-    by_label = table.groupBy("label").agg(F.sum("n").alias("n"))
-    rows = by_cluster.agg(
-        F.sum("top").alias("top"), nlogn.alias("rows"), pairs.alias("row_pairs")
-    )
-    columns = by_label.agg(nlogn.alias("cols"), pairs.alias("col_pairs"))
-    # Three one-row tables side by side.
-    one = F.lit(1).alias("one")
-    joined = (
-        whole.select("*", one)
-        .join(F.broadcast(rows.select("*", one)), "one")
-        .join(F.broadcast(columns.select("*", one)), "one")
+    whole = (F.col("no_cluster") == 0) & (F.col("no_label") == 0)
+    by_cluster, by_label = F.col("no_label") == 1, F.col("no_cluster") == 1
+    nlogn = F.col("n") * F.log("n")
+    pairs = F.col("n") * (F.col("n") - 1) / 2
+
+    def part(rows: Column, value: Column) -> Column:
+        return F.sum(F.when(rows, value))
+
+    joined = sets.agg(
+        F.coalesce(part(whole, F.col("n")), F.lit(0)).alias("total"),
+        part(whole, nlogn).alias("cells"),
+        part(whole, pairs).alias("both"),
+        part(by_cluster, F.col("top")).alias("top"),
+        part(by_cluster, nlogn).alias("rows"),
+        part(by_cluster, pairs).alias("row_pairs"),
+        part(by_label, nlogn).alias("cols"),
+        part(by_label, pairs).alias("col_pairs"),
     )
     n = F.col("total")
     h_rows = F.log(n) - F.col("rows") / n

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import Bucketizer, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import mix, mix_pair, pair_bucket
@@ -189,8 +189,9 @@ def link_auc(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:
     """``(positives, negatives, auc)``: ties count half; null without both classes."""
     ladder = score_ladder(scored, steps)
     below = F.col("neg_all") - F.col("neg_above") - F.col("neg")
-    won = F.sum(F.col("pos") * (below + F.col("neg") / 2))
-    return _metric(ladder, won / F.first(F.col("pos_all").cast("double") * F.col("neg_all")), "auc", True)
+    won = F.col("pos") * (below + F.col("neg") / 2)
+    pairs = F.nullif(F.col("pos_all").cast("double") * F.col("neg_all"), F.lit(0.0))
+    return _metric(ladder, F.sum(won / pairs), "auc")
 
 
 def link_ap(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:
@@ -198,17 +199,16 @@ def link_ap(scored: DataFrame, steps: int = LADDER_STEPS) -> DataFrame:
     ladder = score_ladder(scored, steps)
     taken_pos = F.col("pos_above") + F.col("pos")
     taken = taken_pos + F.col("neg_above") + F.col("neg")
-    return _metric(ladder, F.sum(F.col("pos") / F.col("pos_all") * taken_pos / taken), "ap", False)
+    share = F.col("pos") / F.nullif(F.col("pos_all"), F.lit(0))
+    return _metric(ladder, F.sum(share * taken_pos / taken), "ap")
 
 
-def _metric(ladder: DataFrame, value, name: str, both: bool) -> DataFrame:
-    needed = (F.col("pos_all") > 0) & (F.col("neg_all") > 0) if both else F.col("pos_all") > 0
-    totals = ladder.agg(
+def _metric(ladder: DataFrame, value: Column, name: str) -> DataFrame:
+    return ladder.agg(
         F.coalesce(F.sum("pos"), F.lit(0)).alias("positives"),
         F.coalesce(F.sum("neg"), F.lit(0)).alias("negatives"),
-    ).withColumn("one", F.lit(1))
-    scored = ladder.filter(needed).agg(rounded(value).alias(name)).withColumn("one", F.lit(1))
-    return totals.join(F.broadcast(scored), "one", "left").select("positives", "negatives", name)
+        rounded(value).alias(name),
+    )
 
 
 def hits_at_k(scored: DataFrame, k: int) -> DataFrame:
@@ -217,6 +217,7 @@ def hits_at_k(scored: DataFrame, k: int) -> DataFrame:
     Order: score, then dst. The k-best filter runs before the shuffle too (window
     group limit): a query with many candidates moves k rows per task.
     """
+    scored = materialize(scored.select("src", "dst", "score", "y"), "scored")
     order = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     best = scored.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k)
     hits = best.groupBy("src").agg(F.count_if(F.col("y") == 1).alias("hits"))
@@ -233,6 +234,7 @@ def mrr(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     The rank is one more than the number of candidates before that link, a combined
     count: no query's candidates are ever sorted.
     """
+    scored = materialize(scored.select("src", "dst", "score", "y"), "scored")
     best = scored.filter("y = 1").groupBy("src").agg(
         F.min(F.struct((-F.col("score")).alias("key"), F.col("dst"))).alias("best")
     )

@@ -102,38 +102,34 @@ def spectral_moments(
     d = dimension(nodes, column)
     vectors = nodes.select("id", F.col(column).alias("x"))
     rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", F.expr(ONE))
-    sums = product_sums(
+    sums = materialize(_moment_sums(rows, d), "moments")
+    weight = sums.filter("name = 'total'").first()
+    per_cell = {
+        name: F.sum(F.when(F.col("name") == name, F.col("value"))) for name in ("degree", "cross")
+    }
+    cells = sums.filter("name IN ('degree', 'cross')").groupBy("p", "q").agg(
+        (per_cell["degree"] - per_cell["cross"]).alias("laplacian"),
+        per_cell["degree"].alias("degree"),
+    )
+    square = cells.unpivot(["p", "q"], ["laplacian", "degree"], "name", "value")
+    mean = sums.filter("name = 'first'").select(
+        F.lit("mean").alias("name"), "p", "q", (F.col("value") / F.lit(weight["value"])).alias("value")
+    )
+    return square.select("name", "p", "q", "value").unionByName(mean)
+
+
+def _moment_sums(rows: DataFrame, d: int) -> DataFrame:
+    return product_sums(
         rows,
-        {"degree": ("x", "x"), "cross": ("x", "sums"), "first": ("x", "one"), "total": ("one", "one")},
+        {
+            "degree": ("x", "x"),
+            "cross": ("x", "sums"),
+            "first": ("x", "one"),
+            "total": ("one", "one"),
+        },
         {"x": d, "sums": d, "one": 1},
         {"degree": "degree", "first": "degree", "total": "degree"},
     )
-    wide = sums.groupBy("p", "q").agg(
-        *[
-            F.sum(F.when(F.col("name") == name, F.col("value"))).alias(name)
-            for name in ("degree", "cross", "first", "total")
-        ]
-    )
-    total = sums.filter("name = 'total'").select(F.col("value").alias("weight"), F.lit(0).alias("q"))
-    square = wide.select(
-        F.inline(
-            F.array(
-                F.struct(
-                    F.lit("laplacian").alias("name"),
-                    "p",
-                    "q",
-                    (F.col("degree") - F.col("cross")).alias("value"),
-                ),
-                F.struct(F.lit("degree").alias("name"), "p", "q", F.col("degree").alias("value")),
-            )
-        )
-    )
-    mean = (
-        sums.filter("name = 'first'")
-        .join(F.broadcast(total), "q")
-        .select(F.lit("mean").alias("name"), "p", "q", (F.col("value") / F.col("weight")).alias("value"))
-    )
-    return square.unionByName(mean)
 
 
 @dataclass(frozen=True)
@@ -230,12 +226,7 @@ def fit_spectral_map(
     vectors = nodes.select("id", F.col("features").alias("x"))
     rows = _summed_nodes(vectors, edges, d, hot_rows).withColumn("one", F.expr(ONE))
     moments = collect_products(
-        product_sums(
-            rows,
-            {"degree": ("x", "x"), "cross": ("x", "sums"), "first": ("x", "one"), "total": ("one", "one")},
-            {"x": d, "sums": d, "one": 1},
-            {"degree": "degree", "first": "degree", "total": "degree"},
-        ),
+        _moment_sums(rows, d),
         {"degree": (d, d), "cross": (d, d), "first": (d, 1), "total": (1, 1)},
     )
     total = moments["total"][0, 0]
