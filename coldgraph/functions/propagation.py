@@ -55,7 +55,8 @@ class LinkTable:
             )
             keys = ["src", "salt"]
         self._keys = keys
-        self._links = links.repartition(partitions, *keys).persist(StorageLevel.MEMORY_AND_DISK)
+        laid_out = links.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        self._links = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
         # Filled now: only a finished layout is known to the planner of the steps.
         self._links.count()
 

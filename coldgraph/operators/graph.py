@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import is_integer, split_bucket
-from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends, hot_ends
+from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends, hot_ends, hot_keys
 from coldgraph.functions.vectors import sum_vectors
 from coldgraph.session import materialize
 from coldgraph.sources.tables import require
@@ -158,9 +158,10 @@ def cooccurrence_sums(
     have features count.
     """
     vectors = nodes.select(F.col("id").alias("entity"), F.col("features").alias("x"))
-    placed = attach(pairs, vectors, "entity", ["context"], hot_rows=hot_rows)
+    hot = hot_keys(pairs, "entity", hot_rows)
+    placed = attach(pairs, vectors, "entity", ["context"], hot=hot)
     totals = sum_vectors(placed, "context", "x", d, None, "total", size=F.count(F.lit(1)))
-    known = pairs.join(vectors.select("entity"), "entity", "left_semi")
+    known = attach(pairs, vectors.select("entity"), "entity", ["context"], "left_semi", hot)
     read_back = attach(known, totals, "context", ["entity"], hot_rows=hot_rows)
     gathered = sum_vectors(
         read_back,

@@ -116,18 +116,8 @@ def knn(
     Never the query itself; order (rounded distance, dst); fewer than k base nodes
     give fewer rows. ``dist`` is Euclidean, or 1 - cosine.
     """
-    if metric not in METRICS:
-        raise ValueError(f"unknown metric {metric}")
-    rows = base.count()
-    if rows == 0:
-        return queries.sparkSession.createDataFrame(
-            [], f"src {queries.schema['id'].dataType.simpleString()}, "
-            f"dst {base.schema['id'].dataType.simpleString()}, rank int, dist double"
-        )
-    d = dimension(base, column)
-    if rows * (d + 3) * 8 <= broadcast_bytes:
-        return _knn_broadcast(queries, base, k, metric, column, d)
-    return _knn_cells(queries, base, rows, k, metric, column, d, block_rows, hot_rows)
+    index = NeighborIndex(base, k, metric, column, broadcast_bytes, block_rows)
+    return index.nearest(queries, hot_rows)
 
 
 def _collect_matrix(df: DataFrame, column: str, d: int) -> tuple[np.ndarray, np.ndarray]:
@@ -136,13 +126,7 @@ def _collect_matrix(df: DataFrame, column: str, d: int) -> tuple[np.ndarray, np.
     return table.column("id").to_numpy(), matrix(table.column(column), d)
 
 
-def _knn_broadcast(queries, base, k, metric, column, d) -> DataFrame:
-    ids, vectors = _collect_matrix(base, column, d)
-    kept = _smallest_copies(ids, vectors, k + 1)
-    shared = queries.sparkSession.sparkContext.broadcast(
-        (ids[kept], place(vectors[kept], metric, "base"))
-    )
-
+def _nearest_in_matrix(queries: DataFrame, shared, id_type, k: int, metric: str, column: str, d: int):
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b_ids, b = shared.value
         for batch in batches:
@@ -157,10 +141,12 @@ def _knn_broadcast(queries, base, k, metric, column, d) -> DataFrame:
                 names=["src", "dst", "rank", "dist"],
             )
 
-    source, target = queries.schema["id"].dataType, base.schema["id"].dataType
-    return queries.select("id", column).mapInArrow(
-        nearest, f"src {source.simpleString()}, dst {target.simpleString()}, rank int, dist double"
-    )
+    return queries.select("id", column).mapInArrow(nearest, _schema(queries, id_type))
+
+
+def _schema(queries: DataFrame, id_type) -> str:
+    source = queries.schema["id"].dataType.simpleString()
+    return f"src {source}, dst {id_type.simpleString()}, rank int, dist double"
 
 
 def _smallest_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndarray:
@@ -297,49 +283,130 @@ def _cells(df: DataFrame) -> dict[int, tuple[int, float, float]]:
     return {r["cell"]: (r["n"], r["near"], r["far"]) for r in stats.collect()}
 
 
-class _Cells:
-    """Distinct base and query vectors, each in the cell of its nearest pivot."""
+class NeighborIndex:
+    """A base prepared for many ``nearest`` calls: one broadcast matrix, or cells.
 
-    def __init__(self, queries, base, rows, keep, metric, column, d, cells=None):
-        spark = base.sparkSession
-        self.metric, self.keep = metric, keep
-        self.width = d + 2 if metric == "cosine" else d
-        chosen = pivots(base, rows, column, d, cells)
+    ``block_rows`` bounds what a task holds of either side; ``cells`` overrides the number
+    of pivots.
+    """
+
+    def __init__(
+        self,
+        base: DataFrame,
+        k: int,
+        metric: str = "euclidean",
+        column: str = "features",
+        broadcast_bytes: int = BROADCAST_BYTES,
+        block_rows: int = BLOCK_ROWS,
+        cells: int | None = None,
+    ):
+        if metric not in METRICS:
+            raise ValueError(f"unknown metric {metric}")
+        self.k, self.keep, self.metric, self.column = k, k + 1, metric, column
+        self.block_rows = block_rows
+        self.spark = base.sparkSession
+        self.id_type = base.schema["id"].dataType
+        self.rows = base.count()
+        self.matrix = None
+        if self.rows == 0:
+            return
+        self.d = dimension(base, column)
+        if self.rows * (self.d + 3) * 8 <= broadcast_bytes:
+            ids, vectors = _collect_matrix(base, column, self.d)
+            kept = _smallest_copies(ids, vectors, self.keep)
+            self.matrix = self._share((ids[kept], place(vectors[kept], metric, "base")))
+            return
+        self.width = self.d + 2 if metric == "cosine" else self.d
+        chosen = pivots(base, self.rows, column, self.d, cells)
         self.centers = np.unique(place(chosen, metric, "base"), axis=0)
-        self.shared = spark.sparkContext.broadcast(self.centers)
-        distinct = _copies(base, column, keep).withColumn("bid", F.element_at("ids", 1))
+        self.shared = self._share(self.centers)
+        distinct = _copies(base, column, self.keep).withColumn("bid", F.element_at("ids", 1))
         self.base = materialize(
-            _in_home_cell(distinct, d, self.shared, metric, "base", "bid", "ids"), "cells"
-        )
-        vectors = queries.groupBy(F.col(column).alias("vector")).agg(F.min("id").alias("qid"))
-        self.asked = materialize(
-            _in_home_cell(vectors, d, self.shared, metric, "query", "qid", "vector"), "asked"
+            _in_home_cell(distinct, self.d, self.shared, metric, "base", "bid", "ids"), "cells"
         )
         self.stats = _cells(self.base)
         self.filled = np.array(sorted(self.stats))
 
-    def visit(self, visits: DataFrame, counts: dict[int, int], block_rows: int) -> DataFrame:
+    def _share(self, value):
+        return self.spark.sparkContext.broadcast(value)
+
+    def nearest(self, queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+        """Exact ``neighbors`` of ``queries(id, column)``."""
+        if self.rows == 0:
+            return self.spark.createDataFrame([], _schema(queries, self.id_type))
+        if self.matrix is not None:
+            return _nearest_in_matrix(
+                queries, self.matrix, self.id_type, self.k, self.metric, self.column, self.d
+            )
+        asked = self._ask(queries)
+        # Pass 1: the home cell, or the nearest one that holds base rows at all.
+        asked_in = _counts(asked)
+        home_of = {
+            c: int(self.filled[_distances(self.centers[c : c + 1], self.centers[self.filled]).argmin()])
+            for c in asked_in
+        }
+        at_home = asked.join(_lookup(self.spark, "home", home_of), "cell").drop("cell")
+        first_counts: dict[int, int] = {}
+        for cell, n in asked_in.items():
+            first_counts[home_of[cell]] = first_counts.get(home_of[cell], 0) + n
+        first = at_home.select("qid", F.col("placed").alias("q"), F.col("home").alias("cell"))
+        near = materialize(_best(self._visit(first, first_counts), self.keep), "near")
+
+        # Pass 2: the cells which the bound of pass 1 can't rule out.
+        bound = near.groupBy("qid").agg(
+            F.max("dist").alias("bound"), F.count(F.lit(1)).alias("found")
+        )
+        full = F.col("found") >= self.keep
+        still_open = at_home.join(bound, "qid", "left").select(
+            "qid", "placed", "home", F.when(full, F.col("bound")).alias("bound")
+        )
+        spans = self._share((self.filled, np.array([self.stats[c][1:] for c in self.filled])))
+        visits = materialize(
+            _open_cells(still_open, self.shared, spans, self.metric, self.width), "visits"
+        )
+        far = self._visit(visits, _counts(visits))
+        return self._answer(_best(near.unionByName(far), self.keep), asked, queries, hot_rows)
+
+    def probe(self, queries: DataFrame, probes: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+        """``neighbors`` from the ``probes`` nearest cells of each query only."""
+        if self.rows == 0:
+            return self.nearest(queries)
+        asked = self._ask(queries)
+        visits = materialize(
+            _nearest_cells(asked, self.shared, self._share(self.filled), self.width, probes), "visits"
+        )
+        found = self._visit(visits, _counts(visits))
+        return self._answer(_best(found, self.keep), asked, queries, hot_rows)
+
+    def _ask(self, queries: DataFrame) -> DataFrame:
+        """Distinct query vectors in their home cells."""
+        vectors = queries.groupBy(F.col(self.column).alias("vector")).agg(F.min("id").alias("qid"))
+        placed = _in_home_cell(vectors, self.d, self.shared, self.metric, "query", "qid", "vector")
+        return materialize(placed, "asked")
+
+    def _visit(self, visits: DataFrame, counts: dict[int, int]) -> DataFrame:
         rows = self.base.select("bid", F.col("placed").alias("b"), "cell")
         base_counts = {cell: n for cell, (n, _, _) in self.stats.items()}
         return _visit(
-            visits, rows, counts, base_counts, self.keep, self.metric, self.width, block_rows
+            visits, rows, counts, base_counts, self.keep, self.metric, self.width, self.block_rows
         )
 
-    def answer(self, best: DataFrame, queries: DataFrame, k: int, column: str, hot_rows: int):
+    def _answer(self, best: DataFrame, asked: DataFrame, queries: DataFrame, hot_rows: int):
         """From distinct vectors back to ids."""
+        best = materialize(best, "best")
         named = attach(best, self.base.select("bid", "ids"), "bid", ["qid"], hot_rows=hot_rows)
         hits = named.select("qid", "dist", F.explode("ids").alias("dst"))
         ordered = F.array_sort(F.collect_list(F.struct("dist", "dst")))
         answers = (
             hits.groupBy("qid")
             .agg(F.slice(ordered, 1, self.keep).alias("hits"))
-            .join(self.asked.select("qid", "vector"), "qid")
+            .join(asked.select("qid", "vector"), "qid")
             .select("vector", "hits")
         )
-        given = queries.select(F.col("id").alias("src"), F.col(column).alias("vector"))
+        given = queries.select(F.col("id").alias("src"), F.col(self.column).alias("vector"))
         found = attach(_keyed(given), _keyed(answers), ["key", "vector"], ["src"], hot_rows=hot_rows)
         others = F.filter("hits", lambda h: h["dst"] != F.col("src"))
-        return found.select("src", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit")).select(
+        return found.select("src", F.posexplode(F.slice(others, 1, self.k)).alias("pos", "hit")).select(
             "src",
             F.col("hit.dst").alias("dst"),
             (F.col("pos") + 1).cast("int").alias("rank"),
@@ -353,38 +420,6 @@ def _counts(visits: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["n"] for r in counted.collect()}
 
 
-def _knn_cells(queries, base, rows, k, metric, column, d, block_rows, hot_rows) -> DataFrame:
-    keep = k + 1
-    cells = _Cells(queries, base, rows, keep, metric, column, d)
-    spark = base.sparkSession
-
-    # Pass 1: the home cell, or the nearest one that holds base rows at all.
-    asked_in = _counts(cells.asked)
-    home_of = {
-        c: int(cells.filled[_distances(cells.centers[c : c + 1], cells.centers[cells.filled]).argmin()])
-        for c in asked_in
-    }
-    at_home = cells.asked.join(_lookup(spark, "home", home_of), "cell").drop("cell")
-    first_counts: dict[int, int] = {}
-    for cell, n in asked_in.items():
-        first_counts[home_of[cell]] = first_counts.get(home_of[cell], 0) + n
-    first = at_home.select("qid", F.col("placed").alias("q"), F.col("home").alias("cell"))
-    near = materialize(_best(cells.visit(first, first_counts, block_rows), keep), "near")
-
-    # Pass 2: the cells which the bound of pass 1 can't rule out.
-    bound = near.groupBy("qid").agg(F.max("dist").alias("bound"), F.count(F.lit(1)).alias("found"))
-    still_open = at_home.join(bound, "qid", "left").select(
-        "qid", "placed", "home", F.when(F.col("found") >= keep, F.col("bound")).alias("bound")
-    )
-    spans = np.array([cells.stats[c][1:] for c in cells.filled])
-    shared_spans = spark.sparkContext.broadcast((cells.filled, spans))
-    visits = materialize(
-        _open_cells(still_open, cells.shared, shared_spans, metric, cells.width), "visits"
-    )
-    far = cells.visit(visits, _counts(visits), block_rows)
-    return cells.answer(_best(near.unionByName(far), keep), queries, k, column, hot_rows)
-
-
 def knn_approx(
     queries: DataFrame,
     base: DataFrame,
@@ -401,17 +436,8 @@ def knn_approx(
     Every base row stays in reach through its own cell; a query's cost no longer
     depends on how well its bound prunes. ``probes`` >= the number of cells is exact.
     """
-    rows = base.count()
-    if rows == 0:
-        return knn(queries, base, k, metric, column)
-    d = dimension(base, column)
-    index = _Cells(queries, base, rows, k + 1, metric, column, d, cells)
-    filled = base.sparkSession.sparkContext.broadcast(index.filled)
-    visits = materialize(
-        _nearest_cells(index.asked, index.shared, filled, index.width, probes), "visits"
-    )
-    found = index.visit(visits, _counts(visits), block_rows)
-    return index.answer(_best(found, k + 1), queries, k, column, hot_rows)
+    index = NeighborIndex(base, k, metric, column, 0, block_rows, cells)
+    return index.probe(queries, probes, hot_rows)
 
 
 def _nearest_cells(asked: DataFrame, centers, filled, d: int, probes: int) -> DataFrame:
@@ -453,9 +479,8 @@ def neighbor_quality(
     ``truth(src, dst)``; only true neighbours inside ``base`` count. Macro mean over
     the queries that have some.
     """
-    true = (
-        truth.select("src", "dst").distinct().join(base.select(F.col("id").alias("dst")), "dst", "left_semi")
-    )
+    inside = base.select(F.col("id").alias("dst"))
+    true = attach(truth.select("src", "dst").distinct(), inside, "dst", ["src"], "left_semi")
     per_query = true.groupBy("src").agg(F.count(F.lit(1)).alias("true_count"))
     hit = neighbors.filter(F.col("rank") <= k).join(true, ["src", "dst"], "left_semi")
     hits = hit.groupBy("src").agg(F.count(F.lit(1)).alias("hits"))

@@ -657,7 +657,7 @@ def cold_rate(spark, sf_dir):
     stream = streams.stream_cold_rate(
         _arrivals(_event_stream(spark, sf_dir)),
         _contacts(_event_stream(spark, sf_dir)),
-        "1 day", "6 HOURS", "1 hour",
+        "1 day", 6 * 3600, "1 hour",
     )
     found, _ = streams.run_available(stream, "cold-rate")
     return found.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))

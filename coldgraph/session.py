@@ -55,8 +55,19 @@ def checkpoint_root(spark: SparkSession) -> str:
     return _local_root[context.applicationId]
 
 
+def _application_folder(spark: SparkSession) -> str:
+    return f"{checkpoint_root(spark)}/coldgraph-{spark.sparkContext.applicationId}"
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{checkpoint_root(spark)}/coldgraph/{name}-{uuid.uuid4().hex}"
+    return f"{_application_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def drop_tables(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application; frames built on them end with it."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(_application_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:

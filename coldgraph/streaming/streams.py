@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from coldgraph.operators.classify import neighbor_vote
 from coldgraph.operators.cluster import assign
-from coldgraph.operators.neighbors import knn
+from coldgraph.operators.neighbors import NeighborIndex
 from coldgraph.operators.spectral import SpectralMap, apply_spectral_map
 from coldgraph.session import new_path
 from coldgraph.sources.tables import require
@@ -62,20 +62,22 @@ def stream_predict(
     path: str,
     checkpoint: str,
     k: int = 10,
-    **knn_options,
+    **index_options,
 ) -> StreamingQuery:
     """Neighbours, class and cluster of each micro-batch against a warm snapshot ``base(id, z)``.
 
-    Written below ``path`` as ``neighbors`` and ``predictions``, one folder per batch id that a
+    The snapshot is indexed once, before the stream starts. Results are written below ``path`` as ``neighbors`` and ``predictions``, one folder per batch id that a
     repeated batch overwrites. The neighbours of new nodes are their recommended links.
     """
     require(base, "id", "z")
 
+    index = NeighborIndex(base, k, column="z", **index_options)
+
     def handle(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()
         coords = apply_spectral_map(model, batch)
         target = f"{path}/neighbors/batch={batch_id}"
-        knn(coords, base, k, column="z", **knn_options).write.mode("overwrite").parquet(target)
+        index.nearest(coords).write.mode("overwrite").parquet(target)
         found = batch.sparkSession.read.schema(
             "src bigint, dst bigint, rank int, dist double"
         ).parquet(target)
@@ -109,21 +111,52 @@ def stream_degrees(edges: DataFrame, window: str, delay: str) -> DataFrame:
     return counted.select(F.col("window.start").alias("window_start"), "id", "degree")
 
 
+def _outer_edges(span_micros: int):
+    """Keep, per batch, node and span of time, the first and the last edge.
+
+    An interval of the span's length or more can't lie between two edges of one span without
+    touching its first or last one, unless it holds none of them: no answer changes,
+    and a hub hands two rows per span and batch to its join state.
+    """
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            ids = batch.column("src").to_numpy(zero_copy_only=False)
+            times = batch.column("edge_ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            spans = times // span_micros
+            order = np.lexsort((times, spans, ids))
+            change = (ids[order][1:] != ids[order][:-1]) | (spans[order][1:] != spans[order][:-1])
+            first = np.concatenate([[True], change])
+            last = np.concatenate([change, [True]])
+            yield batch.take(pa.array(order[first | last]))
+
+    return keep
+
+
 def stream_cold_rate(
-    nodes: DataFrame, edges: DataFrame, window: str, horizon: str, delay: str, slide: str | None = None
+    nodes: DataFrame,
+    edges: DataFrame,
+    window: str,
+    horizon_seconds: int,
+    delay: str,
+    slide: str | None = None,
 ) -> DataFrame:
-    """``(window_start, arrivals, cold, rate)``: arrivals without an edge within ``horizon``.
+    """``(window_start, arrivals, cold, rate)``: arrivals without an edge within the horizon.
 
     ``nodes(id, ts)``, ``edges(src, ts)``. A left-outer interval join keeps state for
-    ``horizon`` only; matches are folded per arrival before the windows are counted.
+    the horizon only; matches are folded per arrival before the windows are counted.
     """
     require(nodes, "id", "ts")
     require(edges, "src", "ts")
     arrivals = nodes.select("id", "ts", F.unix_micros("ts").alias("at")).withWatermark("ts", delay)
-    links = edges.select("src", F.col("ts").alias("edge_ts")).withWatermark("edge_ts", delay)
+    contacts = edges.select("src", F.col("ts").alias("edge_ts"))
+    outer = contacts.mapInArrow(_outer_edges(horizon_seconds * 1_000_000), contacts.schema)
+    links = outer.withWatermark("edge_ts", delay)
     matched = arrivals.join(
         links,
-        F.expr(f"id = src AND edge_ts >= ts AND edge_ts <= ts + INTERVAL {horizon}"),
+        F.expr(f"id = src AND edge_ts >= ts AND edge_ts <= ts + INTERVAL {horizon_seconds} SECONDS"),
         "leftOuter",
     )
     per_arrival = matched.groupBy(F.window("ts", window, slide or window), "id", "at").agg(

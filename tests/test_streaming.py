@@ -92,7 +92,7 @@ def test_cold_rate(source):
     nodes = source("arrivals", "id bigint, ts timestamp", [(1, at(1)), (2, at(2)), (3, at(70)), (9, at(1000))])
     edges = source("links", EDGE, [(1, 7, at(3)), (1, 8, at(4)), (2, 7, at(40)), (3, 1, at(60)), (5, 6, at(1000))])
     found, _ = streams.run_available(
-        streams.stream_cold_rate(nodes, edges, "60 minutes", "30 MINUTES", "10 minutes"), "rate")
+        streams.stream_cold_rate(nodes, edges, "60 minutes", 1800, "10 minutes"), "rate")
     assert rows(found) == [(at(0), 2, 1, 0.5), (at(60), 1, 1, 1.0)]
 
 
