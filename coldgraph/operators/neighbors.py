@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from coldgraph.functions.skew import HOT_ROWS, attach
-from coldgraph.functions.vectors import DIGITS, dimension, list_array, map_vectors, matrix
+from coldgraph.functions.vectors import DIGITS, dimension, list_array, matrix
 from coldgraph.operators.graph import normalize_edges
 from coldgraph.session import materialize
 

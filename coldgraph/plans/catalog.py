@@ -18,7 +18,6 @@ from coldgraph.sources.datasets import (
     planted_nodes,
     read,
     retail_edges,
-    retail_lines,
     retail_nodes,
 )
 from coldgraph.streaming import streams

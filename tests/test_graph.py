@@ -148,3 +148,22 @@ def test_save_and_load_edges_by_bucket(spark, tmp_path):
 def test_retail_nodes_cover_all_ends(spark):
     ends = graph.end_points(retail_edges(spark, SF))
     assert ends.join(retail_nodes(spark, SF), "id", "left_anti").count() == 0
+
+
+def test_intermediate_tables_can_be_dropped(spark, make):
+    from pathlib import Path
+
+    from coldgraph import session
+
+    kept = session.checkpoint_root(spark)
+    folder = Path(f"{kept}/coldgraph-{spark.sparkContext.applicationId}")
+    table = session.materialize(make.edges([(0, 1)]), "probe")
+    assert rows(table) == [(0, 1, 1.0)] and list(folder.glob("probe-*"))
+    before = session._application_folder
+    session._application_folder = lambda s: f"{kept}/other-application"
+    try:
+        session.materialize(make.edges([(0, 1)]), "probe")
+        session.drop_tables(spark)
+        assert not Path(f"{kept}/other-application").exists() and list(folder.glob("probe-*"))
+    finally:
+        session._application_folder = before

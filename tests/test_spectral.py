@@ -6,7 +6,7 @@ from coldgraph.functions.solvers import filter_roots, fix_signs, generalized_eig
 from coldgraph.functions.vectors import sum_vectors
 from coldgraph.operators import graph, spectral
 from coldgraph.sources.tables import load_table, save_table
-from tests.conftest import adjacency, features, rows
+from tests.conftest import adjacency, features
 
 PATH4 = [(0, 1), (1, 2), (2, 3)]
 

@@ -3,7 +3,6 @@ import glob
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from coldgraph.operators import classify, cluster, graph, neighbors, spectral
 from coldgraph.session import materialize, new_path
