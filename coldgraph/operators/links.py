@@ -13,7 +13,7 @@ from coldgraph.functions.hashing import mix, mix_pair, pair_bucket
 from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.vectors import PAIR_SCORES, rounded, score_pairs
 from coldgraph.operators.graph import shared_neighbors, symmetric
-from coldgraph.operators.neighbors import knn
+from coldgraph.operators.neighbors import NeighborIndex
 from coldgraph.session import materialize
 
 BUCKET_NODES = 65_536
@@ -264,14 +264,13 @@ def recommend_links(
     )
     sized = materialize(sized.select("id", column, "level"), "sized")
     levels = sorted(r["level"] for r in sized.select("level").distinct().collect())
+    reach = {level: k + (2 ** (level - 1) if level else 0) for level in levels or [0]}
+    index = NeighborIndex(base, max(reach.values()), column=column, **options)
     result = None
-    for level in levels:
-        reach = k + (2 ** (level - 1) if level else 0)
+    for level in reach:
         part = sized.filter(F.col("level") == level).select("id", column)
-        found = knn(part, base, reach, column=column, **options)
+        found = index.nearest(part, k=reach[level])
         result = found if result is None else result.unionByName(found)
-    if result is None:
-        return knn(cold, base, k, column=column, **options)
     fresh = result.join(links, ["src", "dst"], "left_anti")
     order = Window.partitionBy("src").orderBy("dist", "dst")
     return (

@@ -284,7 +284,7 @@ def _cells(df: DataFrame) -> dict[int, tuple[int, float, float]]:
 
 
 class NeighborIndex:
-    """A base prepared for many ``nearest`` calls: one broadcast matrix, or cells.
+    """A base prepared for many ``nearest`` calls of up to ``k``: one broadcast matrix, or cells.
 
     ``block_rows`` bounds what a task holds of either side; ``cells`` overrides the number
     of pivots.
@@ -330,13 +330,19 @@ class NeighborIndex:
     def _share(self, value):
         return self.spark.sparkContext.broadcast(value)
 
-    def nearest(self, queries: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-        """Exact ``neighbors`` of ``queries(id, column)``."""
+    def nearest(
+        self, queries: DataFrame, hot_rows: int = HOT_ROWS, k: int | None = None
+    ) -> DataFrame:
+        """Exact ``neighbors`` of ``queries(id, column)``; ``k`` may be below the index's own."""
+        k = self.k if k is None else k
+        if k > self.k:
+            raise ValueError(f"the index was built for k = {self.k}")
+        keep = k + 1
         if self.rows == 0:
             return self.spark.createDataFrame([], _schema(queries, self.id_type))
         if self.matrix is not None:
             return _nearest_in_matrix(
-                queries, self.matrix, self.id_type, self.k, self.metric, self.column, self.d
+                queries, self.matrix, self.id_type, k, self.metric, self.column, self.d
             )
         asked = self._ask(queries)
         # Pass 1: the home cell, or the nearest one that holds base rows at all.
@@ -350,13 +356,13 @@ class NeighborIndex:
         for cell, n in asked_in.items():
             first_counts[home_of[cell]] = first_counts.get(home_of[cell], 0) + n
         first = at_home.select("qid", F.col("placed").alias("q"), F.col("home").alias("cell"))
-        near = materialize(_best(self._visit(first, first_counts), self.keep), "near")
+        near = materialize(_best(self._visit(first, first_counts, keep), keep), "near")
 
         # Pass 2: the cells which the bound of pass 1 can't rule out.
         bound = near.groupBy("qid").agg(
             F.max("dist").alias("bound"), F.count(F.lit(1)).alias("found")
         )
-        full = F.col("found") >= self.keep
+        full = F.col("found") >= keep
         still_open = at_home.join(bound, "qid", "left").select(
             "qid", "placed", "home", F.when(full, F.col("bound")).alias("bound")
         )
@@ -364,8 +370,8 @@ class NeighborIndex:
         visits = materialize(
             _open_cells(still_open, self.shared, spans, self.metric, self.width), "visits"
         )
-        far = self._visit(visits, _counts(visits))
-        return self._answer(_best(near.unionByName(far), self.keep), asked, queries, hot_rows)
+        far = self._visit(visits, _counts(visits), keep)
+        return self._answer(_best(near.unionByName(far), keep), asked, queries, k, hot_rows)
 
     def probe(self, queries: DataFrame, probes: int, hot_rows: int = HOT_ROWS) -> DataFrame:
         """``neighbors`` from the ``probes`` nearest cells of each query only."""
@@ -375,8 +381,8 @@ class NeighborIndex:
         visits = materialize(
             _nearest_cells(asked, self.shared, self._share(self.filled), self.width, probes), "visits"
         )
-        found = self._visit(visits, _counts(visits))
-        return self._answer(_best(found, self.keep), asked, queries, hot_rows)
+        found = self._visit(visits, _counts(visits), self.keep)
+        return self._answer(_best(found, self.keep), asked, queries, self.k, hot_rows)
 
     def _ask(self, queries: DataFrame) -> DataFrame:
         """Distinct query vectors in their home cells."""
@@ -384,14 +390,14 @@ class NeighborIndex:
         placed = _in_home_cell(vectors, self.d, self.shared, self.metric, "query", "qid", "vector")
         return materialize(placed, "asked")
 
-    def _visit(self, visits: DataFrame, counts: dict[int, int]) -> DataFrame:
+    def _visit(self, visits: DataFrame, counts: dict[int, int], keep: int) -> DataFrame:
         rows = self.base.select("bid", F.col("placed").alias("b"), "cell")
         base_counts = {cell: n for cell, (n, _, _) in self.stats.items()}
         return _visit(
-            visits, rows, counts, base_counts, self.keep, self.metric, self.width, self.block_rows
+            visits, rows, counts, base_counts, keep, self.metric, self.width, self.block_rows
         )
 
-    def _answer(self, best: DataFrame, asked: DataFrame, queries: DataFrame, hot_rows: int):
+    def _answer(self, best: DataFrame, asked: DataFrame, queries: DataFrame, k: int, hot_rows: int):
         """From distinct vectors back to ids."""
         best = materialize(best, "best")
         named = attach(best, self.base.select("bid", "ids"), "bid", ["qid"], hot_rows=hot_rows)
@@ -399,14 +405,14 @@ class NeighborIndex:
         ordered = F.array_sort(F.collect_list(F.struct("dist", "dst")))
         answers = (
             hits.groupBy("qid")
-            .agg(F.slice(ordered, 1, self.keep).alias("hits"))
+            .agg(F.slice(ordered, 1, k + 1).alias("hits"))
             .join(asked.select("qid", "vector"), "qid")
             .select("vector", "hits")
         )
         given = queries.select(F.col("id").alias("src"), F.col(self.column).alias("vector"))
         found = attach(_keyed(given), _keyed(answers), ["key", "vector"], ["src"], hot_rows=hot_rows)
         others = F.filter("hits", lambda h: h["dst"] != F.col("src"))
-        return found.select("src", F.posexplode(F.slice(others, 1, self.k)).alias("pos", "hit")).select(
+        return found.select("src", F.posexplode(F.slice(others, 1, k)).alias("pos", "hit")).select(
             "src",
             F.col("hit.dst").alias("dst"),
             (F.col("pos") + 1).cast("int").alias("rank"),
