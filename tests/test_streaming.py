@@ -110,3 +110,23 @@ def test_warm_up_over_several_batches(source):
     assert rows(found) == [
         (1, "warm", 2, at(2)), (2, "warm", 2, at(40)), (3, "cold", 0, at(65)), (8, "cold", 0, at(160)),
         (9, "cold", 1, at(1060))]
+
+
+def test_outer_edges_change_no_answer():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(0)
+    ids, times = rng.integers(0, 3, 3000), rng.integers(0, 20_000, 3000)
+    ids[:1500] = 0
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array(ids), pa.array(times).cast(pa.timestamp("us"))], names=["src", "edge_ts"])
+    horizon = 100
+    (kept,) = streams._outer_edges(horizon)([batch])
+    few_ids = kept.column("src").to_numpy()
+    few = kept.column("edge_ts").cast(pa.int64()).to_numpy()
+    assert kept.num_rows <= 2 * 3 * 200 < batch.num_rows
+    for node in range(3):
+        for arrival in range(0, 20_000, 37):
+            inside = lambda t: bool(((t >= arrival) & (t <= arrival + horizon)).any())
+            assert inside(times[ids == node]) == inside(few[few_ids == node])
