@@ -27,8 +27,8 @@ from coldgraph.llm.rows import column, remainder, text_of
 from coldgraph.llm.words import hashes, words_of
 from coldgraph.session import materialize
 
-BLOCK_BYTES = 16_000_000
-SHARD_BYTES = 32_000_000
+BLOCK_BYTES = 8_000_000
+SHARD_BYTES = 16_000_000
 ANSWERS = "block long, shard int, payload binary, n0 long, n1 long, v0 long, v1 long"
 BEGIN = np.uint64(0x5DEECE66D1234567)
 END = np.uint64(0x27D4EB2F165667C5)
