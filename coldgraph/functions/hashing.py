@@ -18,12 +18,16 @@ def is_integer(df, column: str) -> bool:
 
 
 def split_bucket(id_: Column) -> Column:
-    """0..999; the hold-out sets ``bucket < 1000 * share`` are nested in the share."""
-    return F.pmod(id_ * F.lit(SPLIT_PRIME), F.lit(1000))
+    """0..999; the hold-out sets ``bucket < 1000 * share`` are nested in the share.
+
+    Ids are reduced before the multiplication, so that no id overflows.
+    """
+    return F.pmod(F.pmod(id_, F.lit(1000)) * F.lit(SPLIT_PRIME), F.lit(1000))
 
 
 def pair_bucket(a: Column, b: Column) -> Column:
-    return F.pmod(a * F.lit(SPLIT_PRIME) + b * F.lit(PAIR_PRIME), F.lit(1000))
+    left, right = F.pmod(a, F.lit(1000)), F.pmod(b, F.lit(1000))
+    return F.pmod(left * F.lit(SPLIT_PRIME) + right * F.lit(PAIR_PRIME), F.lit(1000))
 
 
 def mix(value: Column) -> Column:

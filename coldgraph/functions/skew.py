@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,17 +39,18 @@ def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[Row]:
 def hot_ends(
     df: DataFrame, ends: Sequence[str] = ("src", "dst"), hot_rows: int = HOT_ROWS
 ) -> dict[str, list[Row]]:
-    """``hot_keys`` of several columns of one type, from one pass over ``df``."""
+    """``hot_keys`` of several columns of one type, from one pass over ``df``; each end has its own ranking."""
     values = F.array(*[F.struct(F.lit(e).alias("end"), F.col(e).alias("key")) for e in ends])
     counts = df.select(F.inline(values)).groupBy("end", "key").agg(F.count(F.lit(1)).alias("n"))
+    place = F.row_number().over(Window.partitionBy("end").orderBy(F.desc("n"), "key"))
     found = (
         counts.filter((F.col("n") > hot_rows) & F.col("key").isNotNull())
-        .orderBy(F.desc("n"))
-        .limit(MAX_HOT * len(ends))
+        .withColumn("place", place)
+        .filter(F.col("place") <= MAX_HOT)
         .select("end", "key", F.ceil(F.col("n") / hot_rows).cast("int").alias("copies"))
         .collect()
     )
-    return {e: [r for r in found if r["end"] == e][:MAX_HOT] for e in ends}
+    return {e: [r for r in found if r["end"] == e] for e in ends}
 
 
 def attach_ends(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.functions.skew import HOT_ROWS, attach
 from coldgraph.functions.vectors import dimension, rounded
+from coldgraph.session import materialize
 
 MAX_CLASSES = 10_000
 
@@ -28,6 +29,8 @@ def neighbor_vote(
     if weighting not in ("count", "distance"):
         raise ValueError(f"unknown weighting {weighting}")
     known = labels.filter("label IS NOT NULL").select(F.col("id").alias("dst"), "label")
+    # written once: attach counts its left side, which would run the search for neighbours twice
+    neighbors = materialize(neighbors, "voters")
     voters = attach(neighbors, known, "dst", ["src"], hot_rows=hot_rows)
     vote = F.lit(1.0) if weighting == "count" else 1 / (1 + F.col("dist"))
     counted = voters.groupBy("src", "label").agg(rounded(F.sum(vote)).alias("votes"))

@@ -105,7 +105,7 @@ def neighbor_sequence(
 ) -> DataFrame:
     """``(id, sequence)``: features of the k nearest neighbours, nearest last."""
     vectors = nodes.select(F.col("id").alias("dst"), "features")
-    near = neighbors.filter(F.col("rank") <= k).select("src", "dst", "rank")
+    near = materialize(neighbors.filter(F.col("rank") <= k).select("src", "dst", "rank"), "near")
     placed = attach(near, vectors, "dst", ["src"], hot_rows=hot_rows)
     entries = F.array_sort(
         F.collect_list(F.struct((-F.col("rank")).alias("place"), F.col("features")))

@@ -556,10 +556,10 @@ def recommend_links(spark, sf_dir):
 
 @query
 def spectral_link_auc(spark, sf_dir):
-    """Untrained: cold-warm pairs by cosine in the learned space."""
+    """Untrained: cold-warm pairs by cosine in the learned space; negatives pair the same cold ends with warm nodes."""
     split = _split(spark, sf_dir)
     true = split.truth_pairs()
-    negatives = links.negative_samples(_all(split), split.truth.unionByName(split.warm_edges), true, 1)
+    negatives = links.negative_samples(split.warm_nodes, split.truth.unionByName(split.warm_edges), true, 1)
     coords = spectral.apply_spectral_map(_model(split), _all(split))
     pairs = materialize(links.labelled_pairs(true, negatives), "pairs")
     return links.link_auc(links.score_links(pairs, coords, "cosine"))

@@ -420,4 +420,25 @@ ORACLE: dict[str, str] = {
         FROM flagged
         WHERE date_trunc('day', ts) + INTERVAL 31 HOUR <= (SELECT max(ts) FROM events)
         GROUP BY 1""",
+    "stream_warm_up": """
+        WITH RECURSIVE arrivals AS (SELECT DISTINCT user_id AS id, date_trunc('millisecond', ts) AS ts FROM events WHERE event_type = 'signup'),
+        contacts AS (SELECT user_id AS src, date_trunc('millisecond', ts) AS ts FROM events WHERE event_type IN ('click', 'purchase', 'view')),
+        opened AS (
+          SELECT id, min(ts) AS ts FROM arrivals GROUP BY id
+          UNION ALL
+          SELECT o.id, (SELECT min(a.ts) FROM arrivals a WHERE a.id = o.id AND a.ts > o.ts + INTERVAL 12 HOUR)
+          FROM opened o WHERE o.ts IS NOT NULL),
+        near AS (
+          SELECT o.id, o.ts, c.ts AS edge_ts, row_number() OVER (PARTITION BY o.id, o.ts ORDER BY c.ts) AS n
+          FROM opened o LEFT JOIN contacts c
+            ON c.src = o.id AND c.ts BETWEEN o.ts - INTERVAL 12 HOUR AND o.ts + INTERVAL 12 HOUR
+          WHERE o.ts IS NOT NULL),
+        judged AS (
+          SELECT id, ts, count(edge_ts) AS edges, max(edge_ts) FILTER (n = 3) AS third FROM near GROUP BY id, ts),
+        decided AS (
+          SELECT id, CASE WHEN edges >= 3 THEN 'warm' ELSE 'cold' END AS status, least(edges, 3)::INT AS degree,
+                 CASE WHEN edges >= 3 THEN greatest(ts, third) ELSE ts + INTERVAL 12 HOUR END AS ts
+          FROM judged)
+        SELECT id, status, degree, ts::TIMESTAMP AS ts FROM decided
+        WHERE ts < (SELECT date_trunc('millisecond', max(ts)) FROM events WHERE event_type IN ('signup', 'click', 'purchase', 'view')) - INTERVAL 1 HOUR""",
 }

@@ -74,7 +74,7 @@ def stream_predict(
     index = NeighborIndex(base, k, column="z", **index_options)
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist()
+        batch = batch.dropDuplicates(["id"]).persist()  # a repeated id is one node
         coords = apply_spectral_map(model, batch)
         target = f"{path}/neighbors/batch={batch_id}"
         index.nearest(coords).write.mode("overwrite").parquet(target)
@@ -185,59 +185,74 @@ WARM_UP_SCHEMA = T.StructType(
 )
 
 
+def _merged(times: list[int], min_degree: int) -> list[int]:
+    """Sorted times, each at most ``min_degree`` times: more at one instant decide nothing."""
+    times = sorted(times)
+    return [t for i, t in enumerate(times) if i < min_degree or times[i - min_degree] != t]
+
+
 class _WarmUp(StatefulProcessor):
-    """Per node: its arrival and its earliest ``min_degree`` edge times, until either decides."""
+    """Per node: open arrivals, edge times they or later arrivals may need, and the end of the last decided ttl.
+
+    Everything is decided by event time once the watermark has passed the instant of the
+    decision, so the answer does not depend on how rows fall into batches.
+    """
 
     def __init__(self, min_degree: int, ttl_ms: int):
         self.min_degree, self.ttl_ms = min_degree, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.arrival = handle.getValueState("arrival", "ms bigint")
+        self.arrivals = handle.getValueState("arrivals", "ms array<bigint>")
         self.edges = handle.getValueState("edges", "ms array<bigint>")
-
-    def _clear(self) -> None:
-        self.arrival.clear()
-        self.edges.clear()
+        self.closed = handle.getValueState("closed", "ms bigint")
+
+    def _advance(self, key, arrivals: list[int], edges: list[int], now: int) -> list[pd.DataFrame]:
+        """Decide what the watermark ``now`` has passed; keep the rest and set the next timer."""
+        closed = self.closed.get()[0] if self.closed.exists() else None
+        found, due = [], None
+        arrivals = sorted(set(arrivals))
+        while True:
+            arrivals = [a for a in arrivals if closed is None or a > closed]
+            if not arrivals:
+                break
+            arrival = arrivals[0]
+            near = [t for t in edges if arrival - self.ttl_ms <= t <= arrival + self.ttl_ms]
+            warm = len(near) >= self.min_degree
+            due = max(arrival, near[self.min_degree - 1]) if warm else arrival + self.ttl_ms
+            if due >= now:
+                break
+            found.append(self._row(key, "warm" if warm else "cold", self.min_degree if warm else len(near), due))
+            closed, due = arrival + self.ttl_ms, None
+        oldest = min([now, *arrivals[:1]]) - self.ttl_ms
+        edges = [t for t in edges if t >= oldest]
+        if closed is not None and closed < now:
+            closed = None
+        for state, value in ((self.arrivals, arrivals), (self.edges, edges), (self.closed, closed)):
+            if value is None or value == []:
+                state.clear()
+            else:
+                state.update((value,))
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
+        wake = [x for x in (due, edges[-1] + self.ttl_ms if edges else None, closed) if x is not None]
+        if wake:
+            self.handle.registerTimer(max(now, due if due is not None else max(wake)) + 1)
+        return found
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        arrival = self.arrival.get()[0] if self.arrival.exists() else None
-        times = list(self.edges.get()[0]) if self.edges.exists() else []
+        arrivals = list(self.arrivals.get()[0]) if self.arrivals.exists() else []
+        edges = list(self.edges.get()[0]) if self.edges.exists() else []
         for chunk in rows:
             ms = chunk["ts"].astype("datetime64[ms]").astype("int64")
-            arrived = ms[chunk["is_node"]]
-            if len(arrived):
-                first = int(arrived.min())
-                arrival = first if arrival is None else min(arrival, first)
-            times = sorted(times + ms[~chunk["is_node"]].tolist())[: self.min_degree]
-        if arrival is None:
-            self.edges.update((times,))
-            self.handle.registerTimer(max(times) + self.ttl_ms)
-            return
-        deadline = arrival + self.ttl_ms
-        if len(times) >= self.min_degree and max(times[-1], arrival) <= deadline:
-            self._clear()
-            yield self._row(key, "warm", len(times), max(times[-1], arrival))
-            return
-        self.arrival.update((arrival,))
-        self.edges.update((times,))
-        self.handle.registerTimer(deadline)
+            arrivals += ms[chunk["is_node"]].tolist()
+            edges = _merged(edges + ms[~chunk["is_node"]].tolist(), self.min_degree)
+        yield from self._advance(key, arrivals, edges, timerValues.getCurrentWatermarkInMs())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        expired = expiredTimerInfo.getExpiryTimeInMs()
-        if not self.arrival.exists():
-            times = list(self.edges.get()[0]) if self.edges.exists() else []
-            if not times or max(times) + self.ttl_ms <= expired:
-                self._clear()
-            return
-        if self.arrival.get()[0] + self.ttl_ms > expired:
-            return
-        times = self.edges.get()[0] if self.edges.exists() else []
-        degree = sum(t <= expired for t in times)
-        self._clear()
-        yield self._row(key, "cold", degree, expired)
+        arrivals = list(self.arrivals.get()[0]) if self.arrivals.exists() else []
+        edges = list(self.edges.get()[0]) if self.edges.exists() else []
+        yield from self._advance(key, arrivals, edges, timerValues.getCurrentWatermarkInMs())
 
     @staticmethod
     def _row(key, status: str, degree: int, ms: int) -> pd.DataFrame:
@@ -254,23 +269,24 @@ class _WarmUp(StatefulProcessor):
         pass
 
 
-def _earliest_edges(min_degree: int):
-    """Keep, per batch and node, the arrivals and the ``min_degree`` earliest edges.
-
-    Later edges can't change the outcome, so a hub hands at most ``min_degree`` rows per
-    batch to its one state.
-    """
+def _fewer_edges(min_degree: int):
+    """Keep, per batch and node, the arrivals and at most ``min_degree`` edges of one millisecond."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            times = batch.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False)
+            times = batch.column("ts").cast(pa.int64()).to_numpy(zero_copy_only=False) // 1000
             nodes = batch.column("is_node").to_numpy(zero_copy_only=False)
             order = np.lexsort((times, ids, nodes))
-            block = np.concatenate([[True], (ids[order][1:] != ids[order][:-1]) | (nodes[order][1:] != nodes[order][:-1])])
-            start = np.maximum.accumulate(np.where(block, np.arange(len(order)), 0))
+            new = np.ones(len(order), dtype=bool)
+            for values in (ids, nodes, times):
+                ranked = values[order]
+                same = ranked[1:] == ranked[:-1]
+                new[1:] = same & new[1:] if values is not ids else same
+            new[1:] = ~new[1:]
+            start = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))
             kept = order[(np.arange(len(order)) - start < min_degree) | nodes[order]]
             yield batch.take(pa.array(np.sort(kept)))
 
@@ -282,9 +298,11 @@ def stream_warm_up(
 ) -> DataFrame:
     """``(id, status, degree, ts)``: each arriving node once, when decided.
 
-    ``warm`` at its ``min_degree``-th edge if that lies within the ttl after its arrival, else
-    ``cold`` on the event-time timer at the ttl. Edges ahead of the arrival count and are
-    forgotten after the ttl. State lives in RocksDB and is bounded by the ttl.
+    An arrival is judged by the edges within the ttl before and after it: ``warm``, with degree
+    ``min_degree``, at the ``min_degree``-th of them (at the arrival if that is later), else
+    ``cold``, with their number, at the end of the ttl. A further arrival of the node within the ttl is the same arrival. Rows
+    come out once the watermark has passed the decision, so they don't depend on the batches.
+    State lives in RocksDB (this sets the session's state store) and is bounded by the ttl.
     """
     require(nodes, "id", "ts")
     require(edges, "src", "dst", "ts")
@@ -295,7 +313,7 @@ def stream_warm_up(
         F.explode(F.array("src", "dst").cast("array<bigint>")).alias("id"), "ts", F.lit(False).alias("is_node")
     )
     rows = arrivals.unionByName(ends)
-    fewer = rows.mapInArrow(_earliest_edges(min_degree), rows.schema)
+    fewer = rows.mapInArrow(_fewer_edges(min_degree), rows.schema)
     return (
         fewer.withWatermark("ts", delay)
         .groupBy("id")

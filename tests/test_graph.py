@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from coldgraph.functions.hashing import split_bucket
 from coldgraph.functions.skew import attach, hot_ends, hot_keys
 from coldgraph.operators import graph
 from coldgraph.sources import tables
@@ -167,3 +168,19 @@ def test_intermediate_tables_can_be_dropped(spark, make):
         assert not Path(f"{kept}/other-application").exists() and list(folder.glob("probe-*"))
     finally:
         session._application_folder = before
+
+
+def test_splits_take_large_ids(spark, make):
+    big = 1 << 62
+    nodes = make.nodes([[0.0]] * 4, ids=[big, big + 1, -big, 7])
+    edges = make.edges([(-big, big), (7, big + 1)])
+    split = graph.cold_split(nodes, edges, 0.5)
+    assert split.warm_nodes.count() + split.cold_nodes.count() == 4
+    bucket = {r[0]: r[1] for r in nodes.select("id", split_bucket(F.col("id"))).collect()}
+    assert bucket == {i: i * 7919 % 1000 for i in bucket}
+
+
+def test_hot_ends_are_ranked_by_end(make):
+    edges = make.edges([(1, i) for i in range(10, 40)] * 3 + [(2, i) for i in range(10, 40)] * 2)
+    hot = hot_ends(edges, hot_rows=2)
+    assert {r["key"] for r in hot["src"]} == {1, 2} and {r["key"] for r in hot["dst"]} == set(range(10, 40))

@@ -112,6 +112,63 @@ def test_warm_up_over_several_batches(source):
         (9, "cold", 1, at(1060))]
 
 
+def test_warm_up_forgets_nothing_inside_the_ttl(source):
+    """Edges before the ttl don't push out fresh ones, and a second arrival within it adds no row."""
+    nodes = source("arrivals", "id bigint, ts timestamp", [(1, at(70)), (1, at(90)), (2, at(303)), (9, at(2000))])
+    edges = source(
+        "links", EDGE, [(1, 50, at(0)), (1, 50, at(1)), (1, 50, at(50)), (1, 50, at(51)), (2, 60, at(0)), (2, 60, at(1))])
+    found, _ = streams.run_available(streams.stream_warm_up(nodes, edges, 2, 3600, "1 minute"), "warm-up")
+    assert rows(found) == [(1, "warm", 2, at(70)), (2, "cold", 0, at(363))]
+
+
+@pytest.mark.parametrize("files", ["one", "ten", "shuffled"])
+def test_warm_up_does_not_depend_on_batches(source, files):
+    import random
+
+    draw = random.Random(4)
+    arrivals = sorted(((draw.randrange(12), at(draw.randrange(3000))) for _ in range(60)), key=lambda r: r[1])
+    links = sorted(((draw.randrange(12), 90 + draw.randrange(3), at(draw.randrange(3000))) for _ in range(300)), key=lambda r: r[2])
+    arrivals, links = [*arrivals, (99, at(9000))], [*links, (98, 97, at(9000))]
+
+    def cut(table):
+        if files == "one":
+            return [table]
+        parts = [table[i * len(table) // 10 : (i + 1) * len(table) // 10] for i in range(10)]
+        if files == "shuffled":
+            parts = draw.sample(parts[:-1], 9) + parts[-1:]
+        return parts
+
+    nodes = source("arrivals", "id bigint, ts timestamp", *cut(arrivals))
+    edges = source("links", EDGE, *cut(links))
+    found, _ = streams.run_available(streams.stream_warm_up(nodes, edges, 3, 3600, "4 days"), "warm-up")
+    want = []
+    for node in {i for i, _ in arrivals}:
+        closed = None
+        for arrival in sorted(t for i, t in arrivals if i == node):
+            if closed is not None and arrival <= closed:
+                continue
+            closed = arrival + dt.timedelta(hours=1)
+            near = sorted(t for a, b, t in links if node in (a, b) and abs(t - arrival) <= dt.timedelta(hours=1))
+            due = max(arrival, near[2]) if len(near) >= 3 else closed
+            if due < at(9000) - dt.timedelta(days=4):
+                want.append((node, "warm" if len(near) >= 3 else "cold", min(3, len(near)), due))
+    assert want and rows(found) == sorted(want)
+
+
+def test_predict_takes_a_repeated_id_once(spark, planted, fitted, tmp_path):
+    split, model = fitted
+    warm = materialize(spectral.apply_spectral_map(model, split.warm_nodes), "warm")
+    folder = str(tmp_path / "again")
+    some = planted[0].limit(4)
+    some.unionByName(some).unionByName(some).coalesce(1).write.parquet(folder)
+    path = new_path(spark, "predict")
+    stream = spark.readStream.schema(planted[0].schema).parquet(folder)
+    streams.stream_predict(
+        model, stream, warm, split.warm_nodes.select("id", "label"), cluster.fit_clusters(warm, 3), path, f"{path}-log", 5
+    ).awaitTermination()
+    assert spark.read.parquet(f"{path}/predictions").count() == 4
+
+
 def test_outer_edges_change_no_answer():
     import numpy as np
     import pyarrow as pa
