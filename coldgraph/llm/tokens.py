@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from coldgraph.llm.rows import column, text_of
 from coldgraph.llm.words import words_of
 
+STEP = 5_000
 CACHE = "digest binary, tokenizer string, n_tokens long"
 
 
@@ -56,7 +57,11 @@ def count_by_word(path: str, texts: pa.Array) -> np.ndarray:
     for part in words_of(texts, False):
         if not len(part.ids):
             continue
-        each = np.array(encode_counts(path, [w.decode() for w in part.distinct]), dtype=np.int64)
+        each = np.fromiter(
+            (n for i in range(0, len(part.distinct), STEP) for n in encode_counts(path, [w.decode() for w in part.distinct[i : i + STEP]])),
+            dtype=np.int64,
+            count=len(part.distinct),
+        )
         upto = np.concatenate([[0], np.cumsum(each[part.ids])])
         total[part.first : part.first + part.rows] = upto[part.bounds[1:]] - upto[part.bounds[:-1]]
     return total
