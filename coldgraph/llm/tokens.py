@@ -2,7 +2,8 @@
 
 Counts live in a Parquet table (content digest, tokenizer digest, n_tokens). A call joins the digests of its
 texts to it, encodes each content that isn't there once, and appends the new counts. The texts to encode
-are combined map-side by digest, so a content that a third of all rows share is one row.
+are combined map-side by digest, so a content that a third of all rows share is one row; the rows that ask
+for such a content's count are salted.
 """
 
 from __future__ import annotations
@@ -16,8 +17,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coldgraph.functions.skew import HOT_ROWS, attach
 from coldgraph.llm.rows import column, text_of
 from coldgraph.llm.words import words_of
+from coldgraph.session import materialize
 
 STEP = 5_000
 CACHE = "digest binary, tokenizer string, n_tokens long"
@@ -68,7 +71,8 @@ def count_by_word(path: str, texts: pa.Array) -> np.ndarray:
 
 
 def token_counts(
-    docs: DataFrame, path: str, cache: str, by_word: bool = False, limit: int = 2048, key: str = "doc_id", text: str = "text"
+    docs: DataFrame, path: str, cache: str, by_word: bool = False, limit: int = 2048, key: str = "doc_id", text: str = "text",
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """(key, n_bytes, n_tokens, over_limit) for each row of ``docs``; null texts count as empty, with no token.
 
@@ -107,6 +111,7 @@ def token_counts(
     contents = contents.groupBy("digest").agg(F.first("__text").alias("__text"))
     misses = contents.join(stored(), "digest", "left_anti").select("digest", "__text")
     misses.mapInArrow(run, CACHE).write.mode("append").parquet(cache)
-    return keyed.join(stored(), "digest").select(
+    keyed = materialize(keyed, "token-digests")
+    return attach(keyed, stored(), "digest", ["__key"], hot_rows=hot_rows).select(
         F.col("__key").alias(key), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
