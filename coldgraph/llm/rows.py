@@ -70,8 +70,8 @@ def labelled_sample(
     """(key, text, label) of at most ``rows`` labelled rows.
 
     The rows with the smallest hash of their key are taken, so that reruns agree. Only these keys,
-    whose number is the bound, are broadcast; no text is shuffled. A key with several labels is
-    taken once, with the largest.
+    whose number is the bound, are broadcast; of the texts only theirs are shuffled. A key with several labels is
+    taken once, with the largest, a key with several texts once, with the smallest.
     """
     known = labels.select(column(key).alias("__key"), column(label).cast("int").alias("__label"))
     ids = (
@@ -82,4 +82,5 @@ def labelled_sample(
         .limit(rows)
     )
     texts = docs.select(column(key).alias("__key"), text_of(text).alias("__text"))
-    return texts.join(F.broadcast(ids), "__key")
+    found = texts.join(F.broadcast(ids), "__key").groupBy("__key", "__label").agg(F.min("__text").alias("__text"))
+    return found.select("__key", "__text", "__label")

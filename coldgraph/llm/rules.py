@@ -208,14 +208,15 @@ def learn_rules(
 ) -> DecisionList:
     """Learn from counts and labels (1 keep, 0 reject) of rows outside the fold 0 of crc32(key) mod ``modulus``.
 
-    At most ``rows`` labelled rows are used, those with the smallest hash of the key. Rows that the base
+    At most ``rows`` labelled keys are used, those with the smallest hash, each with one of its rows. Rows that the base
     rules reject teach nothing. Without labels of both kinds the list is empty.
     """
     known = labels.where((remainder(key, modulus) != 0) & column(key).isNotNull() & column(label).isNotNull())
     known = known.groupBy(column(key).alias("__key")).agg(F.max(column(label).cast("int")).alias("__label"))
     known = known.orderBy(F.xxhash64("__key"), "__key").limit(rows)
     sample = counted.where(~base_failed()).join(F.broadcast(known), column(key) == F.col("__key"))
-    found = sample.select("__key", *[f().alias(n) for n, f in FEATURES.items()], "__label").toPandas()
+    values = F.struct(*[f().alias(n) for n, f in FEATURES.items()])
+    found = sample.groupBy("__key", "__label").agg(F.min(values).alias("__x")).select("__key", "__x.*", "__label").toPandas()
     found = found.sort_values(list(found.columns), kind="stable")
     return learn(found[list(FEATURES)].to_numpy(dtype=float), found["__label"].to_numpy() == 0)
 

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from coldgraph.llm import golay, interpolation, language, mixing, quality, rules, sharding, simhash, tiling, tokens, toxicity
 from coldgraph.llm.queries import ORACLE, QUERIES
+from coldgraph.llm.rows import labelled_sample
 from coldgraph.session import new_path
 
 SF = "/root/testdata/sf0.001"
@@ -311,6 +312,21 @@ def test_rules(docs, odd, labels):
     assert learned.rules and judged[judged.quality == 1].kept.mean() > 0.97
 
 
+def test_samples_hold_one_row_of_a_repeated_key(spark, docs, labels, monkeypatch):
+    """A key that very many rows share doesn't grow what is collected."""
+    one = labels.where(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0).select("doc_id")
+    first = docs.join(one, "doc_id").orderBy(F.length("text").desc()).limit(1)
+    again = docs.unionByName(first.crossJoin(spark.range(500)).drop("id").select(docs.columns))
+    sample = labelled_sample(again, labels, "quality", 1000)
+    assert sample.columns == ["__key", "__text", "__label"]
+    assert sorted(sample.collect()) == sorted(labelled_sample(docs, labels, "quality", 1000).collect())
+    sizes = []
+    learn = rules.learn
+    monkeypatch.setattr(rules, "learn", lambda x, y: sizes.append(len(x)) or learn(x, y))
+    lists = [rules.learn_rules(rules.statistics(d, ["doc_id"]), labels) for d in (docs, again)]
+    assert lists[0] == lists[1] and sizes[0] == sizes[1]
+
+
 def test_decision_list_is_ordered_and_pruned():
     draw = np.random.default_rng(1)
     x = draw.random((900, len(rules.FEATURES)))
@@ -337,6 +353,15 @@ def test_tokens(spark, docs, odd, texts):
     assert some == {k: tokens.encode_counts(piece, [texts[k]])[0] for k in some}
 
 
+def test_tokens_of_a_shared_content_are_salted(spark):
+    rows = [(i, "one text that very many rows share" if i % 3 else f"text {i}") for i in range(90)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    expected = sorted(zip((i for i, _ in rows), tokens.encode_counts(TOKENIZER, [t for _, t in rows])))
+    got = tokens.token_counts(table, TOKENIZER, new_path(spark, "cache"), True, hot_rows=10)
+    assert "__salt" in got._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == expected
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\r\x0b\x0c\x1c\x85  '`<|>aAσΣ́s"))))
 def test_counts_by_word_equal_the_library(text):
