@@ -5,7 +5,7 @@ large left side. Keys above ``HOT_ROWS`` left rows are salted: the left rows of
 such a key are spread over ``copies`` salts and its right rows are repeated for
 each salt. At most ``MAX_HOT`` keys are salted, so the list of hot keys has a
 fixed bound and may be broadcast; a key outside the top ``MAX_HOT`` holds less
-than 1/``MAX_HOT`` of the rows and needs no salt. No row is dropped either way.
+than 1/``MAX_HOT`` of the rows and stays whole. No row is dropped either way.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 HOT_ROWS = 1_000_000
-MAX_HOT = 1024
+MAX_HOT = 65_536
 
 
 def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> list[Row]:

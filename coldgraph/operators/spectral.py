@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from dataclasses import dataclass
 
 import numpy as np
@@ -313,7 +314,8 @@ def spectral_embedding(
     (A - root). A self-link of every node carries the root term, so a step reads the
     state once: one join without shuffle, one aggregate. Each round ends with a
     written table and a small Rayleigh-Ritz problem on the driver. Iteration
-    stops when the kept Ritz values move less than ``tolerance``.
+    stops when the kept Ritz values move less than ``tolerance``; if ``rounds`` end
+    before, a warning states how far they still moved.
     """
     width = k + oversample + 1
     weighted = _with_degrees(edges, hot_rows)
@@ -350,7 +352,7 @@ def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
     ]
     start = [F.sqrt("degree"), *[F.sqrt("degree") * x for x in noise]]
     blocks = base.select("id", *[c.alias(f"c{i}") for i, c in enumerate(start)])
-    cut, former = 0.0, None
+    cut, former, moved = 0.0, None, np.inf
     for _ in range(rounds):
         state = blocks
         for root in filter_roots(cut, degree):
@@ -375,9 +377,13 @@ def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
         width = rotation.shape[1]
         blocks = rotated.selectExpr("id", *[f"x[{i}] AS c{i}" for i in range(width)])
         kept = values[: min(k, len(values))]
-        if former is not None and np.abs(kept - former[: len(kept)]).max() < tolerance:
+        if former is not None:
+            moved = np.abs(kept - former[: len(kept)]).max(initial=0.0)
+        if moved < tolerance:
             break
         former = kept
+    else:
+        warnings.warn(f"spectral_embedding: Ritz values moved {moved:.3g} in the last of {rounds} rounds, tolerance {tolerance:.3g}", stacklevel=3)
     kept = min(k, width - 1)
     scaled = rotated.join(base, "id").select(
         "id",
