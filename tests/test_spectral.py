@@ -144,6 +144,12 @@ def top_space(a, k):
     return (v / np.sqrt(d)[:, None])[:, ::-1][:, 1 : k + 1]
 
 
+def test_embedding_says_when_it_ends_short_of_its_tolerance(make):
+    edges = make.edges([(i, i + 1) for i in range(12)])
+    with pytest.warns(UserWarning, match="tolerance"):
+        spectral.spectral_embedding(edges, 2, rounds=1)
+
+
 def test_embedding_separates_two_cliques(make):
     clique = [(i, j) for i in range(5) for j in range(i + 1, 5)]
     edges = make.edges(clique + [(i + 5, j + 5) for i, j in clique] + [(4, 5)])
