@@ -37,6 +37,9 @@ def mix(value: Column) -> Column:
 
 
 def mix_pair(a: Column, b: Column) -> Column:
-    """Order-dependent hash of two integers, 16 good bits and more (upper half first)."""
+    """Order-dependent hash of two integers, 16 good bits and more (upper half first).
+
+    ``mix_pair(a, b)`` and ``mix_pair(b, a)`` serve as two independent hashes of one pair.
+    """
     first = mix(a)
     return mix(F.shiftright(first, 3) + mix(b))

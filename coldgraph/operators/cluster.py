@@ -98,21 +98,21 @@ def clustering_scores(clusters: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def matched_accuracy(clusters: DataFrame, labels: DataFrame) -> float:
+def matched_accuracy(clusters: DataFrame, labels: DataFrame, groups: int = MAX_GROUPS) -> float:
     """Accuracy under the best one-to-one match of clusters and labels.
 
-    Only the contingency table reaches the driver; its size is checked.
+    Only the contingency table reaches the driver; ``groups`` states how many clusters or labels there are at most.
     """
-    cells = contingency(clusters, labels).limit(MAX_GROUPS * MAX_GROUPS + 1).collect()
-    rows = sorted({r["cluster"] for r in cells})
-    columns = sorted({r["label"] for r in cells})
-    if len(rows) > MAX_GROUPS or len(columns) > MAX_GROUPS:
-        raise ValueError(f"more than {MAX_GROUPS} clusters or labels")
+    cells = contingency(clusters, labels).limit(groups * groups + 1).collect()
+    rows = {c: i for i, c in enumerate(sorted({r["cluster"] for r in cells}))}
+    columns = {c: i for i, c in enumerate(sorted({r["label"] for r in cells}))}
+    if len(rows) > groups or len(columns) > groups:
+        raise ValueError(f"more than {groups} clusters or labels")
     if not cells:
         return 0.0
     counts = np.zeros((max(len(rows), len(columns)),) * 2)
     for r in cells:
-        counts[rows.index(r["cluster"]), columns.index(r["label"])] = r["n"]
+        counts[rows[r["cluster"]], columns[r["label"]]] = r["n"]
     return float(counts[np.arange(len(counts)), _best_match(-counts)].sum() / counts.sum())
 
 

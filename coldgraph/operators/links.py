@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from coldgraph.functions.hashing import mix, mix_pair, pair_bucket
+from coldgraph.functions.hashing import MIX_INPUT, mix, mix_pair, pair_bucket
 from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.vectors import PAIR_SCORES, rounded, score_pairs
 from coldgraph.operators.graph import shared_neighbors, symmetric
@@ -17,6 +17,8 @@ from coldgraph.operators.neighbors import NeighborIndex
 from coldgraph.session import materialize
 
 BUCKET_NODES = 65_536
+MOST_BUCKETS = 1 << 24
+TRIES = 4
 LADDER_STEPS = 256
 
 
@@ -30,9 +32,9 @@ def numbered(nodes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Nodes in hash buckets, numbered inside each: ``(id, bucket, place)``, bucket sizes, count.
 
     Picking a node by (bucket, place) needs no global order; a bucket holds about
-    ``BUCKET_NODES`` nodes, whatever their number.
+    ``BUCKET_NODES`` nodes (more beyond 2^40 nodes).
     """
-    buckets = max(1, -(-nodes.count() // BUCKET_NODES))
+    buckets = min(MOST_BUCKETS, max(1, -(-nodes.count() // BUCKET_NODES)))
     bucket = F.pmod(F.shiftright(mix(F.col("id")), 8), F.lit(buckets))
     placed = nodes.select("id", bucket.alias("bucket")).withColumn(
         "place", F.row_number().over(Window.partitionBy("bucket").orderBy("id")) - 1
@@ -51,24 +53,26 @@ def negative_samples(
 ) -> DataFrame:
     """``(src, dst)`` with src < dst: pairs that are no edge, up to ``per_pos`` per positive.
 
-    Each positive keeps its ``src`` and draws a partner by hash; draws that hit an edge,
-    the node itself or a former draw are left out. ``edges`` must hold all known edges.
+    Each positive keeps its ``src`` and draws a partner by hash, bucket and place by hashes of
+    their own. A draw that hits an edge or the node itself is repeated, ``TRIES`` times in all; equal pairs
+    of several draws count once, so some fewer than asked may come out. ``edges`` must hold all known edges.
     """
     placed, sizes, buckets = numbered(nodes)
-    draws = positives.select(
-        "src", F.explode(F.sequence(F.lit(1), F.lit(per_pos))).alias("t"), "dst"
-    ).select("src", mix_pair(F.col("src") + F.lit(seed), F.col("dst") * per_pos + F.col("t")).alias("h"))
-    located = draws.select(
-        "src", F.pmod(F.shiftright("h", 8), F.lit(buckets)).alias("bucket"), "h"
-    ).join(F.broadcast(sizes), "bucket")
-    aimed = located.select("src", "bucket", F.pmod(F.shiftright("h", 4), F.col("size")).cast("int").alias("place"))
-    drawn = aimed.join(placed.withColumnRenamed("id", "other"), ["bucket", "place"])
-    pairs = (
-        drawn.filter(F.col("src") != F.col("other"))
-        .select(F.least("src", "other").alias("src"), F.greatest("src", "other").alias("dst"))
-        .distinct()
+    a = F.pmod(F.col("src"), F.lit(MIX_INPUT)) + F.lit(seed)
+    b = F.pmod(F.col("dst"), F.lit(MIX_INPUT)) * (per_pos * TRIES) + F.col("t")
+    draws = positives.select("src", "dst", F.explode(F.sequence(F.lit(0), F.lit(per_pos * TRIES - 1))).alias("t")).select(
+        "src", "dst", "t", F.pmod(F.shiftright(mix_pair(a, b), 8), F.lit(buckets)).alias("bucket"), mix_pair(b, a).alias("h")
     )
-    return pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    located = draws.join(sizes, "bucket")
+    aimed = located.withColumn("place", F.pmod(F.shiftright("h", 4), F.col("size")).cast("int")).drop("h", "size")
+    drawn = aimed.join(placed.withColumnRenamed("id", "other"), ["bucket", "place"]).filter(F.col("src") != F.col("other"))
+    pairs = drawn.select(
+        F.least("src", "other").alias("src"), F.greatest("src", "other").alias("dst"),
+        F.struct(F.col("src").alias("a"), F.col("dst").alias("b"), F.expr(f"t div {TRIES}").alias("n")).alias("draw"), "t",
+    )
+    fresh = pairs.join(edges.select("src", "dst"), ["src", "dst"], "left_anti")
+    first = fresh.groupBy("draw").agg(F.min_by(F.struct("src", "dst"), "t").alias("pair"))
+    return first.select("pair.*").distinct()
 
 
 def labelled_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:

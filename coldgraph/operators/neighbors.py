@@ -29,7 +29,8 @@ from coldgraph.operators.graph import normalize_edges
 from coldgraph.session import materialize
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-MAX_CELLS = 4096
+CENTER_BYTES = 64 * 1024 * 1024
+STEP_CELLS = 4_000_000
 BLOCK_ROWS = 4096
 METRICS = ("euclidean", "cosine")
 
@@ -159,12 +160,12 @@ def _smallest_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndar
 
 
 def pivots(base: DataFrame, rows: int, column: str, d: int, cells: int | None = None) -> np.ndarray:
-    """About sqrt(rows), at most ``MAX_CELLS``, base vectors picked by the hash of their id.
+    """About sqrt(rows) base vectors, but no more than ``CENTER_BYTES`` hold, picked by the hash of their id.
 
     The hash threshold keeps the expected number fixed, so nothing is sorted and
-    what is collected is bounded. Which ones are picked doesn't change any result.
+    what is collected is bounded. Which ones are picked doesn't change any exact result.
     """
-    count = cells or min(MAX_CELLS, max(1, int(round(rows**0.5))))
+    count = cells or min(CENTER_BYTES // (8 * (d + 2)), max(1, int(round(rows**0.5))))
     buckets = 1 << 40
     picked = base.filter(
         F.pmod(F.xxhash64("id"), F.lit(buckets)) < F.lit(int(buckets * min(1.0, count / rows)))
@@ -180,6 +181,16 @@ def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(squares - 2 * rows @ centers.T, 0))
 
 
+def _steps(rows: int, centers: int) -> Iterator[slice]:
+    """Slices of rows whose distances to all centers fit in memory."""
+    size = max(1, STEP_CELLS // centers)
+    return (slice(i, i + size) for i in range(0, rows, size))
+
+
+def _type(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def _copies(df: DataFrame, column: str, keep: int) -> DataFrame:
     """``(vector, ids)``: distinct vectors with their ``keep`` smallest ids.
 
@@ -207,9 +218,11 @@ def _in_home_cell(df: DataFrame, d: int, centers, metric: str, side: str, *keep:
             if not batch.num_rows:
                 continue
             rows = place(matrix(batch.column("vector"), d), metric, side)
-            distances = _distances(rows, c)
-            cell = distances.argmin(axis=1)
-            reach = distances[np.arange(len(rows)), cell]
+            cell, reach = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
+            for part in _steps(len(rows), len(c)):
+                distances = _distances(rows[part], c)
+                cell[part] = distances.argmin(axis=1)
+                reach[part] = distances.min(axis=1)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(k) for k in keep), list_array(rows), pa.array(cell.astype(np.int32)), pa.array(reach)],
                 names=[*keep, "placed", "cell", "reach"],
@@ -225,7 +238,7 @@ def _split_counts(counts: dict[int, int], block_rows: int) -> dict[int, int]:
 
 
 def _lookup(spark, name: str, values: dict[int, int]) -> DataFrame:
-    """Per-cell numbers, at most ``MAX_CELLS`` of them in expectation: small enough to broadcast."""
+    """Per-cell numbers, no more than there are centers, whose bytes are bounded: small enough to broadcast."""
     return F.broadcast(spark.createDataFrame(list(values.items()) or [(-1, 1)], f"cell int, {name} int"))
 
 
@@ -258,20 +271,21 @@ def _visit(
 
     def compare(q_table: pa.Table, b_table: pa.Table) -> pa.Table:
         names = ["qid", "bid", "dist"]
+        q_type, b_type = q_table.schema.field("qid").type, b_table.schema.field("bid").type
         if not q_table.num_rows or not b_table.num_rows:
-            return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())], names=names)
+            return pa.table([pa.array([], q_type), pa.array([], b_type), pa.array([], pa.float64())], names=names)
         q_ids, b_ids = q_table.column("qid").to_numpy(), b_table.column("bid").to_numpy()
         at, hit, dist = best_in_block(
             q_ids, matrix(q_table.column("q"), d), b_ids, matrix(b_table.column("b"), d), k, metric,
             skip_self=False,
         )
-        return pa.table([pa.array(q_ids[at]), pa.array(b_ids[hit]), pa.array(dist)], names=names)
+        return pa.table([pa.array(q_ids[at], q_type), pa.array(b_ids[hit], b_type), pa.array(dist)], names=names)
 
     grid = ["cell", "q_part", "b_part"]
     return (
         left.groupBy(*grid)
         .cogroup(right.groupBy(*grid))
-        .applyInArrow(compare, "qid bigint, bid bigint, dist double")
+        .applyInArrow(compare, f"qid {_type(visits, 'qid')}, bid {_type(base, 'bid')}, dist double")
     )
 
 
@@ -401,7 +415,7 @@ class NeighborIndex:
         """From distinct vectors back to ids."""
         best = materialize(best, "best")
         named = attach(best, self.base.select("bid", "ids"), "bid", ["qid"], hot_rows=hot_rows)
-        hits = named.select("qid", "dist", F.explode("ids").alias("dst"))
+        hits = named.select("qid", "dist", F.explode(F.slice("ids", 1, k + 1)).alias("dst"))
         ordered = F.array_sort(F.collect_list(F.struct("dist", "dst")))
         answers = (
             hits.groupBy("qid")
@@ -440,10 +454,20 @@ def knn_approx(
     """``neighbors`` from the ``probes`` nearest cells of each query only.
 
     Every base row stays in reach through its own cell; a query's cost no longer
-    depends on how well its bound prunes. ``probes`` >= the number of cells is exact.
+    depends on how well its bound prunes. ``probes`` >= the number of cells is exact. Queries whose cells
+    hold fewer than k rows are answered exactly instead.
     """
     index = NeighborIndex(base, k, metric, column, 0, block_rows, cells)
-    return index.probe(queries, probes, hot_rows)
+    if index.rows == 0:
+        return index.nearest(queries)
+    found = materialize(index.probe(queries, probes, hot_rows), "probed")
+    full = found.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    full = full.filter(F.col("n") >= min(k, index.rows)).select("id")
+    short = materialize(queries.select("id", column).join(full, "id", "left_anti"), "short")
+    if short.isEmpty():
+        return found
+    whole = found.join(full.withColumnRenamed("id", "src"), "src", "left_semi")
+    return whole.unionByName(index.nearest(short, hot_rows))
 
 
 def _nearest_cells(asked: DataFrame, centers, filled, d: int, probes: int) -> DataFrame:
@@ -456,17 +480,19 @@ def _nearest_cells(asked: DataFrame, centers, filled, d: int, probes: int) -> Da
                 continue
             q_ids = batch.column("qid").to_numpy(zero_copy_only=False)
             rows = matrix(batch.column("placed"), d)
-            nearest = np.argsort(_distances(rows, c), axis=1, kind="stable")[:, :count]
+            nearest = np.concatenate(
+                [np.argsort(_distances(rows[part], c), axis=1, kind="stable")[:, :count] for part in _steps(len(rows), len(c))]
+            )
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array(np.repeat(q_ids, count)),
+                    pa.array(np.repeat(q_ids, count), batch.column("qid").type),
                     list_array(np.repeat(rows, count, axis=0)),
                     pa.array(cells[nearest.ravel()].astype(np.int32)),
                 ],
                 names=["qid", "q", "cell"],
             )
 
-    return asked.select("qid", "placed").mapInArrow(probe, "qid bigint, q array<double>, cell int")
+    return asked.select("qid", "placed").mapInArrow(probe, f"qid {_type(asked, 'qid')}, q array<double>, cell int")
 
 
 def knn_graph(nodes: DataFrame, k: int, metric: str = "euclidean", **options) -> DataFrame:
@@ -571,17 +597,15 @@ def _open_cells(queries: DataFrame, centers, spans, metric: str, d: int) -> Data
             if metric == "cosine":
                 bound = np.sqrt(2 * bound + 10.0**-DIGITS)
             bound = np.where(np.isnan(bound), np.inf, bound) + 2 * 10.0**-DIGITS
-            step = max(1, 4_000_000 // len(filled))
-            for start in range(0, len(rows), step):
-                part = slice(start, start + step)
+            for part in _steps(len(rows), len(filled)):
                 dist = _distances(rows[part], c)
                 least = np.maximum(dist - span[:, 1], span[:, 0] - dist)
                 at, cell = np.nonzero(
                     (least <= bound[part, None]) & (filled[None, :] != home[part, None])
                 )
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[part][at]), list_array(rows[part][at]), pa.array(filled[cell].astype(np.int32))],
+                    [pa.array(q_ids[part][at], batch.column("qid").type), list_array(rows[part][at]), pa.array(filled[cell].astype(np.int32))],
                     names=["qid", "q", "cell"],
                 )
 
-    return queries.mapInArrow(keep_open, "qid bigint, q array<double>, cell int")
+    return queries.mapInArrow(keep_open, f"qid {_type(queries, 'qid')}, q array<double>, cell int")

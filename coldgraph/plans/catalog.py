@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,6 +169,12 @@ def laplacian_random_walk(spark, sf_dir):
     return spectral.laplacian_entries(edges, "rw")
 
 
+@query
+def laplacian_plain(spark, sf_dir):
+    edges = materialize(retail_edges(spark, sf_dir), "edges")
+    return _rounded(spectral.laplacian_entries(edges, "plain"), "value")
+
+
 @query
 def rayleigh_features(spark, sf_dir):
     nodes, edges = _planted(spark, sf_dir)
@@ -200,6 +207,59 @@ def spectral_map_eigenvalues(spark, sf_dir):
     return model.select(F.posexplode("eigenvalues").alias("dim", "value"))
 
 
+def _given_map() -> spectral.SpectralMap:
+    """A map by an arithmetic rule, for results that SQL can repeat."""
+    p, q = np.arange(EMBEDDING_DIM)[:, None], np.arange(4)[None, :]
+    weights = ((p + 1) * (q + 3) % 7 - 3) / 10
+    return spectral.SpectralMap((p[:, 0] % 5) / 50, weights, np.full(4, np.nan))
+
+
+@query
+def given_map_coords(spark, sf_dir):
+    return long_form(spectral.apply_spectral_map(_given_map(), planted_nodes(spark, sf_dir)), "z", "id")
+
+
+def _two_features(spark, sf_dir) -> DataFrame:
+    """Customers and parts with the first two of their features."""
+    return retail_nodes(spark, sf_dir, check=False).withColumn("features", F.slice("features", 1, 2))
+
+
+@query
+def retail_map_eigenvalues(spark, sf_dir):
+    edges = materialize(retail_edges(spark, sf_dir), "edges")
+    model = spectral.fit_spectral_map(_two_features(spark, sf_dir), edges, 2).to_row(spark)
+    return _rounded(model.select(F.posexplode("eigenvalues").alias("dim", "value")), "value")
+
+
+@query
+def retail_regression(spark, sf_dir):
+    """Weighted degree in hundreds, regressed on two features; predictions for every node."""
+    edges = materialize(retail_edges(spark, sf_dir), "edges")
+    nodes = _two_features(spark, sf_dir)
+    target = graph.degrees(edges, nodes).select("id", F.array(F.col("weighted_degree") / 100).alias("z"))
+    model = spectral.fit_by_regression(nodes, target)
+    return long_form(spectral.apply_spectral_map(model, nodes), "z", "id")
+
+
+def _part_column(spark, sf_dir, *columns: str) -> DataFrame:
+    values = F.array(*[F.col(c).cast("double") for c in columns])
+    return read(spark, sf_dir, "part").select((F.col("p_partkey") * 2 + 1).alias("id"), values.alias("z"))
+
+
+@query
+def part_similarity(spark, sf_dir):
+    """Of two one-dimensional spaces: the absolute correlation."""
+    a, b = _part_column(spark, sf_dir, "p_size"), _part_column(spark, sf_dir, "p_retailprice")
+    return _rounded(spectral.subspace_similarity(a, b), "cosine")
+
+
+@query
+def part_orthonormality(spark, sf_dir):
+    edges = materialize(retail_edges(spark, sf_dir), "edges")
+    coords = _part_column(spark, sf_dir, "p_size", "p_retailprice")
+    return _rounded(spectral.orthonormality(coords, graph.degrees(edges, coords)), "deviation")
+
+
 @query
 def spectral_embedding(spark, sf_dir):
     _, edges = _planted(spark, sf_dir)
@@ -271,6 +331,13 @@ def knn_approx(spark, sf_dir):
     return neighbors.knn_approx(nodes, nodes, K, probes=8)
 
 
+@query
+def knn_all_cells(spark, sf_dir):
+    """The approximate search with every cell visited."""
+    nodes = planted_nodes(spark, sf_dir)
+    return neighbors.knn_approx(nodes, nodes, K, probes=1_000_000)
+
+
 def _feature_neighbors(split: graph.ColdSplit) -> DataFrame:
     return neighbors.knn(split.cold_nodes, split.warm_nodes, K)
 
@@ -302,6 +369,18 @@ def compare_spaces(spark, sf_dir):
     return _rounded(found, "precision", "recall")
 
 
+@query
+def compare_given_spaces(spark, sf_dir):
+    split = _split(spark, sf_dir)
+    nodes = _all(split)
+    spaces = {
+        "features": nodes.select("id", F.col("features").alias("z")),
+        "given_map": spectral.apply_spectral_map(_given_map(), nodes),
+    }
+    found = neighbors.compare_spaces(spaces, split.truth_pairs(), split.cold_nodes, split.warm_nodes, K)
+    return _rounded(found, "precision", "recall")
+
+
 @query
 def augment_edges(spark, sf_dir):
     split = _split(spark, sf_dir)
@@ -374,6 +453,29 @@ def cold_representation_sequence(spark, sf_dir):
     return long_form(reps, "x", "id")
 
 
+def _given_representation(spark, sf_dir, method: str) -> DataFrame:
+    split = _split(spark, sf_dir)
+    reps = represent.cold_representation(
+        _given_map(), split.warm_nodes, split.cold_nodes, split.warm_edges, method
+    )
+    return long_form(reps, "x", "id")
+
+
+@query
+def given_representation(spark, sf_dir):
+    return _given_representation(spark, sf_dir, "propagate")
+
+
+@query
+def given_representation_tokens(spark, sf_dir):
+    return _given_representation(spark, sf_dir, "tokens")
+
+
+@query
+def given_representation_sequence(spark, sf_dir):
+    return _given_representation(spark, sf_dir, "sequence")
+
+
 # --- classification -----------------------------------------------------------
 
 
@@ -454,7 +556,7 @@ def assign_clusters(spark, sf_dir):
 
 @query
 def power_iteration_clusters(spark, sf_dir):
-    return cluster.power_iteration_clusters(_split(spark, sf_dir).warm_edges, 10, 10)
+    return cluster.power_iteration_clusters(_split(spark, sf_dir).warm_edges, 10)
 
 
 @query
@@ -481,6 +583,26 @@ def silhouette(spark, sf_dir):
     return warm.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(value))
 
 
+@query
+def label_silhouette(spark, sf_dir):
+    """The labels taken as clusters of the features."""
+    nodes = planted_nodes(spark, sf_dir)
+    coords = nodes.select("id", F.col("features").alias("z"))
+    value = cluster.silhouette(coords, nodes.select("id", F.col("label").alias("cluster")))
+    return _rounded(nodes.agg(F.count(F.lit(1)).alias("n")).withColumn("silhouette", F.lit(value)), "silhouette")
+
+
+@query
+def matched_accuracy(spark, sf_dir):
+    """Parts in three groups by size against three by brand: the best of the six matches."""
+    parts = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_size", "p_brand")
+    groups = parts.select("id", F.pmod("p_size", F.lit(3)).alias("cluster"))
+    brand = F.substring_index("p_brand", "#", -1).cast("int")
+    labels = parts.select("id", F.pmod(brand, F.lit(3)).alias("label"))
+    value = cluster.matched_accuracy(groups, labels, 3)
+    return _rounded(parts.agg(F.count(F.lit(1)).alias("n")).withColumn("matched", F.lit(value)), "matched")
+
+
 # --- links --------------------------------------------------------------------
 
 
@@ -585,9 +707,9 @@ def cold_sweep_features(spark, sf_dir):
 
 @query
 def cold_sweep_spectral(spark, sf_dir):
-    return experiments.cold_sweep(
-        *_planted(spark, sf_dir), (0.1, 0.5), ["spectral_vote"], "planted"
-    )
+    """Features alone, neighbour means and the spectral space over growing cold shares."""
+    models = ["feature_classifier", "sage_classifier", "spectral_vote", "spectral_classifier"]
+    return experiments.cold_sweep(*_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), models, "planted")
 
 
 def _votes(split, metric):
@@ -699,3 +821,32 @@ def stream_predict(spark, sf_dir):
     )
     run.awaitTermination()
     return spark.read.parquet(f"{path}/predictions").select("id", "pred", "cluster")
+
+
+def _given_prediction(spark, sf_dir, folder: str) -> DataFrame:
+    split = _split(spark, sf_dir)
+    warm = materialize(spectral.apply_spectral_map(_given_map(), split.warm_nodes), "warm")
+    path = new_path(spark, "predicted")
+    labels = split.warm_nodes.select("id", "label")
+    centers = cluster.fit_clusters(warm, 10)
+    streams.stream_predict(
+        _given_map(), _node_stream(spark, sf_dir), warm, labels, centers, path, f"{path}-log", K
+    ).awaitTermination()
+    return spark.read.parquet(f"{path}/{folder}").drop("batch")
+
+
+@query
+def stream_embed_given(spark, sf_dir):
+    stream = streams.stream_embed(_given_map(), _node_stream(spark, sf_dir))
+    return long_form(streams.run_available(stream, "embedded")[0], "z", "id")
+
+
+@query
+def stream_predict_given(spark, sf_dir):
+    return _given_prediction(spark, sf_dir, "predictions").select("id", "pred")
+
+
+@query
+def stream_links(spark, sf_dir):
+    """Links recommended to arriving nodes, batch by batch."""
+    return _given_prediction(spark, sf_dir, "neighbors").select("src", "dst", "rank", "dist")

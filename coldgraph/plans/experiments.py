@@ -12,7 +12,7 @@ from coldgraph.operators.classify import accuracy, fit_classifier, neighbor_vote
 from coldgraph.operators.graph import ColdSplit, cold_split
 from coldgraph.operators.neighbors import knn
 from coldgraph.operators.represent import cold_representation, feature_baseline, sage_mean
-from coldgraph.operators.spectral import apply_spectral_map, fit_spectral_map
+from coldgraph.operators.spectral import SpectralMap, apply_spectral_map, fit_spectral_map
 from coldgraph.session import materialize
 
 RESULT_COLUMNS = ("dataset", "task", "model", "cold_share", "metric", "value")
@@ -29,11 +29,20 @@ def features_vote(split: ColdSplit, k: int = 10, metric: str = "euclidean", **_)
     return neighbor_vote(found, split.warm_nodes.select("id", "label"))
 
 
+def _map(split: ColdSplit, dims: int, ridge: float, shared: dict | None) -> SpectralMap:
+    """The split's spectral map; models that pass one ``shared`` dict fit it once."""
+    if shared is None:
+        shared = {}
+    if (dims, ridge) not in shared:
+        shared[dims, ridge] = fit_spectral_map(split.warm_nodes, split.warm_edges, dims, ridge)
+    return shared[dims, ridge]
+
+
 def spectral_vote(
-    split: ColdSplit, k: int = 10, dims: int = 9, ridge: float = 1e-2, **_
+    split: ColdSplit, k: int = 10, dims: int = 9, ridge: float = 1e-2, shared: dict | None = None, **_
 ) -> DataFrame:
     """Labels of the nearest warm nodes in the learned spectral space."""
-    model = fit_spectral_map(split.warm_nodes, split.warm_edges, dims, ridge)
+    model = _map(split, dims, ridge, shared)
     warm = apply_spectral_map(model, split.warm_nodes)
     cold = apply_spectral_map(model, split.cold_nodes)
     return neighbor_vote(knn(cold, warm, k, column="z"), split.warm_nodes.select("id", "label"))
@@ -58,10 +67,11 @@ def sage_classifier(split: ColdSplit, fanout: int = 10, **_) -> DataFrame:
 
 
 def spectral_classifier(
-    split: ColdSplit, k: int = 10, dims: int = 9, ridge: float = 1e-2, method: str = "tokens", **_
+    split: ColdSplit, k: int = 10, dims: int = 9, ridge: float = 1e-2, method: str = "tokens",
+    shared: dict | None = None, **_,
 ) -> DataFrame:
     """Classifier on graph representations, cold nodes through predicted neighbours."""
-    model = fit_spectral_map(split.warm_nodes, split.warm_edges, dims, ridge)
+    model = _map(split, dims, ridge, shared)
     reps = cold_representation(
         model, split.warm_nodes, split.cold_nodes, split.warm_edges, method, k
     )
@@ -94,8 +104,10 @@ def cold_sweep(
     result = None
     for share in shares:
         split = cold_split(nodes, edges, share)
+        shared: dict = {}
         for name, run in chosen.items():
-            preds = _with_truth(run(split, **options), split.cold_nodes).filter("label IS NOT NULL")
+            own = {"shared": shared} if run in MODELS.values() else {}
+            preds = _with_truth(run(split, **options, **own), split.cold_nodes).filter("label IS NOT NULL")
             row = preds.agg(rounded(accuracy(preds)).alias("value")).select(
                 F.lit(dataset).alias("dataset"),
                 F.lit("classification").alias("task"),

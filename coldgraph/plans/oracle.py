@@ -135,15 +135,18 @@ numbered AS (
   SELECT id, bucket, row_number() OVER (PARTITION BY bucket ORDER BY id) - 1 AS place,
          count(*) OVER (PARTITION BY bucket) AS size FROM bucketed),
 sizes AS (SELECT DISTINCT bucket, size FROM numbered),
-draws AS (SELECT src, {mix_pair('src', 'dst * 2 + t')} AS h FROM held, range(1, 3) r(t)),
+draws AS (
+  SELECT src, dst, t, {mix_pair('src', 'dst * 8 + t')} AS h, {mix_pair('dst * 8 + t', 'src')} AS g FROM held, range(0, 8) r(t)),
 aimed AS (
-  SELECT src, s.bucket, (h >> 4) % s.size AS place
+  SELECT src, dst, t, s.bucket, (g >> 4) % s.size AS place
   FROM draws JOIN sizes s ON s.bucket = (h >> 8) % (SELECT 1 + max(bucket) FROM sizes)),
-negatives AS (
-  SELECT DISTINCT least(a.src, n.id) AS src, greatest(a.src, n.id) AS dst
+tried AS (
+  SELECT least(a.src, n.id) AS src, greatest(a.src, n.id) AS dst,
+         row_number() OVER (PARTITION BY a.src, a.dst, t // 4 ORDER BY t) AS n
   FROM aimed a JOIN numbered n USING (bucket, place)
   WHERE a.src <> n.id
     AND NOT EXISTS (SELECT 1 FROM edges e WHERE e.src = least(a.src, n.id) AND e.dst = greatest(a.src, n.id))),
+negatives AS (SELECT DISTINCT src, dst FROM tried WHERE n = 1),
 pairs AS (SELECT src, dst, 1 AS y FROM held UNION ALL SELECT src, dst, 0 FROM negatives)"""
 
 
@@ -223,7 +226,117 @@ SPLIT_KNN = with_(NODES, EDGES, split(0.2), knn("cold", "warm", 10))
 SPLIT_VOTE = with_(NODES, EDGES, split(0.2), knn("cold", "warm", 10), votes("knn", "warm"))
 ALL_VOTE = [NODES, knn("emb", "emb", 10), votes("knn", "emb")]
 
+
+
+def given_map(table: str, name: str) -> str:
+    """Coordinates ``z`` of ``table`` by the catalog's arithmetic map."""
+    return f"""
+{name} AS (
+  SELECT id, any_value(label) AS label, any_value(features) AS features, list(v ORDER BY q) AS z FROM (
+    SELECT id, q, any_value(label) AS label, any_value(features) AS features,
+           sum((features[p + 1] - (p % 5) / 50) * (((p + 1) * (q + 3)) % 7 - 3) / 10) AS v
+    FROM {table}, range(0, 64) p(p), range(0, 4) q(q) GROUP BY id, q)
+  GROUP BY id)"""
+
+
+def quality(found: str, name: str) -> str:
+    return f"""
+{name} AS (
+  SELECT count(*) FILTER (n > 0) AS queries, count(*) FILTER (n = 0) AS without_truth,
+         round(avg(h / 10) FILTER (n > 0), 6) AS precision, round(avg(h / n) FILTER (n > 0), 6) AS recall FROM (
+    SELECT c.id, (SELECT count(*) FROM truth t WHERE t.src = c.id) AS n,
+           (SELECT count(*) FROM truth t JOIN {found} k ON k.src = t.src AND k.dst = t.dst WHERE t.src = c.id) AS h
+    FROM cold c))"""
+
+
+GIVEN = [NODES, EDGES, split(0.2), given_map("warm", "gwarm"), given_map("cold", "gcold")]
+GIVEN_HOPS = [
+    *GIVEN, knn("gcold", "gwarm", 10, column="z"), """
+allsym AS (
+  SELECT src, dst, sum(weight) AS weight FROM (
+    SELECT src, dst, weight FROM wedges UNION ALL SELECT dst, src, weight FROM wedges
+    UNION ALL SELECT src, dst, 1.0 FROM knn UNION ALL SELECT dst, src, 1.0 FROM knn) GROUP BY 1, 2)""",
+    SYM_SCALE.replace("sym", "allsym"), elements("emb", "features", "h0"), hop("h0", "h1"), hop("h1", "h2"),
+]
+RETAIL_FEATURES = """
+f AS MATERIALIZED (
+  SELECT c_custkey * 2 AS id, c_acctbal::DOUBLE / 1000 AS a, c_nationkey::DOUBLE AS b FROM customer UNION ALL
+  SELECT p_partkey * 2 + 1, p_retailprice::DOUBLE / 1000, p_size::DOUBLE FROM part),
+fd AS MATERIALIZED (SELECT f.id, a, b, d FROM f JOIN (SELECT src AS id, sum(weight)::DOUBLE AS d FROM sym GROUP BY 1) USING (id))"""
+
 ORACLE: dict[str, str] = {
+    "matched_accuracy": """
+        WITH cells AS (
+          SELECT p_size % 3 AS c, split_part(p_brand, '#', 2)::INTEGER % 3 AS l, count(*) AS n FROM part GROUP BY 1, 2),
+        matches AS (
+          SELECT a, b, 3 - a - b AS c FROM range(0, 3) x(a), range(0, 3) y(b) WHERE a <> b)
+        SELECT (SELECT sum(n) FROM cells)::BIGINT AS n, round(max(hit) / (SELECT sum(n) FROM cells), 6) AS matched FROM (
+          SELECT m.a, m.b, sum(n) AS hit FROM matches m JOIN cells k
+            ON k.l = CASE k.c WHEN 0 THEN m.a WHEN 1 THEN m.b ELSE m.c END GROUP BY 1, 2)""",
+    "laplacian_plain": with_(RETAIL) + """
+        SELECT src AS i, dst AS j, round(-weight, 6)::DOUBLE AS value FROM sym
+        UNION ALL SELECT src, src, round(sum(weight), 6)::DOUBLE FROM sym GROUP BY 1""",
+    "given_map_coords": with_(NODES, given_map("emb", "g")) + long("g", "z", "id"),
+    "stream_embed_given": with_(
+        "raw AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x: x::DOUBLE) AS features FROM embeddings)",
+        given_map("raw", "g"),
+    ) + long("g", "z", "id"),
+    "stream_links": with_(*GIVEN, RAW, given_map("raw", "g"), knn("g", "gwarm", 10, column="z")) + "SELECT * FROM knn",
+    "stream_predict_given": with_(
+        *GIVEN, RAW, given_map("raw", "g"), knn("g", "gwarm", 10, column="z"), votes("knn", "warm")
+    ) + "SELECT g.id, v.pred FROM g LEFT JOIN votes v ON v.id = g.id",
+    "knn_all_cells": with_(NODES, knn("emb", "emb", 10)) + "SELECT * FROM knn",
+    "compare_given_spaces": with_(
+        *GIVEN, knn("cold", "warm", 10, name="k1"), knn("gcold", "gwarm", 10, column="z", name="k2"),
+        quality("k1", "q1"), quality("k2", "q2"),
+    ) + "SELECT 'features' AS space, * FROM q1 UNION ALL SELECT 'given_map', * FROM q2",
+    "given_representation": with_(*GIVEN_HOPS) + "SELECT id, (pos - 1)::INTEGER AS pos, round(v, 6) AS value FROM h2",
+    "given_representation_tokens": with_(*GIVEN_HOPS) + """
+        SELECT id, (64 * hop + pos - 1)::INTEGER AS pos, round(v, 6) AS value FROM (
+          SELECT 0 AS hop, * FROM h0 UNION ALL SELECT 1, * FROM h1 UNION ALL SELECT 2, * FROM h2)""",
+    "given_representation_sequence": with_(
+        *GIVEN, "gall AS (SELECT * FROM gcold UNION ALL SELECT * FROM gwarm)", knn("gall", "gwarm", 10, column="z"),
+        elements("warm", "features", "el"),
+    ) + """
+        SELECT k.src AS id, (pos - 1)::INTEGER AS pos, round(sum(v * pow(0.5, rank - 1)), 6) AS value
+        FROM knn k JOIN el ON el.id = k.dst GROUP BY 1, 2""",
+    "retail_map_eigenvalues": with_(RETAIL, RETAIL_FEATURES, """
+        l AS (
+          SELECT sum(weight * (x.a - y.a) * (x.a - y.a)) AS aa, sum(weight * (x.a - y.a) * (x.b - y.b)) AS ab,
+                 sum(weight * (x.b - y.b) * (x.b - y.b)) AS bb
+          FROM edges JOIN f x ON x.id = src JOIN f y ON y.id = dst),
+        m AS (SELECT sum(d) AS t, sum(d * a) / sum(d) AS a, sum(d * b) / sum(d) AS b FROM fd),
+        c AS (SELECT sum(d * (fd.a - m.a) * (fd.a - m.a)) AS aa, sum(d * (fd.a - m.a) * (fd.b - m.b)) AS ab,
+                     sum(d * (fd.b - m.b) * (fd.b - m.b)) AS bb FROM fd, m),
+        s AS (SELECT aa + 0.01 * (aa + bb) / 2 AS aa, ab, bb + 0.01 * (aa + bb) / 2 AS bb FROM c),
+        q AS (SELECT s.aa * s.bb - s.ab * s.ab AS two, l.aa * s.bb + l.bb * s.aa - 2 * l.ab * s.ab AS one,
+                     l.aa * l.bb - l.ab * l.ab AS zero FROM l, s)""") + """
+        SELECT 0::INTEGER AS dim, round((one - sqrt(one * one - 4 * two * zero)) / (2 * two), 6) AS value FROM q
+        UNION ALL SELECT 1, round((one + sqrt(one * one - 4 * two * zero)) / (2 * two), 6) FROM q""",
+    "retail_regression": with_(RETAIL, RETAIL_FEATURES, """
+        y AS (SELECT f.id, f.a, f.b, coalesce(d, 0) / 100 AS y FROM f LEFT JOIN fd USING (id)),
+        m AS (SELECT avg(a) AS a, avg(b) AS b, avg(y) AS y FROM y),
+        c AS (SELECT sum((y.a - m.a) * (y.a - m.a)) AS aa, sum((y.a - m.a) * (y.b - m.b)) AS ab,
+                     sum((y.b - m.b) * (y.b - m.b)) AS bb, sum((y.a - m.a) * (y.y - m.y)) AS ay,
+                     sum((y.b - m.b) * (y.y - m.y)) AS by_ FROM y, m),
+        r AS (SELECT aa + 1e-6 * (aa + bb) / 2 AS aa, ab, bb + 1e-6 * (aa + bb) / 2 AS bb, ay, by_ FROM c),
+        w AS (SELECT (bb * ay - ab * by_) / (aa * bb - ab * ab) AS a, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS b FROM r)""") + """
+        SELECT y.id, 0::INTEGER AS pos, round(m.y + (y.a - m.a) * w.a + (y.b - m.b) * w.b, 6) AS value FROM y, m, w""",
+    "part_similarity": """
+        SELECT 0::INTEGER AS angle, round(abs(corr(p_size::DOUBLE, p_retailprice::DOUBLE)), 6) AS cosine FROM part""",
+    "part_orthonormality": with_(RETAIL) + """
+        SELECT round(abs(sum(d * a * b)) / sqrt(sum(d * a * a) * sum(d * b * b)), 6) AS deviation FROM (
+          SELECT p_size::DOUBLE AS a, p_retailprice::DOUBLE AS b, sum(weight)::DOUBLE AS d
+          FROM part JOIN sym ON src = p_partkey * 2 + 1 GROUP BY p_partkey, p_size, p_retailprice)""",
+    "label_silhouette": with_(NODES, """
+        away AS (
+          SELECT x.id, x.label AS own, y.label AS label, sum(pow(list_distance(x.features, y.features), 2)) AS total, count(*) AS n
+          FROM emb x JOIN emb y ON true GROUP BY 1, 2, 3),
+        near AS (
+          SELECT id, max(n) FILTER (label = own) AS size, sum(total) FILTER (label = own) AS inside,
+                 min(total / n) FILTER (label <> own) AS b FROM away GROUP BY 1),
+        pt AS (SELECT size, inside / (size - 1) AS a, b FROM near)""") + """
+        SELECT count(*) AS n, round(avg(CASE WHEN size = 1 THEN 0 ELSE (b - a) / greatest(a, b) END), 6) AS silhouette FROM pt""",
     "load_nodes": with_(NODES) + long("emb", "features", "id", "label"),
     "node_report": """
         SELECT count(*) AS rows, 0::BIGINT AS rejected, count(*) FILTER (c_nationkey IS NULL) AS unlabelled,
