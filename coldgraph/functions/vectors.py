@@ -153,8 +153,9 @@ def product_sums(
 
     For each ``name: (left, right)`` the rows give ``sum(w * left_p * right_q)``
     as ``(name, p, q, value)``. Every task adds up its rows with one matrix
-    product per batch and emits a single partial per name, so what is shuffled
-    depends on the number of tasks and the dimensions, not on the rows.
+    product per batch and emits a single partial per name, in packed matrix rows, so what is shuffled
+    depends on the number of tasks and the dimensions, not on the rows. Matrix rows are spread
+    over the tasks that add the partials up as they stream in.
     """
     columns = sorted({c for pair in products.values() for c in pair} | set(weight.values()))
 
@@ -175,19 +176,32 @@ def product_sums(
                     left = left * w[:, None]
                 totals[name] += left.T @ blocks[b]
         for name, total in totals.items():
-            p, q = np.indices(total.shape)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([name] * len(total)), pa.array(np.arange(len(total), dtype=np.int32)), list_array(total)],
+                names=["name", "p", "parts"],
+            )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            keys = zip(batch.column("name").to_pylist(), batch.column("p").to_pylist(), strict=True)
+            for key, part in zip(keys, batch.column("parts"), strict=True):
+                values = part.values.to_numpy()
+                totals[key] = totals[key] + values if key in totals else values.copy()
+        for (name, p), total in totals.items():
+            n = len(total)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([name] * total.size),
-                    pa.array(p.ravel().astype(np.int32)),
-                    pa.array(q.ravel().astype(np.int32)),
-                    pa.array(total.ravel()),
+                    pa.array([name] * n),
+                    pa.array(np.full(n, p, dtype=np.int32)),
+                    pa.array(np.arange(n, dtype=np.int32)),
+                    pa.array(total),
                 ],
                 names=["name", "p", "q", "value"],
             )
 
-    partials = df.select(*columns).mapInArrow(partial, "name string, p int, q int, value double")
-    return partials.groupBy("name", "p", "q").agg(F.sum("value").alias("value"))
+    partials = df.select(*columns).mapInArrow(partial, "name string, p int, parts array<double>")
+    return partials.repartition("name", "p").mapInArrow(add_up, "name string, p int, q int, value double")
 
 
 def collect_products(sums: DataFrame, shapes: dict[str, tuple[int, int]]) -> dict[str, np.ndarray]:

@@ -13,6 +13,8 @@ from coldgraph.functions.vectors import sum_vectors
 from coldgraph.session import materialize
 from coldgraph.sources.tables import require
 
+LIST_ROWS = 10_000
+
 
 def normalize_edges(df: DataFrame, src: str, dst: str, weight: str | None = None) -> DataFrame:
     """Undirected ``edges(src, dst, weight)``, ``src < dst`` and unique.
@@ -180,12 +182,15 @@ def cooccurrence_sums(
 
 
 def shared_neighbors(
-    pairs: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS
+    pairs: DataFrame, edges: DataFrame, hot_rows: int = HOT_ROWS, with_degree: bool = True,
+    list_rows: int = LIST_ROWS,
 ) -> DataFrame:
-    """``(src, dst, via, via_degree)``: the shared neighbours of each given pair.
+    """``(src, dst, via[, via_degree])``: the shared neighbours of each given pair.
 
     Each pair lists the neighbours of its end with the *smaller* degree and looks
-    the other end up, so a hub in many pairs is not expanded.
+    the other end up, so a hub in many pairs is not expanded. Lists of more than ``list_rows`` neighbours
+    are cut into pieces that pairs meet one by one, and ends of very many pairs are salted, so a hub
+    on both sides is the work of many tasks.
     """
     both = symmetric(edges)
     degree = materialize(
@@ -201,18 +206,29 @@ def shared_neighbors(
         "dst",
         F.when(src_small, F.col("src")).otherwise(F.col("dst")).alias("small"),
         F.when(src_small, F.col("dst")).otherwise(F.col("src")).alias("large"),
+        F.explode(F.sequence(F.lit(0), _pieces(F.least("src_degree", "dst_degree"), list_rows) - 1)).alias("piece"),
+    )
+    hubs = degree.filter(F.col("degree") > list_rows).select("id", _pieces(F.col("degree"), list_rows).alias("pieces"))
+    piece = F.pmod(F.xxhash64("via"), F.coalesce("pieces", F.lit(1)).cast("bigint")).cast("int")
+    from_small = both.select(F.col("src").alias("id"), F.col("dst").alias("via")).join(hubs, "id", "left").select(
+        F.col("id").alias("small"), "via", piece.alias("piece")
     )
-    from_small = both.select(F.col("src").alias("small"), F.col("dst").alias("via"))
     oriented = materialize(oriented, "oriented")
-    listed = attach(oriented, from_small, "small", ["large"], hot_rows=hot_rows)
+    listed = attach(oriented, from_small, ["small", "piece"], ["large"], hot_rows=hot_rows)
     links = both.select(F.col("src").alias("large"), F.col("dst").alias("via"))
     found = materialize(
         listed.join(links, ["large", "via"], "left_semi").select("src", "dst", "via"), "shared"
     )
+    if not with_degree:
+        return found
     via_degree = degree.select(F.col("id").alias("via"), F.col("degree").alias("via_degree"))
     return attach(found, via_degree, "via", ["src", "dst"], hot_rows=hot_rows)
 
 
+def _pieces(degree: Column, list_rows: int) -> Column:
+    return F.ceil(degree / list_rows).cast("int")
+
+
 def cooccurrence_weights(
     pairs: DataFrame, occurrences: DataFrame, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
@@ -220,7 +236,7 @@ def cooccurrence_weights(
     wanted = materialize(pairs.select("src", "dst").distinct(), "pairs")
     ends = wanted.select((F.col("src") * 2).alias("src"), (F.col("dst") * 2).alias("dst"))
     stars = materialize(star_edges(occurrences), "stars")
-    shared = shared_neighbors(ends, stars, hot_rows)
+    shared = shared_neighbors(ends, stars, hot_rows, with_degree=False)
     counted = shared.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
     halved = counted.select(
         (F.col("src") / 2).cast("bigint").alias("src"),

@@ -707,8 +707,15 @@ def cold_sweep_features(spark, sf_dir):
 
 @query
 def cold_sweep_spectral(spark, sf_dir):
-    """Features alone, neighbour means and the spectral space over growing cold shares."""
-    models = ["feature_classifier", "sage_classifier", "spectral_vote", "spectral_classifier"]
+    return experiments.cold_sweep(
+        *_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), ["spectral_vote"], "planted"
+    )
+
+
+@query
+def cold_sweep_classifiers(spark, sf_dir):
+    """Features alone, neighbour means and spectral representations over growing cold shares."""
+    models = ["feature_classifier", "sage_classifier", "spectral_classifier"]
     return experiments.cold_sweep(*_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), models, "planted")
 
 

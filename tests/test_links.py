@@ -141,3 +141,17 @@ def test_recommendations_skip_known_links(make):
     assert [r[1] for r in got if r[0] == 0] == [6, 7]
     assert [r[1] for r in got if r[0] == 7] == [4, 5] or [r[1] for r in got if r[0] == 7] == [5, 4]
     assert [(r[1], r[2]) for r in got if r[0] == 3] == [(2, 1), (4, 2)]
+
+
+@pytest.mark.parametrize("list_rows", [1, 3, 10_000])
+def test_shared_neighbors_with_hubs_on_both_sides(spark, make, list_rows):
+    joined = [(0, i) for i in range(2, 30)] + [(1, i) for i in range(2, 25)] + [(30, i) for i in range(2, 6)]
+    asked = [(0, 1), (0, 30), (1, 30), (2, 3), (29, 30)]
+    pairs = spark.createDataFrame(asked, "src bigint, dst bigint")
+    found = graph.shared_neighbors(pairs, make.edges(joined), hot_rows=2, with_degree=False, list_rows=list_rows)
+    near = {}
+    for a, b in joined:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = sorted((a, b, c) for a, b in asked for c in near[a] & near[b])
+    assert sorted(map(tuple, found.select("src", "dst", "via").collect())) == want

@@ -116,3 +116,25 @@ def test_spectral_space_predicts_neighbors_better(planted):
     table = neighbors.compare_spaces(spaces, split.truth_pairs(), split.cold_nodes, split.warm_nodes, 10)
     got = {r["space"]: r["precision"] for r in table.collect()}
     assert got["features"] < got["map"] < got["true"]
+
+
+def test_cells_take_string_ids(make, crowd):
+    named = make.nodes(crowd).withColumn("id", F.format_string("n%03d", "id"))
+    one = rows(neighbors.knn(named, named, 5))
+    cells = rows(neighbors.knn(named, named, 5, broadcast_bytes=0, block_rows=16, hot_rows=20))
+    assert [r[:3] for r in cells] == [r[:3] for r in one]
+
+
+def test_approximate_search_never_answers_short(make, crowd):
+    base = make.nodes(crowd)
+    found = neighbors.knn_approx(base, base, 20, probes=1, cells=60, block_rows=16)
+    counts = {r["src"]: r["count"] for r in found.groupBy("src").count().collect()}
+    assert counts == dict.fromkeys(range(len(crowd)), 20)
+
+
+def test_distances_go_in_steps(make, crowd, monkeypatch):
+    base = make.nodes(crowd)
+    want = rows(neighbors.knn(base, base, 5, broadcast_bytes=0))
+    assert [s for s in neighbors._steps(5, 2_000_000)] == [slice(0, 2), slice(2, 4), slice(4, 6)]
+    monkeypatch.setattr(neighbors, "STEP_CELLS", 50)
+    assert rows(neighbors.knn(base, base, 5, broadcast_bytes=0)) == want
