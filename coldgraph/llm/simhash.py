@@ -256,7 +256,11 @@ def one_of_each(
     tagged = with_row_digest(docs)
     marked = materialize(fingerprints(tagged, [key, "__h1", "__h2"], text, width), "simhash-fp")
     groups = materialize(marked.groupBy("fp").agg(F.min(column(key)).alias("__low")), "simhash-groups")
-    roots = components(fingerprint_links(groups, bucket_rows))
+    return first_of_each(tagged, marked, components(fingerprint_links(groups, bucket_rows)), key)
+
+
+def first_of_each(tagged: DataFrame, marked: DataFrame, roots: DataFrame, key: str) -> DataFrame:
+    """The rows of ``tagged`` with the smallest key of each group; ``marked`` has fp of each row, ``roots`` joins fps to groups."""
     rooted = marked.join(roots, F.col("fp") == F.col("node"), "left")
     first = F.struct(column(key).isNull(), column(key), "__h1", "__h2")
     kept = rooted.groupBy(F.coalesce("root", "fp").alias("__root")).agg(F.min(first).alias("__first"))
