@@ -132,15 +132,16 @@ def learn_languages(
 ) -> LanguageModel:
     """Learn from at most ``rows`` texts of each language outside fold ``fold`` of crc32(key) mod ``modulus``.
 
-    Of each language the rows with the smallest hash of the key are taken; only their keys are broadcast and
-    only their trigram counts reach the driver.
+    Of each language the keys with the smallest hash are taken, each with one text of that language, the smallest; only these
+    keys are broadcast and only trigram counts of their texts reach the driver.
     """
     known = docs.where((remainder(key, modulus) != fold) & column(lang).isNotNull() & column(key).isNotNull())
     by = Window.partitionBy("__lang").orderBy(F.xxhash64("__key"), "__key")
-    ids = known.select(column(key).alias("__key"), column(lang).cast("string").alias("__lang"))
-    ids = ids.withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= rows).select("__key").distinct()
+    ids = known.select(column(key).alias("__key"), column(lang).cast("string").alias("__lang")).distinct()
+    ids = ids.withColumn("__rank", F.row_number().over(by)).where(F.col("__rank") <= rows).select("__key", "__lang")
     source = known.select(column(key).alias("__key"), column(lang).cast("string").alias("__lang"), text_of(text).alias("__text"))
-    source = source.join(F.broadcast(ids), "__key").select("__lang", "__text")
+    source = source.join(F.broadcast(ids), ["__key", "__lang"]).groupBy("__key", "__lang").agg(F.min("__text").alias("__text"))
+    source = source.select("__lang", "__text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
