@@ -1,4 +1,4 @@
-"""The ten operators as queries over the given tables, and SQL where it can say the same."""
+"""The operators as queries over the given tables, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldgraph.llm import interpolation, language, mixing, quality, rules, sharding, simhash, tiling, tokens, toxicity
+from coldgraph.llm import interpolation, language, mixing, quality, rules, sharding, simhash, spelling, tiling, tokens, toxicity
 from coldgraph.llm.rows import text_of
 from coldgraph.session import new_path
 
@@ -73,11 +73,16 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, form, root, n, n_near, form_n."""
+    return spelling.variants(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_simhash, op3_language, op4_toxicity, op5_quality,
-        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling,
+        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling, op12_spelling,
     )
 }
 
@@ -124,5 +129,42 @@ c AS (
   FROM r),
 e AS (SELECT *, whole + CASE WHEN size > 0 AND start + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM c)
 SELECT doc_id, size, total AS source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM e
-"""
+""",
+    "op12_spelling": r"""
+WITH RECURSIVE runs AS (
+  SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-zÀ-ÿ]+')) AS run
+  FROM documents),
+long_runs AS (SELECT doc_id, run, count(*) AS times FROM runs WHERE len(run) >= 6 GROUP BY doc_id, run),
+bytes AS (
+  SELECT *, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || run, ''),
+    lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT]
+                   ELSE [192 | (unicode(c)::BIGINT >> 6), 128 | (unicode(c)::BIGINT & 63)] END)) AS b
+  FROM long_runs),
+hashed AS (
+  SELECT *, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    flatten(list_transform(b, lambda x: [x & 1, (x >> 1) & 1, (x >> 2) & 1, (x >> 3) & 1, (x >> 4) & 1, (x >> 5) & 1, (x >> 6) & 1, x >> 7]))),
+    lambda h, bit: xor(h >> 1, 3988292384 * (xor(h, bit) & 1)))) AS h
+  FROM bytes),
+results AS (
+  SELECT CASE WHEN h % 199 = 0 THEN substr(run, 1, h % len(run)) || substr(run, h % len(run) + 2) ELSE run END AS word, times FROM hashed),
+words AS (SELECT word, sum(times)::BIGINT AS n FROM results WHERE len(word) >= 6 GROUP BY word HAVING sum(times) >= 5),
+holes AS (
+  SELECT word, n, substr(word, 1, i - 1) || substr(word, i + 1) AS shorter, substr(word, 1, i - 1) || '?' || substr(word, i + 1) AS pattern
+  FROM (SELECT word, n, unnest(range(1, len(word) + 1)) AS i FROM words)),
+pairs AS (
+  SELECT a.word, b.word AS other, b.n AS m FROM holes a JOIN holes b USING (pattern) WHERE a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.shorter = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.shorter = b.word),
+best AS (SELECT word, count(*) AS n_near, max(m) AS m FROM pairs GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(b.n_near, 0) AS n_near,
+         CASE WHEN b.m >= 5 * w.n THEN (SELECT min(other) FROM pairs p WHERE p.word = w.word AND p.m = b.m) END AS form,
+         CASE WHEN b.m >= 5 * w.n THEN b.m END AS form_n
+  FROM words w LEFT JOIN best b USING (word)),
+ways AS (
+  SELECT word, word AS root, 0 AS steps FROM forms
+  UNION ALL SELECT ways.word, forms.form, steps + 1 FROM ways JOIN forms ON ways.root = forms.word WHERE forms.form IS NOT NULL)
+SELECT f.word, f.form, w.root, f.n::BIGINT AS n, f.n_near::BIGINT AS n_near, f.form_n::BIGINT AS form_n
+FROM forms f JOIN (SELECT word, arg_max(root, steps) AS root FROM ways GROUP BY word) w USING (word)
+""",
 }
