@@ -48,7 +48,7 @@ def drawn():
     draw = np.random.default_rng(3)
     rows = []
     for i in range(60):
-        words = ["".join(draw.choice(list("abé"), draw.integers(5, 9))) for _ in range(60)]
+        words = ["".join(draw.choice(list("abé"), draw.integers(5, 9), p=[0.48, 0.48, 0.04])) for _ in range(60)]
         rows.append((i, " ".join(words).title() if i % 2 else ", ".join(words)))
     chain = ["longword", "longwort", "longwart", "lonwart"]
     rows += [(None, " ".join([w] * 5 * 6**i)) for i, w in enumerate(chain)]
