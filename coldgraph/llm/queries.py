@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldgraph.llm import interpolation, language, mixing, quality, rules, sharding, simhash, spelling, tiling, tokens, toxicity
+from coldgraph.llm import audit, interpolation, language, mixing, quality, rules, sharding, simhash, spelling, tiling, tokens, toxicity
 from coldgraph.llm.rows import text_of
 from coldgraph.session import new_path
 
@@ -73,6 +73,11 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op11_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, shapley."""
+    return audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """word, form, root, n, n_near, form_n."""
     return spelling.variants(_table(spark, sf_dir, "documents"))
@@ -82,7 +87,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_simhash, op3_language, op4_toxicity, op5_quality,
-        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling, op12_spelling,
+        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling, op11_audit, op12_spelling,
     )
 }
 
@@ -129,6 +134,39 @@ c AS (
   FROM r),
 e AS (SELECT *, whole + CASE WHEN size > 0 AND start + size / 2.0::DOUBLE <= rest THEN 1 ELSE 0 END AS copies FROM c)
 SELECT doc_id, size, total AS source_size, target, copies::BIGINT AS copies, (copies * size)::BIGINT AS taken FROM e
+""",
+    "op11_audit": r"""
+WITH letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM orders),
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS t,
+             regexp_extract_all(coalesce(text, ''), '[^ \t\n\x0B\f\r]+') AS w FROM documents),
+k AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+m AS (
+  SELECT d.part, coalesce(k.good, 0) AS good, coalesce(k.toxic, 0) AS toxic,
+         CASE WHEN len(w) < 200 THEN 'A' ELSE '' END
+         || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+         || CASE WHEN 100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * len(t) THEN 'C' ELSE '' END
+         || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+         || CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS mask
+  FROM d LEFT JOIN k ON d.doc_id = k.doc_id),
+g AS (SELECT part, mask, count(*) AS docs, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+x AS (
+  SELECT g.*, filter_order, step, filter_order[step] AS f,
+         contains(mask, filter_order[step]) AS fails,
+         coalesce(len(list_filter(string_split(filter_order[1:step - 1], ''), lambda c: c <> '' AND contains(mask, c))), 0) > 0 AS before
+  FROM g, steps)
+SELECT part, filter_order, step,
+       sum(CASE WHEN NOT fails AND NOT before THEN docs ELSE 0 END)::BIGINT AS kept,
+       sum(CASE WHEN fails AND NOT before THEN docs ELSE 0 END)::BIGINT AS removed,
+       sum(CASE WHEN fails AND before THEN docs ELSE 0 END)::BIGINT AS redundant,
+       sum(CASE WHEN mask = f THEN docs ELSE 0 END)::BIGINT AS unique_fails,
+       sum(CASE WHEN fails AND NOT before THEN good ELSE 0 END)::BIGINT AS good_lost,
+       sum(CASE WHEN fails AND NOT before THEN toxic ELSE 0 END)::BIGINT AS toxic_lost,
+       (sum(sum(CASE WHEN fails AND NOT before THEN docs ELSE 0 END)) OVER (PARTITION BY part, f))::BIGINT AS shapley
+FROM x GROUP BY part, filter_order, step, f
 """,
     "op12_spelling": r"""
 WITH RECURSIVE runs AS (
