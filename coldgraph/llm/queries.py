@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldgraph.llm import audit, interpolation, language, mixing, quality, rules, sharding, simhash, spelling, tiling, tokens, toxicity
+from coldgraph.llm import audit, interpolation, language, mixing, pii, quality, rules, sharding, simhash, spelling, tiling, tokens, toxicity
 from coldgraph.llm.rows import text_of
 from coldgraph.session import new_path
 
@@ -83,11 +83,16 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans."""
+    return pii.personal_data(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sharding, op2_simhash, op3_language, op4_toxicity, op5_quality,
-        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling, op11_audit, op12_spelling,
+        op6_interpolation, op7_rules, op8_tokens, op9_mixing, op10_tiling, op11_audit, op12_spelling, op13_pii,
     )
 }
 
