@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -10,6 +13,9 @@ from pyspark.sql import types as T
 from coldgraph.functions.skew import HOT_ROWS, attach, hot_keys
 from coldgraph.functions.vectors import sum_vectors
 
+PART_ROWS = 1_000_000
+PARTITIONS = "spark.sql.shuffle.partitions"
+
 
 def neighbor_sums(
     links: DataFrame, vectors: DataFrame, d: int, hot_rows: int = HOT_ROWS
@@ -30,15 +36,17 @@ class LinkTable:
 
     Node state arrives hashed on its id from the former step's aggregate, which is
     the layout the links have: the join of a step then needs no shuffle, only the
-    partial sums move. Sources with more than ``hot_rows`` links are salted over
-    several partitions. The kept blocks rest on a written or scanned table, so a
-    lost executor only costs their recomputation.
+    partial sums move. The number of partitions follows from the number of links, so that one holds about ``part_rows`` of them
+    at any size; steps are run within ``layout()``, which makes the aggregates follow suit. Sources with
+    more than ``hot_rows`` links (no more than ``part_rows``) are salted over several partitions. The kept blocks rest
+    on a written or scanned table, so a lost executor only costs their recomputation.
     """
 
-    def __init__(self, links: DataFrame, hot_rows: int = HOT_ROWS):
-        spark = links.sparkSession
-        partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        hot = hot_keys(links, "src", hot_rows)
+    def __init__(self, links: DataFrame, hot_rows: int = HOT_ROWS, part_rows: int = PART_ROWS):
+        spark = self._spark = links.sparkSession
+        least = int(spark.conf.get(PARTITIONS))
+        self.partitions = max(least, -(-links.count() // part_rows))
+        hot = hot_keys(links, "src", min(hot_rows, part_rows))
         self._copies = None
         keys = ["src"]
         if hot:
@@ -55,11 +63,21 @@ class LinkTable:
             )
             keys = ["src", "salt"]
         self._keys = keys
-        laid_out = links.repartition(partitions, *keys).sortWithinPartitions(*keys)
+        laid_out = links.repartition(self.partitions, *keys).sortWithinPartitions(*keys)
         self._links = laid_out.persist(StorageLevel.MEMORY_AND_DISK)
         # Filled now: only a finished layout is known to the planner of the steps.
         self._links.count()
 
+    @contextmanager
+    def layout(self) -> Iterator[None]:
+        """Plans made within deal their aggregates into as many partitions as the links have."""
+        before = self._spark.conf.get(PARTITIONS)
+        self._spark.conf.set(PARTITIONS, str(self.partitions))
+        try:
+            yield
+        finally:
+            self._spark.conf.set(PARTITIONS, before)
+
     def join(self, state: DataFrame) -> DataFrame:
         """Every link with the state row of its source (``id`` renamed to ``src``)."""
         state = state.withColumnRenamed("id", "src")

@@ -66,9 +66,10 @@ def _hops(edges: DataFrame, nodes: DataFrame, hops: int, norm: str, hot_rows: in
         state = nodes.select("id", F.col("features").alias("x"))
         for _ in range(hops):
             joined = links.join(state).withColumnRenamed("dst", "id")
-            state = materialize(
-                sum_vectors(joined.select("id", "weight", "x"), "id", "x", d, "weight", "x"), "hop"
-            )
+            with links.layout():
+                state = materialize(
+                    sum_vectors(joined.select("id", "weight", "x"), "id", "x", d, "weight", "x"), "hop"
+                )
             yield state
     finally:
         links.release()

@@ -3,21 +3,25 @@
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coldgraph.functions.propagation import LinkTable, neighbor_sums
+from coldgraph.functions.propagation import PART_ROWS, LinkTable, neighbor_sums
 from coldgraph.functions.skew import HOT_ROWS, attach_ends
 from coldgraph.functions.solvers import filter_roots, fix_signs, generalized_eigh
-from coldgraph.functions.vectors import collect_products, dimension, map_vectors, product_sums
+from coldgraph.functions.vectors import collect_products, dimension, list_array, map_vectors, matrix, product_sums
 from coldgraph.operators.graph import symmetric
 from coldgraph.session import materialize
 from coldgraph.sources.tables import require
 
 ONE = "array(1D)"
+STALLED = 6
+MOST_DEGREE = 24
 
 
 def _with_degrees(edges: DataFrame, hot_rows: int) -> DataFrame:
@@ -298,26 +302,41 @@ def apply_spectral_map(model: SpectralMap, nodes: DataFrame, *keep: str) -> Data
     )
 
 
-def spectral_embedding(
+@dataclass
+class SpectralSolution:
+    """``coords(id, z)`` with, per dimension, the eigenvalue and the norm of A x - value * x."""
+
+    coords: DataFrame
+    values: list[float]
+    residuals: list[float]
+
+
+def spectral_embedding(edges: DataFrame, k: int, **options) -> DataFrame:
+    """``(id, z)`` of ``spectral_solution``."""
+    return spectral_solution(edges, k, **options).coords
+
+
+def spectral_solution(
     edges: DataFrame,
     k: int,
-    rounds: int = 4,
     degree: int = 6,
     oversample: int = 4,
     tolerance: float = 1e-3,
     seed: int = 0,
     hot_rows: int = HOT_ROWS,
-) -> DataFrame:
-    """``(id, z)``: leading non-trivial eigenvectors of D^-1/2 A D^-1/2, scaled by D^-1/2.
+    part_rows: int = PART_ROWS,
+) -> SpectralSolution:
+    """Leading non-trivial eigenvectors of D^-1/2 A D^-1/2, scaled by D^-1/2, each with a residual of at most ``tolerance``.
 
     Chebyshev-filtered block iteration, the filter taken as a product of factors
     (A - root). A self-link of every node carries the root term, so a step reads the
     state once: one join without shuffle, one aggregate. Each round ends with a
-    written table and a small Rayleigh-Ritz problem on the driver. Iteration
-    stops when the kept Ritz values move less than ``tolerance``; if ``rounds`` end
-    before, a warning states how far they still moved.
+    written table and a small Rayleigh-Ritz problem on the driver; one pass over that table gives the residuals.
+    Vectors well below the tolerance are locked: they leave the block, and the rest is kept orthogonal to them, as to the
+    trivial eigenvector, which is known from the start. Slow rounds double the degree of the filter. Rounds go on until
+    the tolerance is reached. Only if ``STALLED`` of them in a row gain nothing (an eigenvalue inside a cluster that the block can't hold) does it end
+    early, with a warning; the residuals then say how far it got.
     """
-    width = k + oversample + 1
     weighted = _with_degrees(edges, hot_rows)
     off = weighted.select(
         "src",
@@ -329,9 +348,10 @@ def spectral_embedding(
     )
     base = materialize(node_degrees, "degrees")
     own = base.select(F.col("id").alias("src"), F.col("id").alias("dst"), F.lit(None).cast("double").alias("weight"))
-    links = LinkTable(materialize(symmetric(off).unionByName(own), "links"), hot_rows)
+    links = LinkTable(materialize(symmetric(off).unionByName(own), "links"), hot_rows, part_rows)
     try:
-        return _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed)
+        with links.layout():
+            return _filtered_iteration(base, links, k, k + oversample, degree, tolerance, seed)
     finally:
         links.release()
 
@@ -345,56 +365,95 @@ def _step(links: LinkTable, state: DataFrame, width: int, root: float, keep: boo
     return joined.groupBy(F.col("dst").alias("id")).agg(*[F.expr(c) for c in columns])
 
 
-def _filtered_iteration(base, links, k, width, rounds, degree, tolerance, seed):
+def _filtered_iteration(base, links, k, width, degree, tolerance, seed) -> SpectralSolution:
+    total = base.agg(F.sum("degree")).first()[0] or 1.0
     noise = [
-        (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / (1 << 20) - 0.5)
-        for i in range(1, width)
+        F.sqrt("degree") * (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(1 << 20)) / (1 << 20) - 0.5)
+        for i in range(1, width + 1)
     ]
-    start = [F.sqrt("degree"), *[F.sqrt("degree") * x for x in noise]]
-    blocks = base.select("id", *[c.alias(f"c{i}") for i, c in enumerate(start)])
-    cut, former, moved = 0.0, None, np.inf
-    for _ in range(rounds):
+    blocks = base.select("id", *[c.alias(f"c{i}") for i, c in enumerate(noise)])
+    # Locked unit vectors, the trivial one first, with their eigenvalues and residuals.
+    locked = base.select("id", F.array(F.sqrt(F.col("degree") / total)).alias("l"))
+    values, residuals = np.ones(1), np.zeros(1)
+    cut, best, stalled = 0.0, np.inf, 0
+    while True:
         state = blocks
         for root in filter_roots(cut, degree):
             state = _step(links, state, width, root)
         # One plain product A X, next to X, for the Rayleigh-Ritz sums.
-        state = _step(links, state, width, 0.0, keep=True)
-        pair = materialize(
-            state.selectExpr(
-                "id",
-                f"array({', '.join(f'p{i}' for i in range(width))}) AS x",
-                f"array({', '.join(f'c{i}' for i in range(width))}) AS ax",
-            ),
-            "iterate",
+        state = _step(links, state, width, 0.0, keep=True).selectExpr(
+            "id",
+            f"array({', '.join(f'p{i}' for i in range(width))}) AS x",
+            f"array({', '.join(f'c{i}' for i in range(width))}) AS ax",
         )
-        sums = collect_products(
-            product_sums(pair, {"g": ("x", "x"), "h": ("x", "ax")}, {"x": width, "ax": width}, {}),
-            {"g": (width, width), "h": (width, width)},
+        pair = materialize(state.join(locked, "id"), "iterate")
+        known = len(values)
+        shapes = {"g": (width, width), "h": (width, width), "c": (known, width), "e": (known, width)}
+        products = {"g": ("x", "x"), "h": ("x", "ax"), "c": ("l", "x"), "e": ("l", "ax")}
+        dims = {"x": width, "ax": width, "l": known}
+        sums = collect_products(product_sums(pair, products, dims, {}), shapes)
+        rotation, found = _ritz(sums["g"], sums["h"], sums["c"], sums["e"], values)
+        rotated = _rotate(pair, width, known, sums["c"], rotation, values)
+        norms = _residual_norms(rotated, found)
+        wanted = min(k - known + 1, len(found))
+        largest = norms[:wanted].max(initial=0.0)
+        stalled = stalled + 1 if largest > 0.9 * best else 0
+        # The first round filters with a blind cut, so a second one always follows.
+        done = (largest <= tolerance and np.isfinite(best)) or stalled >= STALLED
+        last = wanted if done else next((i for i in range(wanted) if norms[i] > tolerance / 10), wanted)
+        block = materialize(
+            rotated.select("id", F.concat("l", F.slice("x", 1, last)).alias("l"), F.slice("x", last + 1, len(found)).alias("x")), "block"
         )
-        rotation, values = _ritz(sums["g"], sums["h"])
-        cut = float(np.clip(values[-1], -0.5, 0.95))
-        rotated = _rotate(pair, width, rotation)
-        width = rotation.shape[1]
-        blocks = rotated.selectExpr("id", *[f"x[{i}] AS c{i}" for i in range(width)])
-        kept = values[: min(k, len(values))]
-        if former is not None:
-            moved = np.abs(kept - former[: len(kept)]).max(initial=0.0)
-        if moved < tolerance:
+        values, residuals = np.append(values, found[:last]), np.append(residuals, norms[:last])
+        if done:
             break
-        former = kept
-    else:
-        warnings.warn(f"spectral_embedding: Ritz values moved {moved:.3g} in the last of {rounds} rounds, tolerance {tolerance:.3g}", stacklevel=3)
-    kept = min(k, width - 1)
-    scaled = rotated.join(base, "id").select(
-        "id",
-        F.transform(F.slice("x", 2, kept), lambda x: x / F.sqrt("degree")).alias("z"),
-    )
+        if largest > 0.3 * best:
+            degree = min(2 * degree, MOST_DEGREE)
+        best = min(best, largest)
+        cut = float(np.clip(found[-1], -0.5, 0.95))
+        width = len(found) - last
+        locked = block.select("id", "l")
+        blocks = block.selectExpr("id", *[f"x[{i}] AS c{i}" for i in range(width)])
+    if largest > tolerance:
+        warnings.warn(f"spectral_embedding: no gain in {STALLED} rounds, residual {largest:.3g}, tolerance {tolerance:.3g}", stacklevel=3)
+    kept = len(values) - 1
+    # The trivial vector is sqrt(degree / total).
+    scaled = block.select("id", F.transform(F.slice("l", 2, kept), lambda x: x / (F.element_at("l", 1) * F.lit(total**0.5))).alias("z"))
     signs = F.array(*[F.lit(s) for s in _largest_signs(scaled, kept)])
-    return scaled.select("id", F.zip_with("z", signs, lambda z, s: z * s).alias("z"))
+    coords = scaled.select("id", F.zip_with("z", signs, lambda z, s: z * s).alias("z"))
+    return SpectralSolution(coords, values[1:].tolist(), residuals[1:].tolist())
+
+
+def _rotate(pair: DataFrame, width: int, known: int, inner: np.ndarray, rotation: np.ndarray, values: np.ndarray) -> DataFrame:
+    """``(id, l, x, ax)``: the block made orthogonal to the locked vectors and turned; A l is taken as value * l."""
+
+    def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                x, ax, l = (matrix(batch.column(c), n) for c, n in (("x", width), ("ax", width), ("l", known)))
+                columns = [list_array(x @ rotation - l @ (inner @ rotation)), list_array(ax @ rotation - (l * values) @ (inner @ rotation))]
+                yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("l"), *columns], names=["id", "l", "x", "ax"])
+
+    kind = pair.schema["id"].dataType.simpleString()
+    return pair.select("id", "l", "x", "ax").mapInArrow(turn, f"id {kind}, l array<double>, x array<double>, ax array<double>")
+
+
+def _residual_norms(rotated: DataFrame, values: np.ndarray) -> np.ndarray:
+    width = len(values)
 
+    def squares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for batch in batches:
+            if batch.num_rows:
+                rest = matrix(batch.column("ax"), width) - matrix(batch.column("x"), width) * values
+                total += (rest * rest).sum(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width, dtype=np.int32)), pa.array(total)], names=["dim", "square"])
 
-def _rotate(pair: DataFrame, width: int, rotation: np.ndarray) -> DataFrame:
-    return map_vectors(pair, "x", width, lambda x: x @ rotation, "x", "id")
+    sums = rotated.select("x", "ax").mapInArrow(squares, "dim int, square double").groupBy("dim").agg(F.sum("square").alias("square"))
+    norms = np.zeros(width)
+    for r in sums.collect():
+        norms[r["dim"]] = np.sqrt(r["square"])
+    return norms
 
 
 def _largest_signs(coords: DataFrame, k: int) -> list[float]:
@@ -405,23 +464,22 @@ def _largest_signs(coords: DataFrame, k: int) -> list[float]:
     return [-1.0 if i in negative else 1.0 for i in range(k)]
 
 
-def _ritz(gram: np.ndarray, product: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rotation to [trivial direction, Ritz vectors by falling value], numerically dependent ones left out."""
-    size = len(gram)
-    scale = 1 / np.sqrt(np.diag(gram))
+def _ritz(
+    gram: np.ndarray, product: np.ndarray, inner: np.ndarray, cross: np.ndarray, values: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
+    """Rotation to Ritz vectors by falling value, after the locked vectors (``inner`` = L'X, ``cross`` = L'AX) are
+    taken out; numerically dependent ones are left out."""
+    gram = gram - inner.T @ inner
+    product = product - inner.T @ cross - cross.T @ inner + inner.T @ (values[:, None] * inner)
+    scale = 1 / np.sqrt(np.maximum(np.diag(gram), np.finfo(float).tiny))
     gram = gram * np.outer(scale, scale)
     product = (product + product.T) / 2 * np.outer(scale, scale)
-    # Column 0 is the trivial eigenvector: take it out of the others.
-    shear = np.eye(size)[:, 1:]
-    shear[0] = -gram[0, 1:] / gram[0, 0]
-    inner = shear.T @ gram @ shear
-    weights, axes = np.linalg.eigh(inner)
+    weights, axes = np.linalg.eigh((gram + gram.T) / 2)
     keep = weights > 1e-10 * weights.max()
     whiten = axes[:, keep] / np.sqrt(weights[keep])
-    values, vectors = np.linalg.eigh(whiten.T @ shear.T @ product @ shear @ whiten)
-    order = np.argsort(-values)
-    rotation = np.column_stack([np.eye(size)[:, 0], shear @ whiten @ vectors[:, order]])
-    return scale[:, None] * rotation, values[order]
+    found, vectors = np.linalg.eigh(whiten.T @ product @ whiten)
+    order = np.argsort(-found)
+    return scale[:, None] * (whiten @ vectors[:, order]), found[order]
 
 
 def subspace_similarity(coords_a: DataFrame, coords_b: DataFrame) -> DataFrame:

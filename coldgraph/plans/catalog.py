@@ -15,6 +15,7 @@ from coldgraph.session import materialize, new_path
 from coldgraph.sources import tables
 from coldgraph.sources.datasets import (
     EMBEDDING_DIM,
+    nation_chain,
     planted_edges,
     planted_nodes,
     read,
@@ -260,10 +261,24 @@ def part_orthonormality(spark, sf_dir):
     return _rounded(spectral.orthonormality(coords, graph.degrees(edges, coords)), "deviation")
 
 
+def _long_solution(found: spectral.SpectralSolution, *columns: str) -> DataFrame:
+    """``(id, pos, value)`` with the eigenvalue and residual of the dimension."""
+    numbers = {"eigenvalue": found.values, "residual": found.residuals}
+    of = [F.element_at(F.array(*[F.lit(x) for x in numbers[c]]), F.col("pos") + 1).alias(c) for c in columns]
+    return long_form(found.coords, "z", "id").select("*", *of)
+
+
 @query
 def spectral_embedding(spark, sf_dir):
     _, edges = _planted(spark, sf_dir)
-    return long_form(spectral.spectral_embedding(edges, DIMS), "z", "id")
+    return _long_solution(spectral.spectral_solution(edges, DIMS), "eigenvalue", "residual")
+
+
+@query
+def chain_embedding(spark, sf_dir):
+    """A graph whose eigenvectors are known: nations in a chain, each with its customers around it."""
+    found = spectral.spectral_solution(materialize(nation_chain(spark, sf_dir), "edges"), 4, tolerance=1e-11)
+    return _rounded(_long_solution(found, "eigenvalue").withColumn("value", F.round("value", 5)), "eigenvalue")
 
 
 @query

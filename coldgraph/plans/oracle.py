@@ -265,6 +265,18 @@ f AS MATERIALIZED (
 fd AS MATERIALIZED (SELECT f.id, a, b, d FROM f JOIN (SELECT src AS id, sum(weight)::DOUBLE AS d FROM sym GROUP BY 1) USING (id))"""
 
 ORACLE: dict[str, str] = {
+    "chain_embedding": """
+        WITH ranked AS (SELECT c_custkey * 2 AS id, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place FROM customer),
+        chain AS (SELECT max(place) AS n FROM ranked),
+        nodes AS (SELECT id, place, TRUE AS outer_node FROM ranked UNION ALL SELECT DISTINCT place * 2 + 1, place, FALSE FROM ranked),
+        waves AS (SELECT j, n, pi() * j / n AS angle, (cos(pi() * j / n) + sqrt(cos(pi() * j / n) ** 2 + 3)) / 3 AS value
+                  FROM chain, range(1, 5) t(j)),
+        signs AS (SELECT j, sign(arg_max(cos(angle * place), id)) AS sign FROM ranked, waves
+                  WHERE round(abs(cos(angle * place)), 9) = 1 GROUP BY j)
+        SELECT id, (j - 1)::INTEGER AS pos, round(value, 6) AS eigenvalue,
+               round(sign * cos(angle * place) * CASE WHEN outer_node THEN 1 / value ELSE 1 END
+                     / sqrt(1.5 * n + n / (2 * value ** 2)), 5) AS value
+        FROM nodes, waves JOIN signs USING (j)""",
     "matched_accuracy": """
         WITH cells AS (
           SELECT p_size % 3 AS c, split_part(p_brand, '#', 2)::INTEGER % 3 AS l, count(*) AS n FROM part GROUP BY 1, 2),

@@ -5,13 +5,15 @@ partner of the ``PLANT_OFFSETS`` rows at fixed offsets from it, and the pair is
 kept if the labels agree or an arithmetic hash of the pair is small. Work and
 size are linear in the table, and any SQL engine can repeat the rule.
 
+``nation_chain`` is a graph whose spectrum is known in closed form.
+
 ``retail_graph`` is the bipartite graph of customers and the parts on their
 orders.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from coldgraph.functions.hashing import SPLIT_PRIME, pair_bucket
@@ -87,3 +89,24 @@ def retail_nodes(spark: SparkSession, sf_dir: str, check: bool = True) -> DataFr
         F.lit(None).cast("int").alias("nation"),
     )
     return load_nodes(customers.unionByName(parts), "key", "vector", "nation", dim=3, check=check)
+
+
+def nation_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations with customers (odd ids, by rank) in a chain, each linked to its customers (even ids).
+
+    The links of one nation's customers weigh 1 together, 1/2 at the ends of the chain. Then the eigenvectors of the
+    normalized adjacency are cosines along the chain, whatever the number of customers.
+    """
+    customers = read(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    counts = customers.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("n"))
+    nations = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("c_nationkey")).join(counts, "c_nationkey")
+    place = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("c_nationkey")) - 1
+    ranked = nations.withColumn("place", place)  # one row per nation
+    last = ranked.count() - 1
+    total = F.when(F.col("place").isin(0, last), 0.5).otherwise(1.0)
+    shares = ranked.select("c_nationkey", (F.col("place") * 2 + 1).cast("long").alias("a"), (total / F.col("n")).alias("weight"))
+    around = customers.join(shares, "c_nationkey").select("a", (F.col("c_custkey") * 2).alias("b"), "weight")
+    chain = ranked.where(F.col("place") < last).select(
+        (F.col("place") * 2 + 1).cast("long").alias("a"), (F.col("place") * 2 + 3).cast("long").alias("b"), F.lit(1.0).alias("weight")
+    )
+    return normalize_edges(around.unionByName(chain), "a", "b", "weight")

@@ -43,6 +43,19 @@ def test_a_step_shuffles_only_its_partial_sums(planted):
     assert counts[1] == 2 and counts[2] == 3 and counts[3] == 4
 
 
+def test_links_are_cut_by_their_number(planted, spark):
+    _, edges = planted
+    links = materialize(graph.symmetric(edges), "l")
+    rows = links.count()
+    table = LinkTable(links, part_rows=500)
+    sizes = table._links.groupBy(F.spark_partition_id()).count().toPandas()["count"]
+    with table.layout():
+        assert int(spark.conf.get("spark.sql.shuffle.partitions")) == table.partitions == -(-rows // 500)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == "4"
+    table.release()
+    assert sizes.sum() == rows and sizes.max() < 1500
+
+
 def test_edges_are_read_once_for_both_directions(spark):
     edges = materialize(retail_edges(spark, SF), "e")
     assert plan(graph.symmetric(edges)).count("FileScan") == 1

@@ -144,10 +144,32 @@ def top_space(a, k):
     return (v / np.sqrt(d)[:, None])[:, ::-1][:, 1 : k + 1]
 
 
-def test_embedding_says_when_it_ends_short_of_its_tolerance(make):
+def test_embedding_goes_on_to_its_tolerance(make):
+    """A path of 13 nodes: eigenvalues cos(pi j / 12), eigenvectors cosines."""
     edges = make.edges([(i, i + 1) for i in range(12)])
-    with pytest.warns(UserWarning, match="tolerance"):
-        spectral.spectral_embedding(edges, 2, rounds=1)
+    found = spectral.spectral_solution(edges, 3, oversample=2, tolerance=1e-10)
+    assert found.values == pytest.approx(np.cos(np.pi * np.arange(1, 4) / 12), abs=1e-9)
+    assert len(found.residuals) == 3 and max(found.residuals) <= 1e-10
+    waves = np.cos(np.pi * np.outer(np.arange(13), np.arange(1, 4)) / 12) / 12**0.5
+    assert np.abs(features(found.coords, "z")) == pytest.approx(np.abs(waves), abs=1e-8)
+
+
+def test_tight_embedding_locks_and_stays_orthonormal(planted):
+    nodes, edges = planted
+    found = spectral.spectral_solution(edges, 5, tolerance=1e-8)
+    assert max(found.residuals) <= 1e-8
+    a = adjacency(edges, 500)
+    d = a.sum(axis=1)
+    want = np.linalg.eigvalsh(a / np.sqrt(np.outer(d, d)))[::-1][1:6]
+    assert found.values == pytest.approx(want, abs=1e-10)
+    assert spectral.orthonormality(found.coords, graph.degrees(edges, nodes)).first()[0] < 1e-6
+
+
+def test_embedding_says_when_it_can_get_no_further(make):
+    """All of a star's eigenvalues but two are zero: a narrow block can't hold them, yet each is found."""
+    edges = make.edges([(0, i) for i in range(1, 40)])
+    found = spectral.spectral_solution(edges, 2, oversample=1)
+    assert found.values == pytest.approx([0, 0], abs=1e-3) and max(found.residuals) <= 1e-3
 
 
 def test_embedding_separates_two_cliques(make):
