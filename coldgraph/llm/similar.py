@@ -1,20 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingles, without loss.
+"""Near copies by SimHash and Golay keys, verified by the Jaccard similarity of word shingles.
 
-All distinct shingle sets with a similarity of ``NUM / DEN`` or more are linked. In any fixed order of shingles two such sets
-share one within the first n - ceil(n * NUM / DEN) + 1 shingles of each (prefix filter), so these are the keys. The order puts shingles that are
-frequent in a sample last; it only decides how many keys meet. A pair is tried at a key only if what is
-left of both sets from there on can hold the overlap it needs, which is so at the first shingle it shares.
+Each distinct shingle set gets ``WORDS`` 64-bit SimHashes with seeds of their own. Two segments of 23 bits make up a table: each is decoded to
+the codewords nearest to it and to its one-bit changes, about five, and each pair of codewords of the two segments is a key. A segment within 2
+errors of its partner always shares a codeword with it, one with more errors often does; with ``TABLES`` tables a pair of similarity ``NUM / DEN`` that spreads
+its errors evenly meets in one of them (the README states the measured recall). Candidates are verified exactly, so no link is false.
 
-- Keys of at most ``small`` sets: each pair is a candidate.
+- Keys of at most ``small`` sets: each pair whose sizes and 32 further bits allow it is a candidate.
 - Larger keys: each set with the smallest one, which joins copies in linear space. What these leave apart is then compared in
   blocks of bounded size that hold the sets themselves and write only links, never pairs.
 
-Candidates go if the numbers of their shingles in 64 hash ranges rule the overlap out. The others are verified on the whole sets, which are made again from the texts for those that are asked for.
+Candidates go if their fingerprints are too far apart. The others are verified on the whole sets in two rounds: first each set with its smallest
+partner, then only those pairs which the first round has not joined. So m near copies ship m sets, not m^2. Sets are made again from the texts that are asked for.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.llm.components import components
+from coldgraph.llm.golay import BITS, fuzzy_keys, products
 from coldgraph.llm.rows import column, text_of, with_row_digest
 from coldgraph.llm.simhash import SEED, first_of_each
 from coldgraph.session import materialize
@@ -30,10 +32,10 @@ from coldgraph.session import materialize
 WIDTH = 5
 NUM, DEN = 4, 5
 SMALL = 64
-SAMPLE_ROWS, SAMPLE_SHARE = 20_000, 8  # at most so many rows, and one of so many
-FREQUENT, MAX_FREQUENT = 3, 65_536  # rows of the sample that hold a frequent shingle; length of the list
+WORDS, TABLES = 5, 6
+FAR, FAR_SKETCH = 80, 12  # of 320 and of 32 bits; two sets of the least similarity differ in 15 % on average
 BLOCK = 1_000_000  # shingles of one block
-SLOT_BITS = 18  # words of 64 bits in the filter of asked sets
+MAX_SLOT_BITS = 22  # at most so many words of 64 bits (32 MB) in the filter of asked texts
 SEEN = 500_000
 
 
@@ -62,57 +64,51 @@ def alike(overlap: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return overlap * (NUM + DEN) >= NUM * sizes
 
 
-def _sets(batch: pa.RecordBatch, at: int, seen: set[int], wanted: Callable[[int], bool] = lambda i: True) -> Iterator[tuple[int, np.ndarray]]:
-    """(identity, shingles) of the texts; copies that a task meets again are left out while ``seen`` can hold them."""
-    for t in batch.column(at):
-        found = shingles(t.as_buffer().to_pybytes())
-        i = identity(found)
-        if len(found) and i not in seen and wanted(i):
-            if len(seen) < SEEN:
-                seen.add(i)
-            yield i, found
+def fingerprint_words(found: np.ndarray, words: int = WORDS) -> np.ndarray:
+    """SimHashes (uint64) of a shingle set, one per seed."""
+    out = np.zeros(words, dtype=np.uint64)
+    for w in range(words):
+        x = found ^ np.uint64((w + 1) * 0x9E3779B97F4A7C15 % (1 << 64))
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        ones = np.unpackbits(x.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[w] = np.packbits(ones * 2 > len(found), bitorder="little").view(np.uint64)[0]
+    return out
 
 
-def frequent_shingles(texts: DataFrame, rows: int) -> np.ndarray:
-    """The most frequent shingles of a sample, the least frequent first; at most ``MAX_FREQUENT``."""
+def segments(words: np.ndarray, count: int) -> np.ndarray:
+    """The first ``count`` segments of 23 bits of each row of fingerprint words."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : count * BITS]
+    return bits.reshape(len(words), count, BITS).astype(np.int64) @ (1 << np.arange(BITS))
 
-    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in stream:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingles(t.as_buffer().to_pybytes()).view(np.int64))], ["s"])
 
-    every = max(SAMPLE_SHARE, rows // SAMPLE_ROWS)
-    sample = texts.where(F.pmod(F.col("__h1"), F.lit(every)) == 0).select("__text")
-    counts = sample.mapInArrow(run, "s long").groupBy("s").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FREQUENT)
-    top = counts.orderBy(F.desc("n"), "s").limit(MAX_FREQUENT).toArrow()
-    return top.column("s").to_numpy()[::-1].view(np.uint64)
+def near_keys(words: np.ndarray, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): for each table the pairs of codewords of its two segments."""
+    found = segments(words, 2 * tables)
+    rows, keys = [], []
+    for t in range(tables):
+        row, x, y = products(len(words), fuzzy_keys(found[:, 2 * t]), fuzzy_keys(found[:, 2 * t + 1]))
+        rows.append(row)
+        keys.append(t << 24 | x << 12 | y)
+    return np.concatenate(rows), np.concatenate(keys)
 
 
-def prefix_keys(texts: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """(s, id, n, place): the shingles of each set's prefix with the set's size and their place in it."""
-    order = np.argsort(frequent)
-    shared = texts.sparkSession.sparkContext.broadcast((frequent[order], order + 1))
+def _emit_keys(tables: int):
+    """(s, id, n, sketch) of rows (fp, n, bits)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        values, ranks = shared.value
-        seen: set[int] = set()
         for batch in stream:
-            s, ids, sizes, places = [], [], [], []
-            for i, found in _sets(batch, 0, seen):
-                n = len(found)
-                rank = np.zeros(n, dtype=np.int64)
-                if len(values):
-                    at = np.minimum(np.searchsorted(values, found), len(values) - 1)
-                    rank = np.where(values[at] == found, ranks[at], 0)
-                first = found[np.lexsort((found, rank))[: n - -(-n * NUM // DEN) + 1]]
-                s.append(first.view(np.int64))
-                ids.append(np.full(len(first), i))
-                sizes.append(np.full(len(first), n, dtype=np.int32))
-                places.append(np.arange(len(first), dtype=np.int32))
-            if s:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (s, ids, sizes, places)], ["s", "id", "n", "place"])
-
-    return texts.select("__text").mapInArrow(run, "s long, id long, n int, place int")
+            for a in range(0, batch.num_rows, 4_000):
+                part = batch.slice(a, 4_000)
+                words = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
+                row, key = near_keys(words, tables)
+                ids, sizes = (part.column(i).to_numpy() for i in (0, 1))
+                sketch = (words[:, -1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                columns = [pa.array(key), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row])]
+                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "n", "sketch"])
+
+    return run
 
 
 def _pairer(small: int):
@@ -123,9 +119,9 @@ def _pairer(small: int):
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
 
         def meet(a: np.ndarray, b: np.ndarray) -> None:
-            """``a`` and ``b``: (id, n, place) columns of the two ends."""
-            can = alike(np.minimum(a[1] - a[2], b[1] - b[2]), a[1] + b[1])
-            can &= a[0] != b[0]
+            """``a`` and ``b``: (id, n, sketch) columns of the two ends."""
+            can = alike(np.minimum(a[1], b[1]), a[1] + b[1])
+            can &= (a[0] != b[0]) & (np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF) <= FAR_SKETCH)
             if can.any():
                 out.append((a[0][can], b[0][can], np.zeros(can.sum(), dtype=np.int64), False))
 
@@ -176,40 +172,49 @@ def _pairer(small: int):
     return run
 
 
-def asked_sets(texts: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, sh) of at least the sets in ``ids``: a filter of 2^(SLOT_BITS + 6) bits goes to the tasks, and each text is read once."""
-    word = F.col("id").bitwiseAND((1 << SLOT_BITS) - 1)
-    bit = F.expr(f"shiftleft(1L, cast(shiftright(id, {SLOT_BITS}) & 63 as int))")
-    got = ids.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
-    table = np.zeros(1 << SLOT_BITS, dtype=np.uint64)
+def asked_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
+    """(id, sh) of at least the sets of the texts whose digests are asked for (column th).
+
+    A filter of about 16 bits a text, 32 MB at most, goes to the tasks; what it lets through besides only costs its set. Other texts are read, not cut into shingles.
+    """
+    count = asked.count()
+    slots = max(10, min(MAX_SLOT_BITS, (max(1, count) * 16 // 64).bit_length()))
+    word = F.col("th").bitwiseAND((1 << slots) - 1)
+    bit = F.expr(f"shiftleft(1L, cast(shiftright(th, {slots}) & 63 as int))")
+    got = asked.groupBy(word.alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    table = np.zeros(1 << slots, dtype=np.uint64)
     table[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, seen = shared.value, set()
-        wanted = lambda i: int(t[i & (1 << SLOT_BITS) - 1]) >> (i >> SLOT_BITS & 63) & 1
         for batch in stream:
-            for a in range(0, batch.num_rows, 500):
-                found = list(_sets(batch.slice(a, 500), 0, seen, wanted))
-                if found:
-                    sets = pa.array([x.tobytes() for _, x in found], pa.binary())
-                    yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in found], pa.int64()), sets], ["id", "sh"])
-
-    return texts.select("__text").mapInArrow(run, "id long, sh binary").dropDuplicates(["id"])
-
+            th = batch.column(1).to_numpy()
+            asked_here = t[th & ((1 << slots) - 1)] >> (th >> slots & 63).astype(np.uint64) & np.uint64(1)
+            ids, sets, size = [], [], 0
+            for r in np.flatnonzero(asked_here).tolist():
+                if th[r] in seen:
+                    continue
+                if len(seen) < SEEN:
+                    seen.add(th[r])
+                found = shingles(batch.column(0)[r].as_buffer().to_pybytes())
+                ids.append(identity(found))
+                sets.append(found.tobytes())
+                size += len(sets[-1])
+                if size > 16_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "sh"])
+                    ids, sets, size = [], [], 0
+            if ids:
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sets, pa.binary())], ["id", "sh"])
 
-def ranges(found: np.ndarray) -> bytes:
-    """Numbers of shingles in 64 hash ranges, 255 for more."""
-    return np.minimum(np.bincount((found >> np.uint64(58)).astype(np.int64), minlength=64), 255).astype(np.uint8).tobytes()
+    return texts.select("__text", "th").mapInArrow(run, "id long, sh binary").dropDuplicates(["id"])
 
 
 def _possible(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (u, v, sizes, ranges of u, ranges of v) the pairs whose ranges can hold the overlap."""
+    """Of (u, v, fingerprint of u, fingerprint of v) the pairs that are not too far apart."""
     for batch in stream:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint8).reshape(-1, 64) for k in (3, 4))
-        least = np.minimum(x, y).astype(np.int64)
-        most = np.where(least == 255, 1 << 40, least).sum(axis=1)
-        yield batch.select([0, 1]).filter(pa.array(alike(most, batch.column(2).to_numpy())))
+        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for k in (2, 3))
+        yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR))
 
 
 def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -262,30 +267,45 @@ def _block_linker(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from out()
 
 
-def similar_links(texts: DataFrame, rows: int, marked: DataFrame, small: int = SMALL, block: int = BLOCK) -> DataFrame:
-    """(u, v): links that join all distinct shingle sets of ``texts`` (columns __text, __h1) that are similar enough.
+def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    a, b = sets.select(F.col("id").alias("u"), F.col("sh").alias("x")), sets.select(F.col("id").alias("v"), F.col("sh").alias("y"))
+    links = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long")
+    return materialize(links, "similar-links")
+
+
+def _labels(ids: DataFrame, links: DataFrame, name: str) -> DataFrame:
+    """``ids`` with the root of column ``name`` as ``label``."""
+    roots = materialize(components(links), "similar-roots").select(F.col("node").alias(name), "root")
+    return ids.join(roots, name, "left").withColumn("label", F.coalesce("root", name)).drop("root")
+
 
-    ``marked`` has their fp, n and ranges.
+def similar_links(texts: DataFrame, marked: DataFrame, small: int = SMALL, block: int = BLOCK, tables: int = TABLES) -> DataFrame:
+    """(u, v): links that join the distinct shingle sets of ``texts`` (columns __text, th) that meet and are similar enough.
+
+    ``marked`` has their fp, n, bits (fingerprint) and th (digest of the text).
     """
-    keyed = prefix_keys(texts, frequent_shingles(texts, rows))
+    each = materialize(
+        marked.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("th").alias("th")), "similar-sets"
+    )
+    keyed = each.select("fp", "n", "bits").mapInArrow(_emit_keys(tables), "s long, id long, n int, sketch int")
     keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
     found = materialize(keyed.mapInArrow(_pairer(small), "u long, v long, n long, rest boolean"), "similar-pairs")
-    pairs = found.where(~F.col("rest")).select("u", "v").distinct()
-    each = marked.select("fp", "n", "ranges").dropDuplicates(["fp"])
-    pairs = pairs.join(each.toDF("u", "n", "x"), "u").join(each.toDF("v", "m", "y"), "v")
-    pairs = pairs.select("u", "v", F.expr("n + m").alias("sizes"), "x", "y").mapInArrow(_possible, "u long, v long")
-    pairs = materialize(pairs, "similar-candidates")
+    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    pairs = found.where(~F.col("rest")).select(*ends).distinct()
+    bits = each.select("fp", "bits")
+    pairs = pairs.join(bits.toDF("u", "x"), "u").join(bits.toDF("v", "y"), "v")
+    pairs = materialize(pairs.select("u", "v", "x", "y").mapInArrow(_possible, "u long, v long"), "similar-candidates")
     rest = found.where("rest").select(F.col("u").alias("s"), F.col("v").alias("id"), "n").distinct()
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("id")).unionByName(rest.select("id"))
-    sets = materialize(asked_sets(texts, asked), "similar-sets")
-    a, b = sets.select(F.col("id").alias("u"), F.col("sh").alias("x")), sets.select(F.col("id").alias("v"), F.col("sh").alias("y"))
-    links = pairs.join(a, "u").join(b, "v").select("u", "v", "x", "y").mapInArrow(_verify, "u long, v long")
-    links = materialize(links, "similar-links")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(rest.select(F.col("id").alias("fp"))).distinct()
+    sets = materialize(asked_sets(texts, each.join(asked, "fp", "left_semi").select("th")), "similar-sets")
+    # Each set with its smallest partner first, then what that leaves apart.
+    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
+    links = _verified(first, sets)
+    apart = _labels(_labels(pairs, links, "u").withColumnRenamed("label", "a"), links, "v").where("a <> label").select("u", "v")
+    links = links.unionByName(_verified(apart.join(first, ["u", "v"], "left_anti"), sets))
     if rest.isEmpty():
         return links
-    roots = materialize(components(links), "similar-roots")
-    rest = rest.join(roots, F.col("id") == F.col("node"), "left").select("s", "id", "n", F.coalesce("root", "id").alias("label"))
-    rest = materialize(rest, "similar-rest")
+    rest = materialize(_labels(rest, links, "id").select("s", "id", "n", "label"), "similar-rest")
     apart = rest.groupBy("s").agg(F.sum("n").alias("__n"), F.min("label").alias("__a"), F.max("label").alias("__b")).where("__a != __b")
     parts = F.ceil(F.col("__n") / block).cast("long")
     cells = rest.join(apart.select("s", parts.alias("__parts")), "s")
@@ -297,31 +317,37 @@ def similar_links(texts: DataFrame, rows: int, marked: DataFrame, small: int = S
     return links.unionByName(more)
 
 
-def identities(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
-    """The columns ``keys``, fp long (digest of the shingle set), n long (its size) and ranges binary."""
-    source = docs.select(*[column(k) for k in keys], text_of(text).alias("__text"))
+def identities(texts: DataFrame, keys: list[str]) -> DataFrame:
+    """The columns ``keys`` of ``texts`` (with __text), fp long (digest of the shingle set), n long (its size) and bits binary (its fingerprint)."""
+    source = texts.select(*[column(k) for k in keys], "__text")
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
-            ids, sizes, counts = [], [], []
+            ids, sizes, bits = [], [], []
             for t in batch.column(len(keys)):
                 found = shingles(t.as_buffer().to_pybytes())
                 ids.append(identity(found))
                 sizes.append(len(found))
-                counts.append(ranges(found))
-            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(counts, pa.binary())]
+                bits.append(fingerprint_words(found).tobytes())
+            arrays = [pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], *arrays], schema.names)
 
-    schema = source.drop("__text").schema.add("fp", "long").add("n", "long").add("ranges", "binary")
+    schema = source.drop("__text").schema.add("fp", "long").add("n", "long").add("bits", "binary")
     return source.mapInArrow(run, schema)
 
 
-def one_of_similar(docs: DataFrame, key: str = "doc_id", text: str = "text", small: int = SMALL, block: int = BLOCK) -> DataFrame:
+def one_of_similar(
+    docs: DataFrame, key: str = "doc_id", text: str = "text", small: int = SMALL, block: int = BLOCK, tables: int = TABLES
+) -> DataFrame:
     """The rows of ``docs`` that stay: of each group of texts joined by a similarity of ``NUM / DEN`` or more the one with the smallest key
-    (nulls last), once. Texts without a word are one group.
+    (nulls last), once.
+
+    Null, empty and blank texts are one group; a text of fewer than ``WIDTH`` words is one shingle. Texts with equal shingle sets are always one group,
+    repeated rows stay once, ties between equal keys go by a digest of the row. Very long texts are cut into shingles whole. All columns are kept, whatever their names. An
+    empty table gives an empty result.
     """
     tagged = with_row_digest(docs)
-    marked = materialize(identities(tagged, [key, "__h1", "__h2"], text), "similar-ids")
-    texts = tagged.select(text_of(text).alias("__text"), "__h1")
-    links = similar_links(texts, docs.count(), marked, small, block)
-    return first_of_each(tagged, marked.drop("n", "ranges"), components(links), key)
+    texts = tagged.select(column(key).alias("__key"), "__h1", "__h2", text_of(text).alias("__text"), F.xxhash64(text_of(text)).alias("th"))
+    marked = materialize(identities(texts, ["__key", "__h1", "__h2", "th"]), "similar-ids")
+    links = similar_links(texts, marked, small, block, tables)
+    return first_of_each(tagged, marked.drop("n", "bits", "th"), components(links), "__key")

@@ -19,6 +19,7 @@ from coldgraph.llm import golay, interpolation, language, mixing, quality, rules
 from coldgraph.llm.queries import ORACLE, QUERIES
 from coldgraph.llm.rows import labelled_sample
 from coldgraph.session import new_path
+from tests.llm.test_similar import plain_groups as similar_groups
 
 SF = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -451,7 +452,7 @@ def test_contamination(spark, docs, benchmark):
 def test_queries_and_pipeline(spark):
     import corpus_pipeline
 
-    assert len(QUERIES) == 10 and [name for name, _ in corpus_pipeline.STAGES]
+    assert len(QUERIES) == 13 and [name for name, _ in corpus_pipeline.STAGES]
     base = spark.read.parquet(f"{SF}/documents.parquet")
     source = docs = base
     left = []
@@ -462,8 +463,8 @@ def test_queries_and_pipeline(spark):
             assert docs.columns == source.columns
     kept = {r.doc_id for r in rules.quality_rules(base, spark.read.parquet(f"{SF}/labels.parquet")).where("kept").collect()}
     assert set(left[0]) == kept
-    rows = [(r.doc_id, plain_fingerprint(r.text)) for r in base.collect() if r.doc_id in kept]
-    assert sorted(left[1]) == sorted(set(plain_groups(rows)[0].values()))
+    alike, _ = similar_groups([(r.doc_id, r.text) for r in base.collect() if r.doc_id in kept])
+    assert sorted(left[1]) == sorted(alike)
     leaked = {r.doc_id for r in tiling.contamination(base, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
     assert sorted(left[2]) == sorted(set(left[1]) - leaked)
     assert max(Counter(left[3]).values()) <= 3 and sorted(left[3]) == sorted(left[4])

@@ -34,21 +34,29 @@ def plain_groups(rows):
     return {min((k for k in g if k is not None), default=None) for g in groups.values()}, len(groups)
 
 
-@pytest.mark.parametrize("small, block", [(64, 1_000_000), (2, 500)])
-def test_near_copies_of_the_pipeline(spark, small, block):
-    import corpus_pipeline
-
+def near_limit():
+    """Odd rows, and texts of single edits: many pairs lie close to the limit on either side."""
     draw = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
-    near = [(None, ""), (900, None), (901, " \n"), (902, "a b"), (903, "A  b"), (None, "only this one")]
-    for i in range(120):  # single edits: many pairs lie close to the limit on either side
+    near = [(None, ""), (900, None), (901, " \n"), (902, "a b"), (903, "A  b"), (None, "only this one"), (903, "A  b"), (None, "only this one")]
+    for i in range(120):
         words = list(base)
         for p in draw.choice(120, draw.integers(0, 5), replace=False):
             words[p] = f"x{draw.integers(1000)}"
         near.append((1000 + i, " ".join(words)))
+    long = " ".join(f"v{i * i % 9973}" for i in range(60_000))
+    return near + [(2000, long), (2001, long + " end"), (2002, long[: len(long) // 2])]
+
+
+@pytest.mark.parametrize("small, block", [(64, 1_000_000), (2, 500)])
+def test_near_copies_of_the_pipeline(spark, small, block):
+    import corpus_pipeline
+
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
-    for table in (docs, spark.createDataFrame(near, "doc_id long, text string")):
-        expected, groups = plain_groups([tuple(r) for r in table.collect()])
+    clashing = "doc_id long, text string, fp string, th long, __h1 string, n int"
+    odd = spark.createDataFrame([(k, t, "f", None, "h", 1) for k, t in near_limit()], clashing.replace("__h1", "bits"))
+    for table in (docs, odd):
+        expected, groups = plain_groups([(r.doc_id, r.text) for r in table.collect()])
         got = similar.one_of_similar(table.repartition(5), small=small, block=block)
         assert got.columns == table.columns
         got = [r.doc_id for r in got.collect()]
@@ -56,3 +64,28 @@ def test_near_copies_of_the_pipeline(spark, small, block):
         if small == 64:
             assert sorted(map(str, got)) == sorted(str(r.doc_id) for r in corpus_pipeline.near_copies(spark, table, SF).collect())
     assert similar.one_of_similar(docs.limit(0)).count() == 0
+
+
+def test_recall_of_keys_and_no_false_links():
+    """Of all pairs of edited texts with the least similarity or more, nine of ten share a key."""
+    draw = np.random.default_rng(8)
+    sets = []
+    for g in range(60):
+        base = [f"g{g}w{i}" for i in range(200)]
+        for _ in range(4):
+            words = list(base)
+            for p in draw.choice(200, draw.integers(1, 4), replace=False):
+                words[p] = f"x{draw.integers(1_000_000)}"
+            sets.append((g, similar.shingles(" ".join(words).encode())))
+    row, key = similar.near_keys(np.stack([similar.fingerprint_words(s) for _, s in sets]))
+    keys = [set(key[row == i].tolist()) for i in range(len(sets))]
+    met = true = strangers = 0
+    for i in range(len(sets)):
+        for j in range(i):
+            (g, a), (h, b) = sets[i], sets[j]
+            if g != h:
+                strangers += bool(keys[i] & keys[j])
+            elif similar.alike(np.array(len(np.intersect1d(a, b))), np.array(len(a) + len(b))):
+                true += 1
+                met += bool(keys[i] & keys[j])
+    assert true > 100 and met >= 0.9 * true and strangers < 200
