@@ -13,7 +13,7 @@ from coldgraph.functions.hashing import MIX_INPUT, mix, mix_pair, pair_bucket
 from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.vectors import PAIR_SCORES, rounded, score_pairs
 from coldgraph.operators.graph import shared_neighbors, symmetric
-from coldgraph.operators.neighbors import NeighborIndex
+from coldgraph.operators.neighbors import FreshIndex, NeighborIndex
 from coldgraph.session import materialize
 
 BUCKET_NODES = 65_536
@@ -21,6 +21,8 @@ MOST_BUCKETS = 1 << 24
 TRIES = 4
 LADDER_STEPS = 256
 
+FEW_LINKS = 64
+
 
 def split_edges(edges: DataFrame, share: float) -> tuple[DataFrame, DataFrame]:
     """(train, held out) edges by a hash of both ends; the ends stay in the graph."""
@@ -254,30 +256,25 @@ def mrr(scored: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
 
 
 def recommend_links(
-    cold: DataFrame, base: DataFrame, known: DataFrame, k: int, column: str = "z", **options
+    cold: DataFrame, base: DataFrame, known: DataFrame, k: int, column: str = "z", few: int = FEW_LINKS, **options
 ) -> DataFrame:
     """``(src, dst, rank, dist)``: k nearest base nodes of each query that aren't linked yet.
 
-    Exact: a query with m known links needs its k + m nearest. Queries are grouped by
-    the power of two above m, so that only well-linked ones look that far.
+    Exact. A query with at most ``few`` known links takes its k + few nearest and leaves the linked ones out. Better linked ones
+    search incrementally: each resumes at a wider radius until k unlinked nodes are nearer than any cell it hasn't visited, and all is rows.
     """
-    links = symmetric(known).select("src", "dst")
-    linked = links.groupBy("src").agg(F.count(F.lit(1)).alias("m"))
-    sized = cold.join(linked.withColumnRenamed("src", "id"), "id", "left").withColumn(
-        "level", F.coalesce(F.ceil(F.log2(F.col("m").cast("double"))) + 1, F.lit(0)).cast("int")
-    )
-    sized = materialize(sized.select("id", column, "level"), "sized")
-    levels = sorted(r["level"] for r in sized.select("level").distinct().collect())
-    reach = {level: k + (2 ** (level - 1) if level else 0) for level in levels or [0]}
-    index = NeighborIndex(base, max(reach.values()), column=column, **options)
-    result = None
-    for level in reach:
-        part = sized.filter(F.col("level") == level).select("id", column)
-        found = index.nearest(part, k=reach[level])
-        result = found if result is None else result.unionByName(found)
-    fresh = result.join(links, ["src", "dst"], "left_anti")
+    links = materialize(symmetric(known).select("src", "dst"), "known")
+    linked = links.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("m"))
+    sized = materialize(cold.join(linked, "id", "left").select("id", column, (F.coalesce("m", F.lit(0)) > few).alias("many")), "sized")
+    some, many = (sized.where(c).select("id", column) for c in (~F.col("many"), F.col("many")))
+    found = NeighborIndex(base, k + few, column=column, **options).nearest(some)
+    fresh = found.join(links, ["src", "dst"], "left_anti")
     order = Window.partitionBy("src").orderBy("dist", "dst")
-    return (
+    result = (
         fresh.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
         .select("src", "dst", "rank", "dist")
     )
+    if many.isEmpty():
+        return result
+    kept = {o: options[o] for o in ("metric", "block_rows", "cells") if o in options}
+    return result.unionByName(FreshIndex(base, column=column, **kept).nearest(many, links, k))

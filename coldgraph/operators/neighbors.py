@@ -4,10 +4,10 @@ Exact kNN has two plans with the same result:
 
 * the base is small (its bytes are counted first): it is broadcast as one matrix
   and every query batch is compared with it in a narrow map;
-* otherwise the base is cut into cells around pivots. A first pass in the home
-  cells bounds each query's k-th distance; by the triangle inequality only cells
-  that may hold something nearer are visited in a second pass. Cells are cut into
-  blocks on both sides, so that no task holds more than two blocks.
+* otherwise the base is cut into cells around pivots, in two levels: every row goes to its nearest top pivot, and there
+  to the nearest of that one's own cells, so it is measured against some of the pivots only and no list of cells has to fit
+  into one place. Rounds of nearest cells bound each query's k-th distance; by the triangle inequality only cells that may hold something nearer are
+  visited after that. Cells are cut into blocks on both sides, so that no task holds more than two blocks.
 
 Equal vectors are collapsed before the second plan: of a group of copies only the
 k + 1 smallest ids can be among the k nearest of anything (ties go to the smaller
@@ -20,10 +20,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from coldgraph.functions.skew import HOT_ROWS, attach
+from coldgraph.functions.skew import HOT_ROWS, MAX_HOT, attach
 from coldgraph.functions.vectors import DIGITS, dimension, list_array, matrix
 from coldgraph.operators.graph import normalize_edges
 from coldgraph.session import materialize
@@ -32,6 +33,7 @@ BROADCAST_BYTES = 64 * 1024 * 1024
 CENTER_BYTES = 64 * 1024 * 1024
 STEP_CELLS = 4_000_000
 BLOCK_ROWS = 4096
+PROBES = 4
 METRICS = ("euclidean", "cosine")
 
 
@@ -159,23 +161,6 @@ def _smallest_copies(ids: np.ndarray, vectors: np.ndarray, keep: int) -> np.ndar
     return order[np.arange(len(order)) - first[group[order]] < keep]
 
 
-def pivots(base: DataFrame, rows: int, column: str, d: int, cells: int | None = None) -> np.ndarray:
-    """About sqrt(rows) base vectors, but no more than ``CENTER_BYTES`` hold, picked by the hash of their id.
-
-    The hash threshold keeps the expected number fixed, so nothing is sorted and
-    what is collected is bounded. Which ones are picked doesn't change any exact result.
-    """
-    count = cells or min(CENTER_BYTES // (8 * (d + 2)), max(1, int(round(rows**0.5))))
-    buckets = 1 << 40
-    picked = base.filter(
-        F.pmod(F.xxhash64("id"), F.lit(buckets)) < F.lit(int(buckets * min(1.0, count / rows)))
-    )
-    _, vectors = _collect_matrix(picked.limit(2 * count + 64), column, d)
-    if not len(vectors):
-        _, vectors = _collect_matrix(base.limit(1), column, d)
-    return np.unique(vectors, axis=0)
-
-
 def _distances(rows: np.ndarray, centers: np.ndarray) -> np.ndarray:
     squares = (rows * rows).sum(axis=1)[:, None] + (centers * centers).sum(axis=1)[None, :]
     return np.sqrt(np.maximum(squares - 2 * rows @ centers.T, 0))
@@ -208,100 +193,268 @@ def _copies(df: DataFrame, column: str, keep: int) -> DataFrame:
     )
 
 
-def _in_home_cell(df: DataFrame, d: int, centers, metric: str, side: str, *keep: str) -> DataFrame:
-    """``(keep..., placed, cell, reach)``: nearest pivot and the distance to it."""
-    kept = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keep)
+def _lower_bounds(dist: np.ndarray, near: np.ndarray, far: np.ndarray, factor: float) -> np.ndarray:
+    """Least distance of a cell's rows, which lie between ``near`` and ``far`` from its pivot, to points ``dist`` from it.
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = centers.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = place(matrix(batch.column("vector"), d), metric, side)
-            cell, reach = np.zeros(len(rows), dtype=np.int64), np.zeros(len(rows))
-            for part in _steps(len(rows), len(c)):
-                distances = _distances(rows[part], c)
-                cell[part] = distances.argmin(axis=1)
-                reach[part] = distances.min(axis=1)
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k) for k in keep), list_array(rows), pa.array(cell.astype(np.int32)), pa.array(reach)],
-                names=[*keep, "placed", "cell", "reach"],
-            )
+    ``factor`` is the largest cosine, seen from the pivot, of the angle between the point and a row that counts: 1 leaves nothing out.
+    """
+    r = np.clip(factor * dist, near, far)
+    return np.sqrt(np.maximum(dist * dist + r * r - 2 * factor * dist * r, 0))
 
-    return df.select(*dict.fromkeys(["vector", *keep])).mapInArrow(
-        assign, f"{kept}, placed array<double>, cell int, reach double"
-    )
 
+class CellTree:
+    """Base rows in cells of two levels: top pivots, which the driver holds, and cells below each of them, which are a table.
 
-def _split_counts(counts: dict[int, int], block_rows: int) -> dict[int, int]:
-    return {cell: -(-n // block_rows) for cell, n in counts.items()}
+    ``rows(bid, placed, cell, ...)`` are the base rows, ``cells(top, cell, pivot, n, near, far)`` the filled cells with the range of their rows'
+    distances from the pivot. What a task holds of a top's cells is their number below that top, about the square root of all.
+    """
 
+    def __init__(self, rows: DataFrame, count: int, d: int, width: int, metric: str, block_rows: int, cells: int | None = None):
+        """``rows``: bid, vector and what is to be kept; ``count``: about how many."""
+        self.spark, self.width, self.metric, self.block_rows = rows.sparkSession, width, metric, block_rows
+        kept = [c for c in rows.columns if c not in ("bid", "vector")]
+        wanted = cells or max(1, round(count**0.5), count // block_rows)
+        most = CENTER_BYTES // (8 * width)
+        placed = _placed(rows, d, metric, "base")
+        # Pivots by the hash of the id: their expected number is fixed, and which they are changes no exact result.
+        buckets = 1 << 40
+        drawn = F.pmod(F.xxhash64("bid"), F.lit(buckets))
+        share = lambda n: drawn < F.lit(int(buckets * min(1.0, n / count)))
+        tops = min(most, max(1, round(wanted**0.5)))
+        chosen = placed.where(share(tops)).select("placed").limit(2 * tops + 64).toArrow()
+        if not chosen.num_rows:
+            chosen = placed.select("placed").limit(1).toArrow()
+        self.tops = np.unique(matrix(chosen.column("placed"), width), axis=0)
+        self.shared_tops = self.spark.sparkContext.broadcast(self.tops)
+        own = [(t, row.tolist()) for t, row in enumerate(self.tops)]
+        leaves = self._with_top(placed.where(share(wanted)).select("placed")).select("top", F.col("placed").alias("pivot"))
+        leaves = leaves.unionByName(self.spark.createDataFrame(own, "top int, pivot array<double>")).distinct()
+        number = F.row_number().over(Window.partitionBy("top").orderBy("pivot")).cast("long")
+        leaves = materialize(leaves.withColumn("cell", F.shiftleft(F.col("top").cast("long"), 32) + number), "leaves")
+        leaves = leaves.withColumns({"near": F.lit(0.0), "far": F.lit(0.0)})
+
+        def home(batch: pa.RecordBatch, numbers: np.ndarray, pivots: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x = matrix(batch.column("placed"), width)
+            for part in _steps(len(x), len(pivots)):
+                dist = _distances(x[part], pivots)
+                nearest = dist.argmin(axis=1)
+                columns = [batch.column(c).slice(part.start, len(nearest)) for c in ("bid", *kept, "placed", "top", "top_reach")]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(numbers[nearest]), pa.array(dist[np.arange(len(nearest)), nearest])],
+                    names=["bid", *kept, "placed", "top", "top_reach", "cell", "reach"],
+                )
 
-def _lookup(spark, name: str, values: dict[int, int]) -> DataFrame:
-    """Per-cell numbers, no more than there are centers, whose bytes are bounded: small enough to broadcast."""
-    return F.broadcast(spark.createDataFrame(list(values.items()) or [(-1, 1)], f"cell int, {name} int"))
+        columns = ", ".join(f"{c} {_type(rows, c)}" for c in ("bid", *kept))
+        in_tops = self._with_top(placed.select("bid", *kept, "placed"))
+        schema = f"{columns}, placed array<double>, top int, top_reach double, cell bigint, reach double"
+        self.rows = materialize(self._below_tops(in_tops, leaves, "bid", home, schema), "cells")
+        stats = self.rows.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far"))
+        self.cells = materialize(leaves.drop("near", "far").join(stats, "cell"), "cell-stats")
+        self.filled = self.cells.count()
+        spans = self.rows.groupBy("top").agg(F.min("top_reach").alias("near"), F.max("top_reach").alias("far")).collect()
+        self.open_tops = np.array(sorted(r["top"] for r in spans))
+        by_top = {r["top"]: (r["near"], r["far"]) for r in spans}
+        self.spans = np.array([by_top[t] for t in self.open_tops])
+
+    def _with_top(self, placed: DataFrame) -> DataFrame:
+        """``placed`` rows with their nearest top pivot and the distance to it."""
+        shared, width = self.shared_tops, self.width
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    x = matrix(batch.column("placed"), width)
+                    top, reach = np.zeros(len(x), dtype=np.int32), np.zeros(len(x))
+                    for part in _steps(len(x), len(shared.value)):
+                        dist = _distances(x[part], shared.value)
+                        top[part], reach[part] = dist.argmin(axis=1), dist.min(axis=1)
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(top), pa.array(reach)], names=[*batch.schema.names, "top", "top_reach"])
+
+        kept = ", ".join(f"{c} {_type(placed, c)}" for c in placed.columns)
+        return placed.mapInArrow(assign, f"{kept}, top int, top_reach double")
+
+    def _below_tops(self, rows: DataFrame, cells: DataFrame, key: str, each, schema: str) -> DataFrame:
+        """``each(rows of one top, its cells' numbers, pivots, near, far)`` for all tops that ``rows`` name.
+
+        Cells that fit into ``CENTER_BYTES`` together are broadcast and nothing is shuffled; else rows and cells meet by top, rows in blocks.
+        """
+        width, names = self.width, [f.split(" ")[0] for f in schema.split(", ")]
+        count = cells.count()
+
+        def unpack(table: pa.Table | pa.RecordBatch):
+            order = np.argsort(table.column("cell").to_numpy(), kind="stable")
+            return tuple(
+                x[order]
+                for x in (table.column("cell").to_numpy(), matrix(table.column("pivot"), width), table.column("near").to_numpy(), table.column("far").to_numpy())
+            )
 
+        if count * (width + 4) * 8 <= CENTER_BYTES:
+            numbers, pivots, near, far = unpack(cells.select("cell", "pivot", "near", "far").toArrow())
+            shared = self.spark.sparkContext.broadcast((numbers, pivots, near, far, numbers >> 32))
+
+            def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                numbers, pivots, near, far, tops = shared.value
+                for batch in batches:
+                    top = batch.column("top").to_numpy()
+                    order = np.argsort(top, kind="stable")
+                    cuts = np.flatnonzero(np.diff(top[order])) + 1
+                    for part in np.split(order, cuts) if len(order) else []:
+                        a, b = np.searchsorted(tops, [top[part[0]], top[part[0]] + 1])
+                        yield from each(batch.take(pa.array(part)), numbers[a:b], pivots[a:b], near[a:b], far[a:b])
+
+            return rows.mapInArrow(narrow, schema)
+
+        sizes = rows.groupBy("top").agg(F.count(F.lit(1)).alias("n"))
+        parts = F.broadcast(sizes.select("top", F.ceil(F.col("n") / self.block_rows).cast("int").alias("parts")))  # one row per top
+        left = rows.join(parts, "top").withColumn("part", F.pmod(F.xxhash64(key), F.col("parts").cast("bigint")).cast("int")).drop("parts")
+        right = cells.join(parts, "top").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+        def meet(own: pa.Table, below: pa.Table) -> pa.Table:
+            found = []
+            if own.num_rows and below.num_rows:
+                batch = own.combine_chunks().to_batches()[0]
+                found = list(each(batch, *unpack(below)))
+            return pa.Table.from_batches(found) if found else target.empty_table()
+
+        target = pa.schema([(n, _ARROW[f.split(" ", 1)[1]]) if f.split(" ", 1)[1] in _ARROW else (n, to_arrow_type(rows.schema[n].dataType)) for n, f in zip(names, schema.split(", "), strict=True)])
+        grid = ["top", "part"]
+        columns = [c for c in left.columns if c != "part"]
+        grouped = left.groupBy(*grid).cogroup(right.select(*grid, "cell", "pivot", "near", "far").groupBy(*grid))
+        return grouped.applyInArrow(lambda a, b: meet(a.select(columns), b), schema)
+
+    def nearest_cells(self, asked: DataFrame, probes: int) -> DataFrame:
+        """``(qid, cell)``: about the ``probes`` nearest filled cells of each query, from the nearest tops."""
+        some = min(len(self.open_tops), 2 + 2 * -(-probes * len(self.open_tops) // self.filled))
+        shared, width = self.spark.sparkContext.broadcast((self.open_tops, self.tops[self.open_tops])), self.width
+
+        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, pivots = shared.value
+            for batch in batches:
+                x = matrix(batch.column("placed"), width)
+                for part in _steps(len(x), len(pivots)):
+                    near = np.argsort(_distances(x[part], pivots), axis=1, kind="stable")[:, :some]
+                    rows = np.repeat(np.arange(part.start, part.start + len(near)), some)
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.take(pa.array(rows)).columns, pa.array(numbers[near.ravel()].astype(np.int32))], names=["qid", "placed", "top"]
+                    )
+
+        def cells(batch: pa.RecordBatch, numbers: np.ndarray, pivots: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x = matrix(batch.column("placed"), width)
+            for part in _steps(len(x), len(pivots)):
+                dist = _distances(x[part], pivots)
+                first = np.argsort(dist, axis=1, kind="stable")[:, :probes]
+                rows = np.repeat(np.arange(len(first)), first.shape[1])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("qid").take(pa.array(part.start + rows)), pa.array(numbers[first.ravel()]), pa.array(dist[rows, first.ravel()])],
+                    names=["qid", "cell", "dist"],
+                )
 
-def _visit(
-    visits: DataFrame, base: DataFrame, visit_counts: dict[int, int], base_counts: dict[int, int],
-    k: int, metric: str, d: int, block_rows: int,
-) -> DataFrame:
-    """``(qid, bid, dist)``: the k best of every (query, cell) visit.
+        kind = _type(asked, "qid")
+        in_tops = asked.select("qid", "placed").mapInArrow(tops, f"qid {kind}, placed array<double>, top int")
+        found = self._below_tops(in_tops, self.cells, "qid", cells, f"qid {kind}, cell bigint, dist double")
+        order = Window.partitionBy("qid").orderBy("dist", "cell")
+        return found.withColumn("n", F.row_number().over(order)).where(F.col("n") <= probes).select("qid", "cell")
 
-    Visits ``(qid, q, cell)`` and base rows ``(bid, b, cell)`` are laid out on a grid
-    of (cell, query block, base block): a full cell is many tasks' work.
-    """
-    spark = base.sparkSession
-    q_parts = _lookup(spark, "q_parts", _split_counts(visit_counts, block_rows))
-    b_parts = _lookup(spark, "b_parts", _split_counts(base_counts, block_rows))
-    left = (
-        visits.join(q_parts, "cell")
-        .join(b_parts, "cell")
-        .withColumn("q_part", F.pmod(F.xxhash64("qid"), F.col("q_parts").cast("bigint")).cast("int"))
-        .withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1)))
-        .select("cell", "q_part", "b_part", "qid", "q")
-    )
-    right = (
-        base.join(q_parts, "cell")
-        .join(b_parts, "cell")
-        .withColumn("b_part", F.pmod(F.xxhash64("bid"), F.col("b_parts").cast("bigint")).cast("int"))
-        .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
-        .select("cell", "q_part", "b_part", "bid", "b")
-    )
+    def open_cells(self, bounded: DataFrame, factor: float = 1.0) -> DataFrame:
+        """``(qid, cell)``: cells that may hold a base row within a query's bound (column bound; null: all)."""
+        shared, width, metric = self.spark.sparkContext.broadcast((self.open_tops, self.tops[self.open_tops], self.spans)), self.width, self.metric
 
-    def compare(q_table: pa.Table, b_table: pa.Table) -> pa.Table:
-        names = ["qid", "bid", "dist"]
-        q_type, b_type = q_table.schema.field("qid").type, b_table.schema.field("bid").type
-        if not q_table.num_rows or not b_table.num_rows:
-            return pa.table([pa.array([], q_type), pa.array([], b_type), pa.array([], pa.float64())], names=names)
-        q_ids, b_ids = q_table.column("qid").to_numpy(), b_table.column("bid").to_numpy()
-        at, hit, dist = best_in_block(
-            q_ids, matrix(q_table.column("q"), d), b_ids, matrix(b_table.column("b"), d), k, metric,
-            skip_self=False,
+        def limit(batch: pa.RecordBatch) -> np.ndarray:
+            bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
+            if metric == "cosine":
+                bound = np.sqrt(2 * bound + 10.0**-DIGITS)
+            return np.where(np.isnan(bound), np.inf, bound) + 2 * 10.0**-DIGITS
+
+        def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            numbers, pivots, span = shared.value
+            for batch in batches:
+                x, bound = matrix(batch.column("placed"), width), limit(batch)
+                for part in _steps(len(x), len(pivots)):
+                    least = _lower_bounds(_distances(x[part], pivots), span[:, 0], span[:, 1], 1.0)
+                    rows, top = np.nonzero(least <= bound[part, None])
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.take(pa.array(part.start + rows)).columns, pa.array(numbers[top].astype(np.int32))], names=["qid", "placed", "bound", "top"]
+                    )
+
+        def cells(batch: pa.RecordBatch, numbers: np.ndarray, pivots: np.ndarray, near: np.ndarray, far: np.ndarray) -> Iterator[pa.RecordBatch]:
+            x, bound = matrix(batch.column("placed"), width), limit(batch)
+            for part in _steps(len(x), len(pivots)):
+                rows, cell = np.nonzero(_lower_bounds(_distances(x[part], pivots), near, far, factor) <= bound[part, None])
+                yield pa.RecordBatch.from_arrays([batch.column("qid").take(pa.array(part.start + rows)), pa.array(numbers[cell])], names=["qid", "cell"])
+
+        kind = _type(bounded, "qid")
+        in_tops = bounded.select("qid", "placed", "bound").mapInArrow(tops, f"qid {kind}, placed array<double>, bound double, top int")
+        return self._below_tops(in_tops, self.cells, "qid", cells, f"qid {kind}, cell bigint")
+
+    def visit(self, visits: DataFrame, asked: DataFrame, keep: int, hot_rows: int) -> DataFrame:
+        """``(qid, bid, dist)``: the ``keep`` best of every (query, cell) visit, or as many more as its column ``extra`` says.
+
+        Visits and base rows are laid out on a grid of (cell, query block, base block): a full cell is many tasks' work.
+        """
+        width, metric, block = self.width, self.metric, self.block_rows
+        counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("v")).join(self.cells.select("cell", "n"), "cell")
+        counted = materialize(counted, "visited")
+        parts = counted.select("cell", F.ceil(F.col("v") / block).cast("int").alias("q_parts"), F.ceil(F.col("n") / block).cast("int").alias("b_parts"))
+        hot = {
+            c: counted.where(F.col(c) > hot_rows).orderBy(F.desc(c)).limit(MAX_HOT)
+            .select(F.col("cell").alias("key"), F.ceil(F.col(c) / hot_rows).cast("int").alias("copies")).collect()
+            for c in ("v", "n")
+        }
+        extra = F.col("extra").cast("int") if "extra" in visits.columns else F.lit(0)
+        left = attach(visits.select("qid", "cell", extra.alias("extra")), parts, "cell", ["qid"], hot=hot["v"], hot_rows=hot_rows)
+        left = (
+            left.withColumn("q_part", F.pmod(F.xxhash64("qid"), F.col("q_parts").cast("bigint")).cast("int"))
+            .join(asked.select("qid", F.col("placed").alias("q")), "qid")
+            .withColumn("b_part", F.explode(F.sequence(F.lit(0), F.col("b_parts") - 1)))
+            .select("cell", "q_part", "b_part", "qid", "extra", "q")
+        )
+        right = attach(self.rows.select("bid", F.col("placed").alias("b"), "cell"), parts, "cell", ["bid"], hot=hot["n"], hot_rows=hot_rows)
+        right = (
+            right.withColumn("b_part", F.pmod(F.xxhash64("bid"), F.col("b_parts").cast("bigint")).cast("int"))
+            .withColumn("q_part", F.explode(F.sequence(F.lit(0), F.col("q_parts") - 1)))
+            .select("cell", "q_part", "b_part", "bid", "b")
         )
-        return pa.table([pa.array(q_ids[at], q_type), pa.array(b_ids[hit], b_type), pa.array(dist)], names=names)
 
-    grid = ["cell", "q_part", "b_part"]
-    return (
-        left.groupBy(*grid)
-        .cogroup(right.groupBy(*grid))
-        .applyInArrow(compare, f"qid {_type(visits, 'qid')}, bid {_type(base, 'bid')}, dist double")
-    )
+        def compare(q_table: pa.Table, b_table: pa.Table) -> pa.Table:
+            names = ["qid", "bid", "dist"]
+            q_type, b_type = q_table.schema.field("qid").type, b_table.schema.field("bid").type
+            if not q_table.num_rows or not b_table.num_rows:
+                return pa.table([pa.array([], q_type), pa.array([], b_type), pa.array([], pa.float64())], names=names)
+            q_ids, b_ids = q_table.column("qid").to_numpy(), b_table.column("bid").to_numpy()
+            more = q_table.column("extra").to_numpy()
+            at, hit, dist = best_in_block(
+                q_ids, matrix(q_table.column("q"), width), b_ids, matrix(b_table.column("b"), width), keep + int(more.max()), metric, skip_self=False
+            )
+            own = np.arange(len(at)) - np.searchsorted(at, at) < keep + more[at]
+            at, hit, dist = at[own], hit[own], dist[own]
+            return pa.table([pa.array(q_ids[at], q_type), pa.array(b_ids[hit], b_type), pa.array(dist)], names=names)
 
+        grid = ["cell", "q_part", "b_part"]
+        grouped = left.groupBy(*grid).cogroup(right.groupBy(*grid))
+        return grouped.applyInArrow(compare, f"qid {_type(visits, 'qid')}, bid {_type(self.rows, 'bid')}, dist double")
 
-def _cells(df: DataFrame) -> dict[int, tuple[int, float, float]]:
-    """cell -> (rows, smallest and largest reach); one row per cell reaches the driver."""
-    stats = df.groupBy("cell").agg(
-        F.count(F.lit(1)).alias("n"), F.min("reach").alias("near"), F.max("reach").alias("far")
-    )
-    return {r["cell"]: (r["n"], r["near"], r["far"]) for r in stats.collect()}
+
+_ARROW = {"bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "array<double>": pa.list_(pa.float64())}
+
+
+def _placed(df: DataFrame, d: int, metric: str, side: str) -> DataFrame:
+    """``df`` with ``placed`` instead of ``vector``."""
+    kept = [c for c in df.columns if c != "vector"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                rows = place(matrix(batch.column("vector"), d), metric, side)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), list_array(rows)], names=[*kept, "placed"])
+
+    schema = ", ".join(f"{c} {_type(df, c)}" for c in kept)
+    return df.select(*kept, "vector").mapInArrow(run, f"{schema}, placed array<double>")
 
 
 class NeighborIndex:
     """A base prepared for many ``nearest`` calls of up to ``k``: one broadcast matrix, or cells.
 
-    ``block_rows`` bounds what a task holds of either side; ``cells`` overrides the number
-    of pivots.
+    ``block_rows`` bounds what a task holds of either side; ``cells`` overrides the number of cells.
     """
 
     def __init__(
@@ -328,21 +481,11 @@ class NeighborIndex:
         if self.rows * (self.d + 3) * 8 <= broadcast_bytes:
             ids, vectors = _collect_matrix(base, column, self.d)
             kept = _smallest_copies(ids, vectors, self.keep)
-            self.matrix = self._share((ids[kept], place(vectors[kept], metric, "base")))
+            self.matrix = self.spark.sparkContext.broadcast((ids[kept], place(vectors[kept], metric, "base")))
             return
         self.width = self.d + 2 if metric == "cosine" else self.d
-        chosen = pivots(base, self.rows, column, self.d, cells)
-        self.centers = np.unique(place(chosen, metric, "base"), axis=0)
-        self.shared = self._share(self.centers)
         distinct = _copies(base, column, self.keep).withColumn("bid", F.element_at("ids", 1))
-        self.base = materialize(
-            _in_home_cell(distinct, self.d, self.shared, metric, "base", "bid", "ids"), "cells"
-        )
-        self.stats = _cells(self.base)
-        self.filled = np.array(sorted(self.stats))
-
-    def _share(self, value):
-        return self.spark.sparkContext.broadcast(value)
+        self.tree = CellTree(distinct, self.rows, self.d, self.width, metric, block_rows, cells)
 
     def nearest(
         self, queries: DataFrame, hot_rows: int = HOT_ROWS, k: int | None = None
@@ -351,78 +494,36 @@ class NeighborIndex:
         k = self.k if k is None else k
         if k > self.k:
             raise ValueError(f"the index was built for k = {self.k}")
-        keep = k + 1
         if self.rows == 0:
             return self.spark.createDataFrame([], _schema(queries, self.id_type))
         if self.matrix is not None:
             return _nearest_in_matrix(
                 queries, self.matrix, self.id_type, k, self.metric, self.column, self.d
             )
-        asked = self._ask(queries)
-        # Pass 1: the home cell, or the nearest one that holds base rows at all.
-        asked_in = _counts(asked)
-        home_of = {
-            c: int(self.filled[_distances(self.centers[c : c + 1], self.centers[self.filled]).argmin()])
-            for c in asked_in
-        }
-        at_home = asked.join(_lookup(self.spark, "home", home_of), "cell").drop("cell")
-        first_counts: dict[int, int] = {}
-        for cell, n in asked_in.items():
-            first_counts[home_of[cell]] = first_counts.get(home_of[cell], 0) + n
-        first = at_home.select("qid", F.col("placed").alias("q"), F.col("home").alias("cell"))
-        near = materialize(_best(self._visit(first, first_counts, keep), keep), "near")
-
-        # Pass 2: the cells which the bound of pass 1 can't rule out.
-        bound = near.groupBy("qid").agg(
-            F.max("dist").alias("bound"), F.count(F.lit(1)).alias("found")
-        )
-        full = F.col("found") >= keep
-        still_open = at_home.join(bound, "qid", "left").select(
-            "qid", "placed", "home", F.when(full, F.col("bound")).alias("bound")
-        )
-        spans = self._share((self.filled, np.array([self.stats[c][1:] for c in self.filled])))
-        visits = materialize(
-            _open_cells(still_open, self.shared, spans, self.metric, self.width), "visits"
-        )
-        far = self._visit(visits, _counts(visits), keep)
-        return self._answer(_best(near.unionByName(far), keep), asked, queries, k, hot_rows)
+        return self.probe(queries, PROBES, 1.0, hot_rows, k)
 
-    def probe(self, queries: DataFrame, probes: int, hot_rows: int = HOT_ROWS) -> DataFrame:
-        """``neighbors`` from the ``probes`` nearest cells of each query only."""
+    def probe(
+        self, queries: DataFrame, probes: int, factor: float | None = None, hot_rows: int = HOT_ROWS, k: int | None = None
+    ) -> DataFrame:
+        """``neighbors`` from the ``probes`` nearest cells of each query, four times as many in each further round while these hold fewer than
+        k + 1 vectors; then from all cells whose bound (``_lower_bounds`` with ``factor``) is within the k-th distance found. Without a factor it ends there."""
+        k = self.k if k is None else k
         if self.rows == 0:
             return self.nearest(queries)
-        asked = self._ask(queries)
-        visits = materialize(
-            _nearest_cells(asked, self.shared, self._share(self.filled), self.width, probes), "visits"
-        )
-        found = self._visit(visits, _counts(visits), self.keep)
-        return self._answer(_best(found, self.keep), asked, queries, self.k, hot_rows)
-
-    def _ask(self, queries: DataFrame) -> DataFrame:
-        """Distinct query vectors in their home cells."""
         vectors = queries.groupBy(F.col(self.column).alias("vector")).agg(F.min("id").alias("qid"))
-        placed = _in_home_cell(vectors, self.d, self.shared, self.metric, "query", "qid", "vector")
-        return materialize(placed, "asked")
-
-    def _visit(self, visits: DataFrame, counts: dict[int, int], keep: int) -> DataFrame:
-        rows = self.base.select("bid", F.col("placed").alias("b"), "cell")
-        base_counts = {cell: n for cell, (n, _, _) in self.stats.items()}
-        return _visit(
-            visits, rows, counts, base_counts, keep, self.metric, self.width, self.block_rows
-        )
+        asked = materialize(_placed(vectors.select("qid", "vector", F.col("vector").alias("own")), self.d, self.metric, "query"), "asked")
+        best = search(self.tree, asked, lambda visits, part: _best(self.tree.visit(visits, part, k + 1, hot_rows), k + 1), k + 1, probes, factor)
+        return self._answer(best, asked, queries, k, hot_rows)
 
     def _answer(self, best: DataFrame, asked: DataFrame, queries: DataFrame, k: int, hot_rows: int):
         """From distinct vectors back to ids."""
-        best = materialize(best, "best")
-        named = attach(best, self.base.select("bid", "ids"), "bid", ["qid"], hot_rows=hot_rows)
-        hits = named.select("qid", "dist", F.explode(F.slice("ids", 1, k + 1)).alias("dst"))
+        named = attach(best, self.tree.rows.select("bid", "ids"), "bid", ["qid"], hot_rows=hot_rows)
+        # Of vectors behind enough ids at smaller distances none can count.
+        needed = named.withColumn("nearer", _sum_nearer(F.size("ids"))).where(F.col("nearer") <= k)
+        hits = needed.select("qid", "dist", F.explode(F.slice("ids", 1, k + 1)).alias("dst"))
+        hits = _ranked(hits, "qid", k + 1)
         ordered = F.array_sort(F.collect_list(F.struct("dist", "dst")))
-        answers = (
-            hits.groupBy("qid")
-            .agg(F.slice(ordered, 1, k + 1).alias("hits"))
-            .join(asked.select("qid", "vector"), "qid")
-            .select("vector", "hits")
-        )
+        answers = hits.groupBy("qid").agg(ordered.alias("hits")).join(asked.select("qid", F.col("own").alias("vector")), "qid").select("vector", "hits")
         given = queries.select(F.col("id").alias("src"), F.col(self.column).alias("vector"))
         found = attach(_keyed(given), _keyed(answers), ["key", "vector"], ["src"], hot_rows=hot_rows)
         others = F.filter("hits", lambda h: h["dst"] != F.col("src"))
@@ -434,10 +535,111 @@ class NeighborIndex:
         )
 
 
-def _counts(visits: DataFrame) -> dict[int, int]:
-    """cell -> visiting queries; one row per cell reaches the driver."""
-    counted = visits.groupBy("cell").agg(F.count(F.lit(1)).alias("n"))
-    return {r["cell"]: r["n"] for r in counted.collect()}
+def _sum_nearer(value: Column) -> Column:
+    """Of a query's hits, the sum of ``value`` over those at smaller distances."""
+    up_to = Window.partitionBy("qid").orderBy("dist").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    return F.sum(value).over(up_to) - F.sum(value).over(Window.partitionBy("qid", "dist"))
+
+
+def _ranked(hits: DataFrame, query: str, keep: int) -> DataFrame:
+    order = Window.partitionBy(query).orderBy("dist", "dst")
+    return hits.withColumn("n", F.row_number().over(order)).where(F.col("n") <= keep).drop("n")
+
+
+def search(tree: CellTree, asked: DataFrame, visit, needed: int, probes: int, factor: float | None) -> DataFrame:
+    """The best of ``asked(qid, placed)`` by ``visit(visits, asked)``, which gives the best rows (qid, ..., dist) of its visits, in rounds.
+
+    A round that leaves queries with fewer than ``needed`` rows is followed by one of four times as many cells for these, up to all. Then each resumes within the radius it has: all cells
+    whose bound is within its last distance, but those it has visited.
+    """
+    found, visited, left = None, None, asked
+    while True:
+        visits = materialize(tree.nearest_cells(left, min(probes, tree.filled)), "visits")
+        now = materialize(visit(visits, left), "near")
+        if probes >= tree.filled:
+            full = now
+            cells = visits
+        else:
+            enough = now.groupBy("qid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= needed).select("qid")
+            full, cells = now.join(enough, "qid", "left_semi"), visits.join(enough, "qid", "left_semi")
+        found = full if found is None else found.unionByName(full)
+        visited = cells if visited is None else visited.unionByName(cells)
+        if probes >= tree.filled:
+            break
+        left = materialize(left.join(enough, "qid", "left_anti"), "left")
+        if left.isEmpty():
+            break
+        probes *= 4
+    found = materialize(found, "found")
+    if factor is None:
+        return found
+    bound = found.groupBy("qid").agg(F.max("dist").alias("bound"))
+    bounded = asked.select("qid", "placed").join(bound, "qid")
+    more = materialize(tree.open_cells(bounded, factor).join(visited, ["qid", "cell"], "left_anti"), "visits")
+    again = visit(more, asked)
+    keys = [c for c in found.columns if c not in ("qid", "dist")]
+    order = Window.partitionBy("qid").orderBy("dist", *keys)
+    both = found.unionByName(again).withColumn("n", F.row_number().over(order)).where(F.col("n") <= needed).drop("n")
+    return materialize(both, "best")
+
+
+class FreshIndex:
+    """Nearest base nodes that aren't excluded, as rows: no list grows with the number of exclusions.
+
+    Copies of a vector are collapsed in groups of about ``block_rows``, whose ids are a table of their own.
+    """
+
+    def __init__(self, base: DataFrame, metric: str = "euclidean", column: str = "features", block_rows: int = BLOCK_ROWS, hot_rows: int = HOT_ROWS, cells: int | None = None):
+        self.metric, self.column, self.hot_rows = metric, column, hot_rows
+        self.rows = base.count()
+        self.id_type = base.schema["id"].dataType
+        self.spark = base.sparkSession
+        if not self.rows:
+            return
+        self.d = dimension(base, column)
+        given = _keyed(base.select("id", F.col(column).alias("vector")))
+        large = given.groupBy("key", "vector").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block_rows)
+        parts = F.ceil(F.col("n") / block_rows).cast("bigint")
+        tagged = attach(given, materialize(large, "copies"), ["key", "vector"], ["id"], "left", hot_rows=hot_rows)
+        tagged = tagged.withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), parts), F.lit(0)))
+        group = Window.partitionBy("key", "vector", "salt")
+        members = tagged.select("id", "vector", F.min("id").over(group).alias("bid"), F.row_number().over(group.orderBy("id")).alias("place"))
+        members = materialize(members, "members")
+        sizes = members.groupBy("bid").agg(F.count(F.lit(1)).alias("size"))
+        groups = members.where("place = 1").select("bid", "vector").join(sizes, "bid")
+        self.members = members.select(F.col("id").alias("dst"), "bid", "place")
+        self.tree = CellTree(groups, self.rows, self.d, self.d + 2 if metric == "cosine" else self.d, metric, block_rows, cells)
+
+    def nearest(self, queries: DataFrame, excluded: DataFrame, k: int) -> DataFrame:
+        """``(src, dst, rank, dist)``: the k nearest of each query but itself and its ``excluded(src, dst)``; ids of queries are distinct.
+
+        A visit hands on as many rows beyond k as the query has excluded rows in that cell, so what moves is bounded by k per visit and the
+        exclusions themselves; of those left, k are kept before the next round.
+        """
+        if not self.rows:
+            return self.spark.createDataFrame([], _schema(queries, self.id_type))
+        tree, hot_rows = self.tree, self.hot_rows
+        vectors = queries.select(F.col("id").alias("qid"), F.col(self.column).alias("vector"))
+        asked = materialize(_placed(vectors, self.d, self.metric, "query"), "asked")
+        own = vectors.select(F.col("qid").alias("src"), F.col("qid").alias("dst"))
+        barred = excluded.select("src", "dst").join(vectors.select(F.col("qid").alias("src")), "src", "left_semi").unionByName(own).distinct()
+        barred = materialize(attach(barred, self.members.select("dst", "bid"), "dst", ["src"], hot_rows=hot_rows), "barred")
+        in_cells = attach(barred, tree.rows.select("bid", "cell"), "bid", ["src"], hot_rows=hot_rows)
+        extra = materialize(in_cells.groupBy(F.col("src").alias("qid"), "cell").agg(F.count(F.lit(1)).alias("extra")), "extra")
+        in_group = barred.groupBy(F.col("src").alias("qid"), "bid").agg(F.count(F.lit(1)).alias("gone"))
+
+        def visit(visits: DataFrame, part: DataFrame) -> DataFrame:
+            hits = tree.visit(visits.join(extra, ["qid", "cell"], "left").fillna(0, ["extra"]), part, k, hot_rows)
+            sized = attach(hits, tree.rows.select("bid", "size"), "bid", ["qid"], hot_rows=hot_rows).join(in_group, ["qid", "bid"], "left").fillna(0, ["gone"])
+            free = F.least(F.col("size") - F.col("gone"), F.lit(k))
+            wanted = sized.withColumn("nearer", _sum_nearer(free)).where(F.col("nearer") < k)
+            named = attach(wanted, self.members, "bid", ["qid"], hot_rows=hot_rows).where(F.col("place") <= F.col("gone") + k)
+            fresh = named.join(barred.select(F.col("src").alias("qid"), "dst"), ["qid", "dst"], "left_anti")
+            return _ranked(fresh.select("qid", "dst", "dist"), "qid", k)
+
+        best = search(tree, asked, visit, k, PROBES, 1.0)
+        order = Window.partitionBy("qid").orderBy("dist", "dst")
+        return best.select(F.col("qid").alias("src"), "dst", F.row_number().over(order).cast("int").alias("rank"), "dist")
 
 
 def knn_approx(
@@ -450,49 +652,15 @@ def knn_approx(
     column: str = "features",
     block_rows: int = BLOCK_ROWS,
     hot_rows: int = HOT_ROWS,
+    factor: float | None = None,
 ) -> DataFrame:
-    """``neighbors`` from the ``probes`` nearest cells of each query only.
+    """``neighbors`` from some cells of each query only: the ``probes`` nearest, then, with a ``factor``, those whose bound
+    is within the k-th distance found.
 
-    Every base row stays in reach through its own cell; a query's cost no longer
-    depends on how well its bound prunes. ``probes`` >= the number of cells is exact. Queries whose cells
-    hold fewer than k rows are answered exactly instead.
+    Every base row stays in reach through its own cell. ``factor`` = 1 or ``probes`` >= the number of cells is exact; a smaller factor
+    leaves out cells in which only rows at an unlikely angle could be nearer. Queries whose cells hold fewer than k rows go on to more of them.
     """
-    index = NeighborIndex(base, k, metric, column, 0, block_rows, cells)
-    if index.rows == 0:
-        return index.nearest(queries)
-    found = materialize(index.probe(queries, probes, hot_rows), "probed")
-    full = found.groupBy(F.col("src").alias("id")).agg(F.count(F.lit(1)).alias("n"))
-    full = full.filter(F.col("n") >= min(k, index.rows)).select("id")
-    short = materialize(queries.select("id", column).join(full, "id", "left_anti"), "short")
-    if short.isEmpty():
-        return found
-    whole = found.join(full.withColumnRenamed("id", "src"), "src", "left_semi")
-    return whole.unionByName(index.nearest(short, hot_rows))
-
-
-def _nearest_cells(asked: DataFrame, centers, filled, d: int, probes: int) -> DataFrame:
-    def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells = filled.value
-        c = centers.value[cells]
-        count = min(probes, len(cells))
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q_ids = batch.column("qid").to_numpy(zero_copy_only=False)
-            rows = matrix(batch.column("placed"), d)
-            nearest = np.concatenate(
-                [np.argsort(_distances(rows[part], c), axis=1, kind="stable")[:, :count] for part in _steps(len(rows), len(c))]
-            )
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(q_ids, count), batch.column("qid").type),
-                    list_array(np.repeat(rows, count, axis=0)),
-                    pa.array(cells[nearest.ravel()].astype(np.int32)),
-                ],
-                names=["qid", "q", "cell"],
-            )
-
-    return asked.select("qid", "placed").mapInArrow(probe, f"qid {_type(asked, 'qid')}, q array<double>, cell int")
+    return NeighborIndex(base, k, metric, column, 0, block_rows, cells).probe(queries, probes, factor, hot_rows)
 
 
 def knn_graph(nodes: DataFrame, k: int, metric: str = "euclidean", **options) -> DataFrame:
@@ -575,37 +743,3 @@ def _best(found: DataFrame, keep: int) -> DataFrame:
     order = Window.partitionBy("qid").orderBy("dist", "bid")
     ranked = found.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= keep)
     return ranked.drop("n")
-
-
-def _open_cells(queries: DataFrame, centers, spans, metric: str, d: int) -> DataFrame:
-    """``(qid, q, cell)``: cells that may hold a base row within a query's bound.
-
-    A cell spans [near, far] around its pivot, so its rows are at least
-    max(dist - far, near - dist) from the query.
-    """
-
-    def keep_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        filled, span = spans.value
-        c = centers.value[filled]
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            q_ids = batch.column("qid").to_numpy(zero_copy_only=False)
-            rows = matrix(batch.column("placed"), d)
-            home = batch.column("home").to_numpy(zero_copy_only=False)
-            bound = batch.column("bound").to_numpy(zero_copy_only=False).astype(float)
-            if metric == "cosine":
-                bound = np.sqrt(2 * bound + 10.0**-DIGITS)
-            bound = np.where(np.isnan(bound), np.inf, bound) + 2 * 10.0**-DIGITS
-            for part in _steps(len(rows), len(filled)):
-                dist = _distances(rows[part], c)
-                least = np.maximum(dist - span[:, 1], span[:, 0] - dist)
-                at, cell = np.nonzero(
-                    (least <= bound[part, None]) & (filled[None, :] != home[part, None])
-                )
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(q_ids[part][at], batch.column("qid").type), list_array(rows[part][at]), pa.array(filled[cell].astype(np.int32))],
-                    names=["qid", "q", "cell"],
-                )
-
-    return queries.mapInArrow(keep_open, f"qid {_type(queries, 'qid')}, q array<double>, cell int")

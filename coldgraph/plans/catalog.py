@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 SHARE = 0.2
 K = 10
 DIMS = 9
+APPROX_FACTOR = 0.7
 
 
 def query(run: Query) -> Query:
@@ -343,7 +344,7 @@ def knn_partitioned(spark, sf_dir):
 @query
 def knn_approx(spark, sf_dir):
     nodes = planted_nodes(spark, sf_dir)
-    return neighbors.knn_approx(nodes, nodes, K, probes=8)
+    return neighbors.knn_approx(nodes, nodes, K, probes=8, factor=APPROX_FACTOR)
 
 
 @query

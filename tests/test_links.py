@@ -138,6 +138,7 @@ def test_recommendations_skip_known_links(make):
     got = rows(links.recommend_links(nodes, nodes, known, 2, column="features"))
     assert got == rows(
         links.recommend_links(nodes, nodes, known, 2, column="features", broadcast_bytes=0, block_rows=3))
+    assert got == rows(links.recommend_links(nodes, nodes, known, 2, column="features", few=2, block_rows=3))
     assert [r[1] for r in got if r[0] == 0] == [6, 7]
     assert [r[1] for r in got if r[0] == 7] == [4, 5] or [r[1] for r in got if r[0] == 7] == [5, 4]
     assert [(r[1], r[2]) for r in got if r[0] == 3] == [(2, 1), (4, 2)]

@@ -138,3 +138,63 @@ def test_distances_go_in_steps(make, crowd, monkeypatch):
     assert [s for s in neighbors._steps(5, 2_000_000)] == [slice(0, 2), slice(2, 4), slice(4, 6)]
     monkeypatch.setattr(neighbors, "STEP_CELLS", 50)
     assert rows(neighbors.knn(base, base, 5, broadcast_bytes=0)) == want
+
+
+def recall(found, exact):
+    found, exact = ({(r["src"], r["dst"]) for r in x.collect()} for x in (found, exact))
+    return len(found & exact) / len(exact)
+
+
+def test_bounded_search_as_registered_reaches_its_recall(planted):
+    from coldgraph.plans.catalog import APPROX_FACTOR
+
+    nodes, _ = planted
+    exact = neighbors.knn(nodes, nodes, 10)
+    assert recall(neighbors.knn_approx(nodes, nodes, 10, probes=8, factor=APPROX_FACTOR), exact) >= 0.9
+
+
+def test_cells_visited_do_not_grow_with_the_cells(make, monkeypatch):
+    """Clustered data: four times the rows in twice the cells, and a query still visits few of them."""
+    rng = np.random.default_rng(4)
+    seen = {}
+    opened = neighbors.CellTree.open_cells
+
+    def count(tree, bounded, factor=1.0):
+        cells = opened(tree, bounded, factor)
+        seen[tree.filled] = cells.count() / bounded.count()
+        return cells
+
+    monkeypatch.setattr(neighbors.CellTree, "open_cells", count)
+    for n in (400, 1600):
+        x = rng.normal(size=(n // 20, 3))[rng.integers(0, n // 20, n)] * 100 + rng.normal(size=(n, 3)) * 0.1
+        base = make.nodes(x)
+        assert recall(neighbors.knn_approx(base, base, 5, probes=2, factor=0.7), neighbors.knn(base, base, 5)) >= 0.9
+    small, large = sorted(seen)
+    assert large > 1.5 * small and seen[large] < 1.5 * seen[small] + 1
+
+
+@pytest.mark.parametrize("metric", neighbors.METRICS)
+def test_cells_below_tops_meet_by_shuffle_when_they_are_many(make, crowd, monkeypatch, metric):
+    base = make.nodes(crowd)
+    want = rows(neighbors.knn(base, base, 4, metric))
+    monkeypatch.setattr(neighbors, "CENTER_BYTES", 1500)
+    index = neighbors.NeighborIndex(base, 4, metric, broadcast_bytes=0, block_rows=32, cells=80)
+    assert index.tree.filled > 30 and rows(index.nearest(base)) == want
+
+
+@pytest.mark.parametrize("metric", neighbors.METRICS)
+def test_excluded_nodes_are_passed_over(spark, make, crowd, metric):
+    """Hubs that exclude nearly all, copies among what is excluded, and queries outside the base."""
+    base = make.nodes(crowd).filter("id < 290")
+    queries = make.nodes(crowd).filter("id IN (0, 50, 105, 150, 280, 295)")
+    barred = [(0, i) for i in range(1, 288)] + [(50, i) for i in range(0, 100, 2)] + [(150, i) for i in range(100, 250)] + [(295, i) for i in range(60)]
+    excluded = spark.createDataFrame(barred, "src bigint, dst bigint")
+    got = rows(neighbors.FreshIndex(base, metric, block_rows=16, hot_rows=20).nearest(queries, excluded, 6))
+    want = []
+    for i in (0, 50, 105, 150, 280, 295):
+        gone = {j for s, j in barred if s == i}
+        near = [r for r in brute(crowd, [i], 300, metric) if r[1] not in gone and r[1] < 290]
+        near.sort(key=lambda r: r[2])
+        want += [(i, j, n + 1, d) for n, (_, j, _, d) in enumerate(near[:6])]
+    assert [r[:3] for r in got] == [r[:3] for r in sorted(want)]
+    assert [r[3] for r in got] == pytest.approx([r[3] for r in sorted(want)], abs=1e-6)
