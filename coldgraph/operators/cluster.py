@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans, KMeansModel, PowerIterationClustering
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from coldgraph.functions.vectors import rounded
+from coldgraph.functions.vectors import list_array, matrix, rounded, sum_vectors
 
 MAX_GROUPS = 2000
+STEP_VALUES = 4_000_000
 
 
 def _vectors(coords: DataFrame) -> DataFrame:
@@ -33,6 +37,67 @@ def cluster(coords: DataFrame, k: int, seed: int = 0, iterations: int = 40) -> D
     return assign(fit_clusters(coords, k, seed, iterations), coords)
 
 
+def _nearest(centers: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Number of the nearest centre of each row; of equally near ones the first."""
+    found = np.zeros(len(rows), dtype=np.int32)
+    step = max(1, STEP_VALUES // centers.size)
+    for a in range(0, len(rows), step):
+        delta = rows[a : a + step, None, :] - centers[None, :, :]
+        found[a : a + step] = (delta * delta).sum(axis=2).argmin(axis=1)
+    return found
+
+
+def assign_to(centers: np.ndarray, coords: DataFrame) -> DataFrame:
+    """``clusters(id, cluster)`` by given centres: a narrow map."""
+    shared = coords.sparkSession.sparkContext.broadcast(centers)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = _nearest(shared.value, matrix(batch.column("z"), shared.value.shape[1]))
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(found)], names=["id", "cluster"])
+
+    kind = coords.schema["id"].dataType.simpleString()
+    return coords.select("id", "z").mapInArrow(run, f"id {kind}, cluster int")
+
+
+def lloyd_step(centers: np.ndarray, coords: DataFrame) -> DataFrame:
+    """``(cluster, n, center)``: the means of the rows nearest to each of the given centres.
+
+    Each task adds its rows up to one partial per centre, so what is shuffled depends on the tasks and the k x d
+    centres only. A centre without rows stays where it is (n = 0).
+    """
+    k, d = centers.shape
+    spark = coords.sparkSession
+    shared = spark.sparkContext.broadcast(centers)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, counts = np.zeros((k, d)), np.zeros(k, dtype=np.int64)
+        for batch in batches:
+            if batch.num_rows:
+                rows = matrix(batch.column("z"), d)
+                found = _nearest(shared.value, rows)
+                np.add.at(sums, found, rows)
+                counts += np.bincount(found, minlength=k)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(k, dtype=np.int32)), pa.array(counts), list_array(sums)], names=["cluster", "n", "sums"])
+
+    partials = coords.select("z").mapInArrow(partial, "cluster int, n bigint, sums array<double>")
+    added = sum_vectors(partials, "cluster", "sums", d, None, "sums", n=F.sum("n"))
+    former = spark.createDataFrame([(j, c.tolist()) for j, c in enumerate(centers)], "cluster int, former array<double>")
+    mean = F.when(F.col("n") > 0, F.transform("sums", lambda x: x / F.col("n"))).otherwise(F.col("former"))
+    return former.join(added, "cluster", "left").select("cluster", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"), F.coalesce(mean, "former").alias("center"))
+
+
+def lloyd(centers: np.ndarray, coords: DataFrame, steps: int = 20, tolerance: float = 1e-6) -> np.ndarray:
+    """Centres after at most ``steps`` steps, or once none moves by more than ``tolerance``; k x d numbers reach the driver."""
+    for _ in range(steps):
+        rows = sorted(lloyd_step(centers, coords).select("cluster", "center").collect())
+        former, centers = centers, np.array([r["center"] for r in rows])
+        if np.abs(centers - former).max() <= tolerance:
+            break
+    return centers
+
+
 def power_iteration_clusters(edges: DataFrame, k: int, iterations: int = 20) -> DataFrame:
     """``clusters`` from adjacency alone: nodes without edges get none."""
     learner = PowerIterationClustering(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -11,11 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from coldgraph.functions.hashing import is_integer
 from coldgraph.functions.propagation import PART_ROWS, LinkTable, neighbor_sums
-from coldgraph.functions.skew import HOT_ROWS, attach_ends
+from coldgraph.functions.skew import HOT_ROWS, attach, attach_ends
 from coldgraph.functions.solvers import filter_roots, fix_signs, generalized_eigh
-from coldgraph.functions.vectors import collect_products, dimension, list_array, map_vectors, matrix, product_sums
-from coldgraph.operators.graph import symmetric
+from coldgraph.functions.vectors import collect_products, dimension, list_array, map_vectors, matrix, product_sums, sum_vectors
+from coldgraph.operators.graph import held_out, symmetric
 from coldgraph.session import materialize
 from coldgraph.sources.tables import require
 
@@ -249,6 +250,47 @@ def fit_spectral_map(
     )
 
 
+def fit_nested_maps(
+    nodes: DataFrame, edges: DataFrame, shares: Sequence[float], k: int, ridge: float = 1e-2, hot_rows: int = HOT_ROWS
+) -> dict[float, SpectralMap]:
+    """``fit_spectral_map`` on the warm part of ``cold_split`` for every share, from one pass over the edges.
+
+    Hold-out sets are nested: an edge is warm at the smallest shares up to some number of them, its band. Neighbour
+    and moment sums are taken by band, and those of a share are the sums over the bands that reach it.
+    """
+    d = dimension(nodes, "features")
+    steps = sorted(set(shares))
+    integer = is_integer(edges, "src")
+    cold = lambda share: held_out(F.col("src"), share, integer) | held_out(F.col("dst"), share, integer)
+    bands = range(1, len(steps) + 1)
+    band = sum((F.when(cold(share), 0).otherwise(1) for share in steps), F.lit(0))
+    vectors = nodes.select("id", F.col("features").alias("x"))
+    links = symmetric(edges).withColumn("band", band).where("band > 0")
+    sources = vectors.withColumnRenamed("id", "src")
+    joined = attach(links, sources, "src", ["dst"], hot_rows=hot_rows).withColumn("id", F.struct("dst", "band"))
+    summed = sum_vectors(joined, "id", "x", d, "weight", "sums", degree=F.sum("weight"))
+    rows = summed.select(F.col("id.dst").alias("id"), F.col("id.band").alias("band"), "sums", "degree").join(vectors, "id")
+    rows = rows.withColumn("one", F.expr(ONE))
+    products, weights = {}, {}
+    for b in bands:
+        own = {f"degree{b}": ("x", "x", "degree"), f"cross{b}": ("x", "sums", None), f"first{b}": ("x", "one", "degree"), f"total{b}": ("one", "one", "degree")}
+        for name, (left, right, weight) in own.items():
+            products[name], weights[name] = (left, right), f"{weight or 'own'}_{b}"
+        rows = rows.withColumns(
+            {f"degree_{b}": F.when(F.col("band") == b, F.col("degree")).otherwise(0.0), f"own_{b}": F.when(F.col("band") == b, 1.0).otherwise(0.0)}
+        )
+    dims = {"x": d, "sums": d, "one": 1}
+    shapes = {name: (dims[left], dims[right]) for name, (left, right) in products.items()}
+    parts = collect_products(product_sums(rows, products, dims, weights), shapes)
+    found = {}
+    for place, share in enumerate(steps, 1):
+        degree, cross, first, total = (sum(parts[f"{name}{b}"] for b in bands if b >= place) for name in ("degree", "cross", "first", "total"))
+        if total[0, 0] <= 0:
+            raise ValueError(f"no edges between warm nodes with features at share {share}: nothing to learn from")
+        found[share] = solve_spectral_map(degree - cross, degree, first[:, 0] / total[0, 0], total[0, 0], k, ridge)
+    return found
+
+
 def solve_spectral_map(
     laplacian: np.ndarray,
     degree: np.ndarray,

@@ -30,6 +30,7 @@ QUERIES: dict[str, Query] = {}
 SHARE = 0.2
 K = 10
 DIMS = 9
+SHARES = (0.05, 0.1, 0.2, 0.5)
 APPROX_FACTOR = 0.7
 
 
@@ -156,6 +157,41 @@ def save_load_edges(spark, sf_dir):
     return _rounded(tables.load_edges(spark, path), "weight")
 
 
+@query
+def save_load_nodes(spark, sf_dir):
+    path = new_path(spark, "saved-nodes")
+    tables.save_bucketed(planted_nodes(spark, sf_dir), path, "id", 8)
+    return long_form(tables.load_bucketed(spark, path), "features", "id", "label")
+
+
+@query
+def save_load_pruned(spark, sf_dir):
+    """Edges of a few nodes, read from the buckets that hold them."""
+    path = new_path(spark, "saved-links")
+    tables.save_bucketed(graph.symmetric(retail_edges(spark, sf_dir)), path, "src", 8)
+    return _rounded(tables.load_bucketed(spark, path, [2, 3, 20, 21]), "weight")
+
+
+@query
+def save_load_joined(spark, sf_dir):
+    """Links and node labels, each saved by the node, joined without a shuffle."""
+    links_path, nodes_path = new_path(spark, "saved-links"), new_path(spark, "saved-nodes")
+    tables.save_bucketed(graph.symmetric(retail_edges(spark, sf_dir)).select("src", "dst"), links_path, "src", 8)
+    tables.save_bucketed(retail_nodes(spark, sf_dir, check=False).select("id", "label"), nodes_path, "id", 8)
+    labels = tables.load_bucketed(spark, nodes_path).where("label IS NOT NULL").withColumnRenamed("id", "src")
+    return tables.load_bucketed(spark, links_path).join(labels, "src")
+
+
+@query
+def save_load_model(spark, sf_dir):
+    """A map that is saved, loaded and applied; its coordinates are saved and loaded too."""
+    model_path, coords_path = new_path(spark, "saved-model"), new_path(spark, "saved-coords")
+    tables.save_table(_given_map().to_row(spark), model_path)
+    model = spectral.SpectralMap.from_row(tables.load_table(spark, model_path))
+    tables.save_bucketed(spectral.apply_spectral_map(model, planted_nodes(spark, sf_dir)), coords_path, "id", 8)
+    return long_form(tables.load_bucketed(spark, coords_path), "z", "id")
+
+
 # --- spectral -----------------------------------------------------------------
 
 
@@ -570,6 +606,26 @@ def assign_clusters(spark, sf_dir):
     return cluster.assign(cluster.fit_clusters(warm, 10), cold)
 
 
+def _given_centers() -> np.ndarray:
+    return 0.3 * np.eye(10, EMBEDDING_DIM)
+
+
+def _feature_coords(spark, sf_dir) -> DataFrame:
+    return planted_nodes(spark, sf_dir).select("id", F.col("features").alias("z"))
+
+
+@query
+def assign_given(spark, sf_dir):
+    """Clusters by given centres."""
+    return cluster.assign_to(_given_centers(), _feature_coords(spark, sf_dir))
+
+
+@query
+def lloyd_given(spark, sf_dir):
+    """One step of k-means from given centres."""
+    return long_form(cluster.lloyd_step(_given_centers(), _feature_coords(spark, sf_dir)), "center", "cluster", "n")
+
+
 @query
 def power_iteration_clusters(spark, sf_dir):
     return cluster.power_iteration_clusters(_split(spark, sf_dir).warm_edges, 10)
@@ -717,14 +773,14 @@ def link_model(spark, sf_dir):
 @query
 def cold_sweep_features(spark, sf_dir):
     return experiments.cold_sweep(
-        *_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), ["features_vote"], "planted"
+        *_planted(spark, sf_dir), SHARES, ["features_vote"], "planted"
     )
 
 
 @query
 def cold_sweep_spectral(spark, sf_dir):
     return experiments.cold_sweep(
-        *_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), ["spectral_vote"], "planted"
+        *_planted(spark, sf_dir), SHARES, ["spectral_vote"], "planted"
     )
 
 
@@ -732,7 +788,7 @@ def cold_sweep_spectral(spark, sf_dir):
 def cold_sweep_classifiers(spark, sf_dir):
     """Features alone, neighbour means and spectral representations over growing cold shares."""
     models = ["feature_classifier", "sage_classifier", "spectral_classifier"]
-    return experiments.cold_sweep(*_planted(spark, sf_dir), (0.05, 0.1, 0.2, 0.5), models, "planted")
+    return experiments.cold_sweep(*_planted(spark, sf_dir), SHARES, models, "planted")
 
 
 def _votes(split, metric):
@@ -756,12 +812,12 @@ def _both_datasets(spark, sf_dir, shares) -> DataFrame:
 
 @query
 def results_grid(spark, sf_dir):
-    return experiments.results_grid(_both_datasets(spark, sf_dir, (0.1, 0.5)), ["planted", "raw"])
+    return experiments.results_grid(_both_datasets(spark, sf_dir, SHARES), ["planted", "raw"])
 
 
 @query
 def sharpness(spark, sf_dir):
-    return experiments.sharpness(_both_datasets(spark, sf_dir, (0.1, 0.5)))
+    return experiments.sharpness(_both_datasets(spark, sf_dir, SHARES))
 
 
 # --- streams ------------------------------------------------------------------

@@ -12,7 +12,7 @@ from coldgraph.operators.classify import accuracy, fit_classifier, neighbor_vote
 from coldgraph.operators.graph import ColdSplit, cold_split
 from coldgraph.operators.neighbors import knn
 from coldgraph.operators.represent import cold_representation, feature_baseline, sage_mean
-from coldgraph.operators.spectral import SpectralMap, apply_spectral_map, fit_spectral_map
+from coldgraph.operators.spectral import SpectralMap, apply_spectral_map, fit_nested_maps, fit_spectral_map
 from coldgraph.session import materialize
 
 RESULT_COLUMNS = ("dataset", "task", "model", "cold_share", "metric", "value")
@@ -87,6 +87,9 @@ MODELS: dict[str, Callable[..., DataFrame]] = {
 }
 
 
+MAPPED = {spectral_vote, spectral_classifier}
+
+
 def cold_sweep(
     nodes: DataFrame,
     edges: DataFrame,
@@ -97,14 +100,18 @@ def cold_sweep(
 ) -> DataFrame:
     """``results``: accuracy on cold rows of every model at every share.
 
-    All models see the same nested splits; training, scaling and degrees use warm rows.
+    All models see the same nested splits; training, scaling and degrees use warm rows. The spectral maps of all shares come
+    from one pass over the edges.
     """
+    shares = list(shares)
     chosen = models if isinstance(models, dict) else {name: MODELS[name] for name in models}
     nodes, edges = materialize(nodes, "sweep-nodes"), materialize(edges, "sweep-edges")
     result = None
+    dims, ridge = options.get("dims", 9), options.get("ridge", 1e-2)
+    maps = fit_nested_maps(nodes, edges, shares, dims, ridge) if MAPPED & set(chosen.values()) else {}
     for share in shares:
         split = cold_split(nodes, edges, share)
-        shared: dict = {}
+        shared = {(dims, ridge): maps[share]} if maps else {}
         for name, run in chosen.items():
             own = {"shared": shared} if run in MODELS.values() else {}
             preds = _with_truth(run(split, **options, **own), split.cold_nodes).filter("label IS NOT NULL")

@@ -184,8 +184,8 @@ RAW = "\nraw AS (SELECT vec_id AS id, label, list_transform(embedding, lambda x:
 BOTH_MODELS = {"vote_euclidean": "euclidean", "vote_cosine": "cosine"}
 BOTH = [
     NODES, RAW,
-    *sweep((0.1, 0.5), BOTH_MODELS, "emb", "planted"),
-    *sweep((0.1, 0.5), BOTH_MODELS, "raw", "raw"),
+    *sweep((0.05, 0.1, 0.2, 0.5), BOTH_MODELS, "emb", "planted"),
+    *sweep((0.05, 0.1, 0.2, 0.5), BOTH_MODELS, "raw", "raw"),
     "\nres AS (SELECT * FROM res_planted UNION ALL SELECT * FROM res_raw)",
 ]
 
@@ -264,6 +264,11 @@ f AS MATERIALIZED (
   SELECT p_partkey * 2 + 1, p_retailprice::DOUBLE / 1000, p_size::DOUBLE FROM part),
 fd AS MATERIALIZED (SELECT f.id, a, b, d FROM f JOIN (SELECT src AS id, sum(weight)::DOUBLE AS d FROM sym GROUP BY 1) USING (id))"""
 
+NEAREST_CENTER = """
+centers AS (SELECT j, list_transform(range(0, 64), lambda p: CASE WHEN p = j THEN 0.3::DOUBLE ELSE 0.0::DOUBLE END) AS z FROM range(0, 10) t(j)),
+nearest AS (SELECT id, features, j FROM (
+  SELECT id, features, j, row_number() OVER (PARTITION BY id ORDER BY list_distance(features, z), j) AS n FROM emb, centers) WHERE n = 1)"""
+
 ORACLE: dict[str, str] = {
     "chain_embedding": """
         WITH ranked AS (SELECT c_custkey * 2 AS id, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place FROM customer),
@@ -356,6 +361,16 @@ ORACLE: dict[str, str] = {
     "normalize_edges": with_(RETAIL) + "SELECT src, dst, round(weight, 6) AS weight FROM edges",
     "symmetric_edges": with_(RETAIL) + "SELECT src, dst, round(weight, 6) AS weight FROM sym",
     "save_load_edges": with_(RETAIL) + "SELECT src, dst, round(weight, 6) AS weight FROM edges",
+    "save_load_nodes": with_(NODES) + long("emb", "features", "id", "label"),
+    "save_load_pruned": with_(RETAIL) + "SELECT src, dst, round(weight, 6) AS weight FROM sym WHERE src IN (2, 3, 20, 21)",
+    "save_load_joined": with_(RETAIL) + """
+        SELECT src, dst, c_nationkey::INTEGER AS label FROM sym JOIN customer ON src = c_custkey * 2 WHERE c_nationkey IS NOT NULL""",
+    "save_load_model": with_(NODES, given_map("emb", "g")) + long("g", "z", "id"),
+    "assign_given": with_(NODES, NEAREST_CENTER) + "SELECT id, j::INTEGER AS cluster FROM nearest",
+    "lloyd_given": with_(NODES, NEAREST_CENTER, """
+        parts AS (SELECT j, p, count(*) AS n, avg(features[p + 1]) AS v FROM nearest, range(0, 64) t(p) GROUP BY 1, 2)""") + """
+        SELECT c.j::INTEGER AS cluster, p.p::INTEGER AS pos, coalesce(n, 0) AS n, round(coalesce(v, c.z[p.p + 1]), 6) AS value
+        FROM centers c CROSS JOIN range(0, 64) p(p) LEFT JOIN parts ON parts.j = c.j AND parts.p = p.p""",
     "degrees": with_(RETAIL) + """
         SELECT n.id, count(s.src) AS degree, round(coalesce(sum(s.weight), 0), 6) AS weighted_degree
         FROM (SELECT c_custkey * 2 AS id FROM customer UNION ALL SELECT p_partkey * 2 + 1 FROM part) n
@@ -524,7 +539,7 @@ ORACLE: dict[str, str] = {
                raw = max(raw) OVER (PARTITION BY task, metric, cold_share) AS raw_best FROM grid""",
     "sharpness": with_(*BOTH) + """
         SELECT dataset, task, model, metric,
-               round(max(value) FILTER (cold_share = 0.1) - max(value) FILTER (cold_share = 0.5), 6) AS "drop"
+               round(max(value) FILTER (cold_share = 0.05) - max(value) FILTER (cold_share = 0.5), 6) AS "drop"
         FROM res GROUP BY 1, 2, 3, 4""",
     "window_degrees": """
         WITH contacts AS (

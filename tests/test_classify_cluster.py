@@ -3,6 +3,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from coldgraph.operators import classify, cluster, graph, spectral
 from coldgraph.operators.cluster import _best_match
@@ -125,3 +126,21 @@ def test_silhouette_by_hand(spark):
         return (b - a) / max(a, b)
     want = np.mean([value(0, 1, [2, 3]), value(1, 0, [2, 3]), value(2, 3, [0, 1]), value(3, 2, [0, 1])])
     assert cluster.silhouette(coords, groups) == pytest.approx(want)
+
+
+def test_lloyd_from_given_centres(spark, make):
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.normal(size=(30, 2)), rng.normal(size=(30, 2)) + 8])
+    coords = make.nodes(x).select("id", F.col("features").alias("z")).repartition(3)
+    centers = np.array([[0.0, 1.0], [7.0, 7.0], [100.0, 100.0]])
+    found = {r["id"]: r["cluster"] for r in cluster.assign_to(centers, coords).collect()}
+    assert found == {i: int(i >= 30) for i in range(60)}
+    step = {r["cluster"]: (r["n"], r["center"]) for r in cluster.lloyd_step(centers, coords).collect()}
+    assert step[2] == (0, [100.0, 100.0])  # an empty cluster keeps its centre
+    for j, part in enumerate((x[:30], x[30:])):
+        assert step[j][0] == 30 and step[j][1] == pytest.approx(part.mean(axis=0))
+    assert cluster.lloyd(centers, coords)[:2] == pytest.approx(np.array([x[:30].mean(axis=0), x[30:].mean(axis=0)]))
+    tie = make.nodes([[5.0]]).select("id", F.col("features").alias("z"))
+    assert cluster.assign_to(np.array([[6.0], [4.0]]), tie).first()["cluster"] == 0
+    nothing = cluster.lloyd_step(centers, coords.filter("id < 0")).collect()
+    assert sorted((r["cluster"], r["n"]) for r in nothing) == [(0, 0), (1, 0), (2, 0)]

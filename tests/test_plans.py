@@ -89,3 +89,25 @@ def test_no_operator_falls_back_to_a_cross_join(spark, planted):
     ]
     for df in frames:
         assert "CartesianProduct" not in plan(df) and "NestedLoop" not in plan(df)
+
+
+def test_a_stored_table_is_pruned_and_joined_without_a_shuffle(spark, tmp_path):
+    from coldgraph.sources.tables import load_bucketed, save_bucketed
+
+    edges = spark.range(2000).select(F.pmod("id", F.lit(37)).alias("src"), F.col("id").alias("dst"))
+    nodes = spark.range(37).select("id", (F.col("id") * 2).alias("label"))
+    paths = [str(tmp_path / name) for name in ("edges", "nodes", "sized")]
+    save_bucketed(edges, paths[0], "src", 8)
+    save_bucketed(nodes, paths[1], "id", 8)
+    save_bucketed(edges, paths[2], "src", files=2)
+    some = load_bucketed(spark, paths[0], [5])
+    execution = some._jdf.queryExecution()
+    assert execution.toRdd().count() == edges.where("src = 5").count()
+    # What the scan itself gave out: the rows of one bucket of eight.
+    scanned = execution.executedPlan().collectLeaves().apply(0).metrics().apply("numOutputRows").value()
+    assert 0 < scanned < 800
+    joined = load_bucketed(spark, paths[0]).join(load_bucketed(spark, paths[1]).withColumnRenamed("id", "src"), "src")
+    assert "Exchange" not in plan(joined) and joined.count() == 2000 and joined.where("label <> 2 * src").isEmpty()
+    assert sorted(map(tuple, load_bucketed(spark, paths[2]).collect())) == sorted(map(tuple, edges.collect()))
+    with pytest.raises(ValueError, match="missing"):
+        save_bucketed(edges, str(tmp_path / "x"), "id")

@@ -211,3 +211,17 @@ def test_small_solvers():
     assert fix_signs(np.array([[1.0], [-2.0]]))[1, 0] == 2.0
     roots = filter_roots(0.4, 6)
     assert len(roots) == 6 and min(roots) > -1 and max(roots) < 0.4
+
+
+def test_nested_maps_equal_those_of_each_share(planted):
+    nodes, edges = planted
+    shares = (0.5, 0.05, 0.2)
+    found = spectral.fit_nested_maps(nodes, edges, shares, 4, hot_rows=50)
+    assert sorted(found) == sorted(shares)
+    for share in shares:
+        split = graph.cold_split(nodes, edges, share)
+        want = spectral.fit_spectral_map(split.warm_nodes, split.warm_edges, 4)
+        assert found[share].eigenvalues == pytest.approx(want.eigenvalues, rel=1e-9)
+        assert np.abs(found[share].weights) == pytest.approx(np.abs(want.weights), abs=1e-6)
+    with pytest.raises(ValueError, match="share 0.9"):
+        spectral.fit_nested_maps(nodes, edges.filter("src = 2"), (0.9,), 2)
