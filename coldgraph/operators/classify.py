@@ -141,6 +141,12 @@ def accuracy(preds: DataFrame) -> Column:
     return F.avg(F.when(F.coalesce(F.col("label") == F.col("pred"), F.lit(False)), 1.0).otherwise(0.0))
 
 
+def confusion_cells(preds: DataFrame) -> DataFrame:
+    """``(label, pred, n)``: the filled cells of the confusion matrix, whatever the number of classes."""
+    known = preds.filter("label IS NOT NULL AND pred IS NOT NULL")
+    return known.groupBy("label", "pred").agg(F.count(F.lit(1)).alias("n"))
+
+
 def confusion_matrix(preds: DataFrame) -> DataFrame:
     """``(label, pred_0, pred_1, ...)``: counts, one column per predicted class."""
     known = preds.filter("label IS NOT NULL AND pred IS NOT NULL")

@@ -565,6 +565,14 @@ def confusion_matrix(spark, sf_dir):
     return classify.confusion_matrix(nodes.select("id", "label").join(votes, "id"))
 
 
+@query
+def confusion_cells(spark, sf_dir):
+    """The size of each part against that of the next one."""
+    parts = read(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("label"))
+    following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("label").alias("pred"))
+    return classify.confusion_cells(parts.join(following, "p_partkey", "left"))
+
+
 @query
 def classifier_predict(spark, sf_dir):
     return experiments.spectral_classifier(_split(spark, sf_dir))

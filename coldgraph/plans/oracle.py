@@ -366,6 +366,9 @@ ORACLE: dict[str, str] = {
     "save_load_joined": with_(RETAIL) + """
         SELECT src, dst, c_nationkey::INTEGER AS label FROM sym JOIN customer ON src = c_custkey * 2 WHERE c_nationkey IS NOT NULL""",
     "save_load_model": with_(NODES, given_map("emb", "g")) + long("g", "z", "id"),
+    "confusion_cells": """
+        SELECT a.p_size AS label, b.p_size AS pred, count(*) AS n
+        FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1 WHERE a.p_size IS NOT NULL AND b.p_size IS NOT NULL GROUP BY 1, 2""",
     "assign_given": with_(NODES, NEAREST_CENTER) + "SELECT id, j::INTEGER AS cluster FROM nearest",
     "lloyd_given": with_(NODES, NEAREST_CENTER, """
         parts AS (SELECT j, p, count(*) AS n, avg(features[p + 1]) AS v FROM nearest, range(0, 64) t(p) GROUP BY 1, 2)""") + """

@@ -35,17 +35,30 @@ def run_available(stream: DataFrame, name: str) -> tuple[DataFrame, StreamingQue
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    watch(query)
     return spark.read.schema(stream.schema).parquet(f"{path}/out"), query
 
 
-def late_rows(query: StreamingQuery) -> int:
-    """Rows dropped behind the watermark, over the recorded batches of a query."""
-    return sum(
-        operator.get("numRowsDroppedByWatermark", 0)
+def watch(query: StreamingQuery, seconds: float = 0.2) -> StreamingQuery:
+    """Wait for the end of a query and note the late rows of every batch meanwhile: Spark itself remembers recent batches only."""
+    query.late_by_batch = {}
+    ended = False
+    while not ended:
+        ended = query.awaitTermination(seconds)
+        query.late_by_batch.update(_late(query))
+    return query
+
+
+def _late(query: StreamingQuery) -> dict[int, int]:
+    return {
+        progress["batchId"]: sum(operator.get("numRowsDroppedByWatermark", 0) for operator in progress.get("stateOperators", []))
         for progress in query.recentProgress
-        for operator in progress.get("stateOperators", [])
-    )
+    }
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows dropped behind the watermark: over all batches of a watched query, else over the recent ones."""
+    return sum((getattr(query, "late_by_batch", {}) | _late(query)).values())
 
 
 def stream_embed(model: SpectralMap, nodes: DataFrame, *keep: str) -> DataFrame:
@@ -191,6 +204,17 @@ def _merged(times: list[int], min_degree: int) -> list[int]:
     return [t for i, t in enumerate(times) if i < min_degree or times[i - min_degree] != t]
 
 
+def _needed(edges: list[int], arrivals: list[int], now: int, ttl_ms: int, min_degree: int) -> list[int]:
+    """Sorted edge times that open or later arrivals can still need.
+
+    Times before the watermark ``now`` are complete. Of these the latest ``min_degree`` suffice: an arrival that has as many in its ttl up to the watermark is
+    warm at once or decided already, and one that has fewer has them among the latest. So a hub holds ``min_degree`` times and what lies above the watermark.
+    """
+    oldest = min([now, *arrivals[:1]]) - ttl_ms
+    before = [t for t in edges if oldest <= t < now]
+    return before[-min_degree:] + [t for t in edges if t >= now]
+
+
 class _WarmUp(StatefulProcessor):
     """Per node: open arrivals, edge times they or later arrivals may need, and the end of the last decided ttl.
 
@@ -224,8 +248,7 @@ class _WarmUp(StatefulProcessor):
                 break
             found.append(self._row(key, "warm" if warm else "cold", self.min_degree if warm else len(near), due))
             closed, due = arrival + self.ttl_ms, None
-        oldest = min([now, *arrivals[:1]]) - self.ttl_ms
-        edges = [t for t in edges if t >= oldest]
+        edges = _needed(edges, arrivals, now, self.ttl_ms, self.min_degree)
         if closed is not None and closed < now:
             closed = None
         for state, value in ((self.arrivals, arrivals), (self.edges, edges), (self.closed, closed)):

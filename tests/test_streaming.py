@@ -2,6 +2,7 @@ import datetime as dt
 import glob
 import os
 
+import numpy as np
 import pytest
 
 from coldgraph.operators import classify, cluster, graph, neighbors, spectral
@@ -187,3 +188,42 @@ def test_outer_edges_change_no_answer():
         for arrival in range(0, 20_000, 37):
             inside = lambda t: bool(((t >= arrival) & (t <= arrival + horizon)).any())
             assert inside(times[ids == node]) == inside(few[few_ids == node])
+
+
+def test_only_edges_that_can_matter_are_held():
+    """What is held decides every later arrival as all edges would, and is bounded by the least degree below the watermark."""
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        m, ttl, now = int(rng.integers(1, 5)), int(rng.integers(1, 30)), 100
+        edges = sorted(int(t) for t in rng.integers(40, 130, rng.integers(0, 40)))
+
+        def decided(times, arrival):
+            near = [t for t in times if arrival - ttl <= t <= arrival + ttl]
+            return max(arrival, near[m - 1]) if len(near) >= m else (arrival + ttl, len(near))
+
+        held = streams._needed(edges, [], now, ttl, m)
+        assert sum(t < now for t in held) <= m
+        assert all(decided(held, a) == decided(edges, a) for a in range(now, now + 60))
+        for open_ in range(now - ttl, now):  # arrivals that wait: not decided before the watermark
+            due = decided(edges, open_)
+            if (due if isinstance(due, int) else due[0]) >= now:
+                assert decided(streams._needed(edges, [open_], now, ttl, m), open_) == due
+
+
+def test_late_rows_are_counted_over_all_batches():
+    class Query:
+        """Remembers the last two of its batches."""
+
+        def __init__(self):
+            self.done = 0
+
+        def awaitTermination(self, seconds):
+            self.done += 2
+            return self.done >= 200
+
+        @property
+        def recentProgress(self):
+            return [{"batchId": b, "stateOperators": [{"numRowsDroppedByWatermark": 1}, {}]} for b in range(self.done - 2, self.done)]
+
+    query = streams.watch(Query(), 0)
+    assert streams.late_rows(query) == 200
