@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression, MultilayerPerceptronClassifier
 from pyspark.ml.feature import StandardScaler
@@ -10,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.functions.skew import HOT_ROWS, attach
-from coldgraph.functions.vectors import dimension, rounded
+from coldgraph.functions.vectors import dimension, list_array, matrix, rounded, sum_vectors
 from coldgraph.session import materialize
 
 MAX_CLASSES = 10_000
@@ -75,6 +79,61 @@ def predict(model: PipelineModel, reps: DataFrame) -> DataFrame:
     )
 
 
+def fit_logistic(reps: DataFrame, steps: int = 8, ridge: float = 0.0) -> np.ndarray:
+    """Weights of a logistic regression on ``reps(x, label)`` with labels 0 and 1, the intercept last, by ``steps`` Newton steps from zero.
+
+    Each task adds up one gradient and one (d + 1) x (d + 1) matrix per step; these sums alone are shuffled and reach the driver. Rows without
+    a label are left out. ``ridge`` times the number of rows is added to the diagonal but for the intercept. A direction the data leave open stays at zero.
+    """
+    d = dimension(reps, "x") + 1
+    known = reps.filter("label IS NOT NULL").select("x", F.col("label").cast("double").alias("y"))
+    weights = np.zeros(d)
+    for _ in range(steps):
+        sums = np.zeros((d, d + 2))
+        for r in sum_vectors(_newton_partials(known, weights), "p", "parts", d + 2, None, "parts").collect():
+            sums[r["p"]] = r["parts"]
+        penalty = ridge * sums[0, d + 1] * np.append(np.ones(d - 1), 0.0)
+        step = np.linalg.lstsq(sums[:, :d] + np.diag(penalty), sums[:, d] - penalty * weights, rcond=1e-12)[0]
+        weights = weights + step
+    return weights
+
+
+def _newton_partials(known: DataFrame, weights: np.ndarray) -> DataFrame:
+    """``(p, parts)``: row p of the second derivative, then the gradient's entry and the number of rows; one set per task."""
+    d = len(weights)
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, d + 2))
+        for batch in batches:
+            if batch.num_rows:
+                x = np.column_stack([matrix(batch.column("x"), d - 1), np.ones(batch.num_rows)])
+                p = _logistic(x @ weights)
+                total[:, :d] += (x * (p * (1 - p))[:, None]).T @ x
+                total[:, d] += x.T @ (batch.column("y").to_numpy() - p)
+                total[:, d + 1] += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(d, dtype=np.int32)), list_array(total)], names=["p", "parts"])
+
+    return known.mapInArrow(partial, "p int, parts array<double>")
+
+
+def _logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
+
+
+def predict_logistic(weights: np.ndarray, reps: DataFrame) -> DataFrame:
+    """``(id, score, pred)``: the probability of label 1, and whether it is 0.5 or more."""
+    d = len(weights) - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                score = _logistic(matrix(batch.column("x"), d) @ weights[:-1] + weights[-1])
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(score), pa.array((score >= 0.5).astype(np.int32))], names=["id", "score", "pred"])
+
+    kind = reps.schema["id"].dataType.simpleString()
+    return reps.select("id", "x").mapInArrow(run, f"id {kind}, score double, pred int")
+
+
 def _safe(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator > 0, numerator / denominator).otherwise(0.0)
 

@@ -578,6 +578,15 @@ def classifier_predict(spark, sf_dir):
     return experiments.spectral_classifier(_split(spark, sf_dir))
 
 
+@query
+def newton_classifier(spark, sf_dir):
+    """Whether a part's brand number is odd, from size and price: the weights after three Newton steps."""
+    odd = F.pmod(F.substring_index("p_brand", "#", -1).cast("int"), F.lit(2))
+    x = F.array(F.col("p_size") / 50, F.col("p_retailprice") / 2000)
+    weights = classify.fit_logistic(read(spark, sf_dir, "part").select(x.alias("x"), odd.alias("label")), 3)
+    return _rounded(spark.createDataFrame(list(enumerate(weights.tolist())), "term int, weight double"), "weight")
+
+
 @query
 def classifier_mlp(spark, sf_dir):
     split = _split(spark, sf_dir)

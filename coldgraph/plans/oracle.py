@@ -269,7 +269,30 @@ centers AS (SELECT j, list_transform(range(0, 64), lambda p: CASE WHEN p = j THE
 nearest AS (SELECT id, features, j FROM (
   SELECT id, features, j, row_number() OVER (PARTITION BY id ORDER BY list_distance(features, z), j) AS n FROM emb, centers) WHERE n = 1)"""
 
+def newton(step: int) -> str:
+    """Weights ``a, b, c`` (intercept last) after one more step, by Cramer's rule for the 3 x 3 system."""
+    det = lambda *m: f"({m[0]}*({m[4]}*{m[8]}-{m[5]}*{m[7]})-{m[1]}*({m[3]}*{m[8]}-{m[5]}*{m[6]})+{m[2]}*({m[3]}*{m[7]}-{m[4]}*{m[6]}))"
+    whole = det("aa", "ab", "ac", "ab", "bb", "bc", "ac", "bc", "cc")
+    solved = (
+        det("ga", "ab", "ac", "gb", "bb", "bc", "gc", "bc", "cc"),
+        det("aa", "ga", "ac", "ab", "gb", "bc", "ac", "gc", "cc"),
+        det("aa", "ab", "ga", "ab", "bb", "gb", "ac", "bc", "gc"),
+    )
+    sums = ", ".join(f"sum(h * {x}{y}) AS {n}" for n, x, y in (
+        ("aa", "x1", "*x1"), ("ab", "x1", "*x2"), ("ac", "x1", ""), ("bb", "x2", "*x2"), ("bc", "x2", ""), ("cc", "1", "")))
+    return f"""
+s{step} AS (
+  SELECT any_value(a) AS a, any_value(b) AS b, any_value(c) AS c, {sums}, sum(x1 * (y - p)) AS ga, sum(x2 * (y - p)) AS gb, sum(y - p) AS gc
+  FROM (SELECT *, p * (1 - p) AS h FROM (SELECT *, 1 / (1 + exp(-(a * x1 + b * x2 + c))) AS p FROM rows_, w{step - 1}))),
+w{step} AS (SELECT a + {solved[0]} / {whole} AS a, b + {solved[1]} / {whole} AS b, c + {solved[2]} / {whole} AS c FROM s{step})"""
+
+
 ORACLE: dict[str, str] = {
+    "newton_classifier": with_(
+        """rows_ AS (SELECT p_size::DOUBLE / 50 AS x1, p_retailprice::DOUBLE / 2000 AS x2, split_part(p_brand, '#', 2)::INTEGER % 2 AS y FROM part),
+w0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c)""",
+        newton(1), newton(2), newton(3),
+    ) + "SELECT unnest([0, 1, 2])::INTEGER AS term, round(unnest([a, b, c]), 6) AS weight FROM w3",
     "chain_embedding": """
         WITH ranked AS (SELECT c_custkey * 2 AS id, dense_rank() OVER (ORDER BY c_nationkey) - 1 AS place FROM customer),
         chain AS (SELECT max(place) AS n FROM ranked),

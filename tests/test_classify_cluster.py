@@ -144,3 +144,19 @@ def test_lloyd_from_given_centres(spark, make):
     assert cluster.assign_to(np.array([[6.0], [4.0]]), tie).first()["cluster"] == 0
     nothing = cluster.lloyd_step(centers, coords.filter("id < 0")).collect()
     assert sorted((r["cluster"], r["n"]) for r in nothing) == [(0, 0), (1, 0), (2, 0)]
+
+
+def test_newton_steps_reach_the_maximum_of_the_likelihood(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(400, 2))
+    y = (rng.random(400) < 1 / (1 + np.exp(-(x @ [1.5, -0.7] + 0.3)))).astype(int)
+    rows = [(i, a.tolist(), int(b)) for i, (a, b) in enumerate(zip(x, y))] + [(900, [0.0, 0.0], None)]
+    reps = spark.createDataFrame(rows, "id bigint, x array<double>, label int").repartition(3)
+    w = classify.fit_logistic(reps)
+    full = np.column_stack([x, np.ones(400)])
+    p = 1 / (1 + np.exp(-full @ w))
+    assert np.abs(full.T @ (y - p)).max() < 1e-8
+    got = {r["id"]: (r["score"], r["pred"]) for r in classify.predict_logistic(w, reps).collect()}
+    assert len(got) == 401 and all(got[i][0] == pytest.approx(p[i]) and got[i][1] == (p[i] >= 0.5) for i in range(400))
+    smaller = classify.fit_logistic(reps, ridge=0.1)
+    assert np.abs(smaller[:2]).sum() < np.abs(w[:2]).sum()
