@@ -5,12 +5,15 @@ the codewords nearest to it and to its one-bit changes, about five, and each pai
 errors of its partner always shares a codeword with it, one with more errors often does; with ``TABLES`` tables a pair of similarity ``NUM / DEN`` that spreads
 its errors evenly meets in one of them (the README states the measured recall). Candidates are verified exactly, so no link is false.
 
-- Keys of at most ``small`` sets: each pair whose sizes and 32 further bits allow it is a candidate.
-- Larger keys: each set with the smallest one, which joins copies in linear space. What these leave apart is then compared in
-  blocks of bounded size that hold the sets themselves and write only links, never pairs.
+Two rounds keep the number of pairs linear in that of the sets, also where many copies share many keys:
 
-Candidates go if their fingerprints are too far apart. The others are verified on the whole sets in two rounds: first each set with its smallest
-partner, then only those pairs which the first round has not joined. So m near copies ship m sets, not m^2. Sets are made again from the texts that are asked for.
+- first, each set of a key with the smallest and the nearest one that sizes and 32 further bits allow; of the partners a set has in all its keys, the smallest
+  and the nearest are verified;
+- then, for sets that have partners at all, keys are made again with the groups found so far. In keys of at most ``small`` sets the pairs
+  of different groups are candidates. Larger keys with several groups are compared in blocks of bounded size that hold the sets themselves and write only links.
+
+Candidates go if their fingerprints are too far apart. The others are verified on the whole sets, so m near copies ship m sets, not m^2. Sets are made again
+from the texts that are asked for.
 """
 
 from __future__ import annotations
@@ -33,10 +36,11 @@ WIDTH = 5
 NUM, DEN = 4, 5
 SMALL = 64
 WORDS, TABLES = 5, 6
-FAR, FAR_SKETCH = 80, 12  # of 320 and of 32 bits; two sets of the least similarity differ in 15 % on average
+FAR, FAR_SKETCH = 64, 12  # of 320 and of 32 bits; two sets of the least similarity differ in 15 % on average, with a deviation of 2 %
 BLOCK = 1_000_000  # shingles of one block
 MAX_SLOT_BITS = 22  # at most so many words of 64 bits (32 MB) in the filter of asked texts
 SEEN = 500_000
+PIECE = 1_000_000  # rows of one key held at once
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -95,7 +99,7 @@ def near_keys(words: np.ndarray, tables: int = TABLES) -> tuple[np.ndarray, np.n
 
 
 def _emit_keys(tables: int):
-    """(s, id, n, sketch) of rows (fp, n, bits)."""
+    """(s, id, n, sketch, ...) of rows (fp, n, bits, ...)."""
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
@@ -106,68 +110,101 @@ def _emit_keys(tables: int):
                 ids, sizes = (part.column(i).to_numpy() for i in (0, 1))
                 sketch = (words[:, -1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
                 columns = [pa.array(key), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row])]
-                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "n", "sketch"])
+                columns += [pa.array(part.column(i).to_numpy()[row]) for i in range(3, part.num_columns)]
+                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "n", "sketch", *part.schema.names[3:]])
 
     return run
 
 
-def _pairer(small: int):
-    """(u, v, n, rest) of rows sorted by (s, id): candidate pairs, or with ``rest`` the key, set and size of large keys."""
+def _buckets(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """(key, columns, whether it ends here) of rows sorted by the first column, keys with one row left out. A key of many rows comes in pieces."""
+    held: list[np.ndarray] = []
+    key, size, begun = None, 0, False
+    for batch in stream:
+        keys = batch.column(0).to_numpy()
+        if not len(keys):
+            continue
+        every = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(1, batch.num_columns)])
+        cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
+        starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+        last = len(starts) - 1
+        for j in np.flatnonzero((ends - starts > 1) | (np.arange(last + 1) == 0) | (np.arange(last + 1) == last)):
+            if keys[starts[j]] != key:
+                if size > 1 or begun:
+                    yield key, np.concatenate(held, axis=1), True
+                key, held, size, begun = keys[starts[j]], [], 0, False
+            held.append(every[:, starts[j] : ends[j]].copy())
+            size += ends[j] - starts[j]
+            if size > PIECE:
+                yield key, np.concatenate(held, axis=1), False
+                held, size, begun = [np.zeros((len(every), 0), dtype=np.int64)], 0, True
+    if held and (size > 1 or begun):
+        yield key, np.concatenate(held, axis=1), True
+
+
+def _can(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether sets (id, n, sketch) of two sides may be similar enough, by their sizes and 32 bits."""
+    return alike(np.minimum(a[1], b[1]), a[1] + b[1]) & (a[0] != b[0]) & (np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF) <= FAR_SKETCH)
+
+
+def _distinct(rows: np.ndarray) -> np.ndarray:
+    rows = rows[:, np.argsort(rows[0], kind="stable")]
+    return rows[:, np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])]
+
+
+def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF).astype(np.int32)
+
+
+def _first_partners(small: int):
+    """(u, v, can, d) of rows (s, id, n, sketch): for each set v of a key the smallest and the nearest (by d bits) that it may be similar to, and of
+    large keys the smallest of all; at most two rows per set."""
+    names = ["u", "v", "can", "d"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, size, star = None, [], 0, None  # of the last key so far; star: the smallest set of a large key
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray, bool]] = []
-
-        def meet(a: np.ndarray, b: np.ndarray) -> None:
-            """``a`` and ``b``: (id, n, sketch) columns of the two ends."""
-            can = alike(np.minimum(a[1], b[1]), a[1] + b[1])
-            can &= (a[0] != b[0]) & (np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF) <= FAR_SKETCH)
-            if can.any():
-                out.append((a[0][can], b[0][can], np.zeros(can.sum(), dtype=np.int64), False))
-
-        def close() -> None:
-            if star is None and size > 1:
-                rows = np.concatenate(held, axis=1)
-                rows = rows[:, np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])]
-                i, j = np.triu_indices(rows.shape[1], 1)
-                meet(rows[:, i], rows[:, j])
+        star_of, star = None, None
+        for key, rows, whole in _buckets(stream):
+            if key == star_of or not whole or rows.shape[1] > small:
+                if key != star_of:
+                    star_of, star = key, rows[:, rows[0].argmin()][:, None]
+                u, v, can, d = np.full(rows.shape[1], star[0, 0]), rows[0], _can(star, rows), _bits_apart(star, rows)
+            else:
+                rows = _distinct(rows)
+                fit = _can(rows[:, :, None], rows[:, None, :])
+                apart = np.where(fit, _bits_apart(rows[:, :, None], rows[:, None, :]), 99)
+                v = np.flatnonzero(fit.any(axis=0))
+                partners = np.concatenate([fit[:, v].argmax(axis=0), apart[:, v].argmin(axis=0)])
+                v = np.concatenate([v, v])
+                d = apart[partners, v].astype(np.int32)
+                u, v, can = rows[0][partners], rows[0][v], np.ones(len(v), dtype=bool)
+            if len(v):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, v, can, d)], names)
 
-        def spread(rows: np.ndarray) -> None:
-            meet(np.repeat(star, rows.shape[1], axis=1), rows)
-            out.append((np.full(rows.shape[1], key), rows[0], rows[1], True))
+    return run
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            if out:
-                u, v, n = (np.concatenate([x[k] for x in out]) for k in range(3))
-                rest = np.concatenate([np.full(len(x[0]), x[3]) for x in out])
-                out.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, v, n, rest)], ["u", "v", "n", "rest"])
 
-        for batch in stream:
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
-                continue
-            all_rows = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in (1, 2, 3)])
-            cuts = np.flatnonzero(keys[1:] != keys[:-1]) + 1
-            starts, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-            last = len(starts) - 1
-            for j in np.flatnonzero((ends - starts > 1) | (np.arange(last + 1) == 0) | (np.arange(last + 1) == last)):
-                rows = all_rows[:, starts[j] : ends[j]]
-                if keys[starts[j]] != key:
-                    close()
-                    key, held, size, star = keys[starts[j]], [], 0, None
-                if star is not None:
-                    spread(rows)
+def _pairs_apart(small: int):
+    """(s, u, v, n, label, rest) of rows (s, id, n, sketch, label): the pairs of a key with different labels, or with ``rest``
+    the sets (u) of a large key that has several labels."""
+    names = ["s", "u", "v", "n", "label", "rest"]
+
+    def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        broken = None  # key that comes in pieces
+        for key, rows, whole in _buckets(stream):
+            broken = key if not whole else broken
+            if key == broken or rows.shape[1] > small:
+                if key != broken and (rows[3] == rows[3, 0]).all():
                     continue
-                held.append(rows.copy())
-                size += rows.shape[1]
-                if size > small:
-                    rows = np.concatenate(held, axis=1)
-                    star, held = rows[:, :1], []
-                    spread(rows)
-            yield from flush()
-        close()
-        yield from flush()
+                m = rows.shape[1]
+                columns = [np.full(m, key), rows[0], rows[0], rows[1], rows[3], np.ones(m, dtype=bool)]
+            else:
+                rows = _distinct(rows)
+                i, j = np.triu_indices(rows.shape[1], 1)
+                keep = _can(rows[:, i], rows[:, j]) & (rows[3, i] != rows[3, j])
+                i, j = i[keep], j[keep]
+                columns = [np.full(len(i), key), rows[0, i], rows[0, j], rows[1, i], rows[3, i], np.zeros(len(i), dtype=bool)]
+            if len(columns[0]):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run
 
@@ -287,25 +324,36 @@ def similar_links(texts: DataFrame, marked: DataFrame, small: int = SMALL, block
     each = materialize(
         marked.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("th").alias("th")), "similar-sets"
     )
+    bits = each.select("fp", "bits")
+
+    def possible(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(bits.toDF("u", "x"), "u").join(bits.toDF("v", "y"), "v")
+        return materialize(both.select("u", "v", "x", "y").mapInArrow(_possible, "u long, v long"), "similar-candidates")
+
+    def sets_of(ids: DataFrame) -> DataFrame:
+        return materialize(asked_sets(texts, each.join(ids.distinct(), "fp", "left_semi").select("th")), "similar-sets")
+
+    # Each set with its smallest and its nearest partner first.
     keyed = each.select("fp", "n", "bits").mapInArrow(_emit_keys(tables), "s long, id long, n int, sketch int")
     keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
-    found = materialize(keyed.mapInArrow(_pairer(small), "u long, v long, n long, rest boolean"), "similar-pairs")
-    ends = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
-    pairs = found.where(~F.col("rest")).select(*ends).distinct()
-    bits = each.select("fp", "bits")
-    pairs = pairs.join(bits.toDF("u", "x"), "u").join(bits.toDF("v", "y"), "v")
-    pairs = materialize(pairs.select("u", "v", "x", "y").mapInArrow(_possible, "u long, v long"), "similar-candidates")
-    rest = found.where("rest").select(F.col("u").alias("s"), F.col("v").alias("id"), "n").distinct()
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(rest.select(F.col("id").alias("fp"))).distinct()
-    sets = materialize(asked_sets(texts, each.join(asked, "fp", "left_semi").select("th")), "similar-sets")
-    # Each set with its smallest partner first, then what that leaves apart.
-    first = pairs.groupBy("v").agg(F.min("u").alias("u")).select("u", "v")
-    links = _verified(first, sets)
-    apart = _labels(_labels(pairs, links, "u").withColumnRenamed("label", "a"), links, "v").where("a <> label").select("u", "v")
-    links = links.unionByName(_verified(apart.join(first, ["u", "v"], "left_anti"), sets))
+    found = materialize(keyed.mapInArrow(_first_partners(small), "u long, v long, can boolean, d int"), "similar-first")
+    partners = found.where("can").groupBy("v").agg(F.min("u").alias("a"), F.min(F.struct("d", "u")).alias("b"))
+    partners = partners.select("v", F.explode(F.array("a", "b.u")).alias("u"))
+    first = possible(partners.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    links = _verified(first, sets_of(first.select(F.explode(F.array("u", "v")).alias("fp"))))
+    # Then what that leaves apart, among the sets that have a partner at all.
+    active = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
+    labelled = materialize(_labels(each.join(active, "fp", "left_semi").select("fp", "n", "bits"), links, "fp"), "similar-labels")
+    keyed = labelled.select("fp", "n", "bits", "label").mapInArrow(_emit_keys(tables), "s long, id long, n int, sketch int, label long")
+    keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
+    schema = "s long, u long, v long, n long, label long, rest boolean"
+    found = materialize(keyed.mapInArrow(_pairs_apart(small), schema), "similar-apart")
+    pairs = possible(found.where(~F.col("rest")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    rest = found.where("rest").select("s", F.col("u").alias("id"), "n", "label")
+    sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(rest.select(F.col("id").alias("fp"))))
+    links = links.unionByName(_verified(pairs, sets))
     if rest.isEmpty():
         return links
-    rest = materialize(_labels(rest, links, "id").select("s", "id", "n", "label"), "similar-rest")
     apart = rest.groupBy("s").agg(F.sum("n").alias("__n"), F.min("label").alias("__a"), F.max("label").alias("__b")).where("__a != __b")
     parts = F.ceil(F.col("__n") / block).cast("long")
     cells = rest.join(apart.select("s", parts.alias("__parts")), "s")
