@@ -5,20 +5,21 @@ the codewords nearest to it and to its one-bit changes, about five, and each pai
 errors of its partner always shares a codeword with it, one with more errors often does; with ``TABLES`` tables a pair of similarity ``NUM / DEN`` that spreads
 its errors evenly meets in one of them (the README states the measured recall). Candidates are verified exactly, so no link is false.
 
-Two rounds keep the number of pairs linear in that of the sets, also where many copies share many keys:
+Rounds keep the number of pairs linear in that of the sets, also where many copies share many keys:
 
-- first, each set of a key with the smallest and the nearest one that sizes and 32 further bits allow; of the partners a set has in all its keys, the smallest
-  and the nearest are verified;
-- then, for sets that have partners at all, keys are made again with the groups found so far. In keys of at most ``small`` sets the pairs
-  of different groups are candidates. Larger keys with several groups are compared in blocks of bounded size that hold the sets themselves and write only links.
+- first ``MERGES`` times, each set has one key per table (the codewords nearest to its segments) and carries its whole fingerprint; of the partners of other groups that
+  fingerprints and sizes allow, the smallest and the nearest are verified, and groups grow. Large keys are cut into pieces, which loses nothing for good;
+- then, with the groups found so far, the keys that hold sets of different groups that sizes and 32 bits allow are marked in a bitmap of all keys (12 MB). Only for these
+  the fingerprints are shipped. In keys of at most ``small`` sets the pairs of different groups are candidates, each in the smallest key that both share.
+  Larger keys with several groups are compared in blocks of bounded size that hold the sets themselves and write only links.
 
-Candidates go if their fingerprints are too far apart. The others are verified on the whole sets, so m near copies ship m sets, not m^2. Sets are made again
-from the texts that are asked for.
+Candidates are verified on the whole sets, made again from the texts that are asked for.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from coldgraph.llm.components import components
-from coldgraph.llm.golay import BITS, fuzzy_keys, products
+from coldgraph.llm.golay import BITS, decode, fuzzy_keys, products
 from coldgraph.llm.rows import column, text_of, with_row_digest
 from coldgraph.llm.simhash import SEED, first_of_each
 from coldgraph.session import materialize
@@ -41,6 +42,9 @@ BLOCK = 1_000_000  # shingles of one block
 MAX_SLOT_BITS = 22  # at most so many words of 64 bits (32 MB) in the filter of asked texts
 SEEN = 500_000
 PIECE = 1_000_000  # rows of one key held at once
+MERGES = 2
+WINDOW = 256  # sets of one key compared with each other in a merging round
+WIDE = [f"b{i}" for i in range(WORDS)]
 
 
 def shingles(text: bytes, width: int = WIDTH) -> np.ndarray:
@@ -98,24 +102,41 @@ def near_keys(words: np.ndarray, tables: int = TABLES) -> tuple[np.ndarray, np.n
     return np.concatenate(rows), np.concatenate(keys)
 
 
-def _emit_keys(tables: int):
-    """(s, id, n, sketch, ...) of rows (fp, n, bits, ...)."""
+def centre_keys(words: np.ndarray, tables: int = TABLES) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): for each table the codewords nearest to its two segments."""
+    found = decode(segments(words, 2 * tables))
+    keys = np.stack([t << 24 | found[:, 2 * t] << 12 | found[:, 2 * t + 1] for t in range(tables)], axis=1)
+    return np.repeat(np.arange(len(words)), tables), keys.ravel()
+
+
+def _emit(keys_of, wide: bool, opened=None):
+    """Of rows (fp, n, bits, label) one per key: (s, label, n, sketch), or with ``wide`` (s, id, n, label, fingerprint words); only of keys in the bitmap ``opened``."""
+    names = ["s", "id", "n", "label", *WIDE] if wide else ["s", "label", "n", "sketch"]
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in stream:
             for a in range(0, batch.num_rows, 4_000):
                 part = batch.slice(a, 4_000)
                 words = np.frombuffer(b"".join(part.column(2).to_pylist()), dtype=np.uint64).reshape(-1, WORDS)
-                row, key = near_keys(words, tables)
-                ids, sizes = (part.column(i).to_numpy() for i in (0, 1))
-                sketch = (words[:, -1] >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                columns = [pa.array(key), pa.array(ids[row]), pa.array(sizes[row].astype(np.int32)), pa.array(sketch[row])]
-                columns += [pa.array(part.column(i).to_numpy()[row]) for i in range(3, part.num_columns)]
-                yield pa.RecordBatch.from_arrays(columns, ["s", "id", "n", "sketch", *part.schema.names[3:]])
+                row, key = keys_of(words)
+                if opened is not None:
+                    keep = _has(opened.value, key)
+                    row, key = row[keep], key[keep]
+                ids, sizes, labels = (part.column(i).to_numpy()[row] for i in (0, 1, 3))
+                sizes = sizes.astype(np.int32)
+                if wide:
+                    columns = [ids, sizes, labels, *words.view(np.int64)[row].T]
+                else:
+                    columns = [labels, sizes, (words[:, -1] >> np.uint64(32)).astype(np.uint32).view(np.int32)[row]]
+                yield pa.RecordBatch.from_arrays([pa.array(key.astype(np.int32)), *map(pa.array, columns)], names)
 
     return run
 
 
+def _has(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    return (bitmap[keys >> 6] >> (keys & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+
+
 def _buckets(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, bool]]:
     """(key, columns, whether it ends here) of rows sorted by the first column, keys with one row left out. A key of many rows comes in pieces."""
     held: list[np.ndarray] = []
@@ -142,68 +163,116 @@ def _buckets(stream: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray
         yield key, np.concatenate(held, axis=1), True
 
 
-def _can(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether sets (id, n, sketch) of two sides may be similar enough, by their sizes and 32 bits."""
-    return alike(np.minimum(a[1], b[1]), a[1] + b[1]) & (a[0] != b[0]) & (np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF) <= FAR_SKETCH)
-
-
-def _distinct(rows: np.ndarray) -> np.ndarray:
-    rows = rows[:, np.argsort(rows[0], kind="stable")]
-    return rows[:, np.concatenate([[True], rows[0, 1:] != rows[0, :-1]])]
-
-
-def _bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count((a[2] ^ b[2]) & 0xFFFFFFFF).astype(np.int32)
-
-
-def _first_partners(small: int):
-    """(u, v, can, d) of rows (s, id, n, sketch): for each set v of a key the smallest and the nearest (by d bits) that it may be similar to, and of
-    large keys the smallest of all; at most two rows per set."""
-    names = ["u", "v", "can", "d"]
+def _apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of sets (id, n, label, fingerprint words) of two sides, ``64 * WORDS + 1`` where they can't be similar enough or are one group."""
+    d = sum(np.bitwise_count((a[k] ^ b[k]).view(np.uint64)).astype(np.int16) for k in range(3, 3 + WORDS))
+    fit = alike(np.minimum(a[1], b[1]), a[1] + b[1]) & (a[2] != b[2]) & (d <= FAR)
+    return np.where(fit, d, 64 * WORDS + 1)
+
+
+def _partners(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(u, v, d) of wide rows sorted by key and id: for each set v of a key the smallest and the nearest set of other groups that it may be similar to."""
+    for _, rows, _ in _buckets(stream):
+        for a in range(0, rows.shape[1], WINDOW):
+            part = rows[:, a : a + WINDOW] if a == 0 else np.concatenate([rows[:, :1], rows[:, a : a + WINDOW]], axis=1)
+            if (part[2] == part[2, 0]).all():
+                continue
+            d = _apart(part[:, :, None], part[:, None, :])
+            v = np.flatnonzero((d <= FAR).any(axis=0))
+            if not len(v):
+                continue
+            u = np.concatenate([(d[:, v] <= FAR).argmax(axis=0), d[:, v].argmin(axis=0)])
+            v = np.concatenate([v, v])
+            new = np.unique(np.stack([u, v]), axis=1)
+            columns = [part[0][new[0]], part[0][new[1]], d[new[0], new[1]].astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["u", "v", "d"])
+
+
+def _open_keys(small: int):
+    """Of rows (s, label, n, sketch) sorted by s the keys in which sets of different groups may be similar enough, or that have more than ``small`` sets of several groups."""
+
+    def opened(rows: np.ndarray) -> np.ndarray:
+        s, label, n, sketch = rows
+        starts = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(s)]]))
+        mixed = np.minimum.reduceat(label, starts) != np.maximum.reduceat(label, starts)
+        found = [s[starts[mixed & (sizes > small)]]]
+        rest = np.repeat(mixed & (sizes <= small), sizes)
+        s, label, n, sketch = s[rest], label[rest], n[rest], sketch[rest]
+        at = np.arange(len(s))
+        for k in range(1, small):
+            at = at[at + k < len(s)]
+            at = at[s[at] == s[at + k]]
+            if not len(at):
+                break
+            fit = (label[at] != label[at + k]) & alike(np.minimum(n[at], n[at + k]), n[at] + n[at + k])
+            fit &= np.bitwise_count((sketch[at] ^ sketch[at + k]) & 0xFFFFFFFF) <= FAR_SKETCH
+            found.append(s[at[fit]])
+        return np.unique(np.concatenate(found))
 
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        star_of, star = None, None
-        for key, rows, whole in _buckets(stream):
-            if key == star_of or not whole or rows.shape[1] > small:
-                if key != star_of:
-                    star_of, star = key, rows[:, rows[0].argmin()][:, None]
-                u, v, can, d = np.full(rows.shape[1], star[0, 0]), rows[0], _can(star, rows), _bits_apart(star, rows)
-            else:
-                rows = _distinct(rows)
-                fit = _can(rows[:, :, None], rows[:, None, :])
-                apart = np.where(fit, _bits_apart(rows[:, :, None], rows[:, None, :]), 99)
-                v = np.flatnonzero(fit.any(axis=0))
-                partners = np.concatenate([fit[:, v].argmax(axis=0), apart[:, v].argmin(axis=0)])
-                v = np.concatenate([v, v])
-                d = apart[partners, v].astype(np.int32)
-                u, v, can = rows[0][partners], rows[0][v], np.ones(len(v), dtype=bool)
-            if len(v):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (u, v, can, d)], names)
+        held, large = np.zeros((4, 0), dtype=np.int64), None
+        for batch in chain(stream, [None]):
+            rows, held = held, np.zeros((4, 0), dtype=np.int64)
+            if batch is not None:
+                more = np.stack([batch.column(k).to_numpy().astype(np.int64) for k in range(4)])
+                rows = np.concatenate([rows, more[:, more[0] != large]], axis=1)
+                start = np.searchsorted(rows[0], rows[0, -1]) if rows.shape[1] else 0
+                rows, held = rows[:, :start], rows[:, start:].copy()
+                if held.shape[1] > PIECE:  # a key that goes on is known to be large
+                    large, held = held[0, 0], np.zeros((4, 0), dtype=np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array([large], dtype=np.int32))], ["s"])
+            if rows.shape[1] and len(keys := opened(rows)):
+                yield pa.RecordBatch.from_arrays([pa.array(keys.astype(np.int32))], ["s"])
 
     return run
 
 
-def _pairs_apart(small: int):
-    """(s, u, v, n, label, rest) of rows (s, id, n, sketch, label): the pairs of a key with different labels, or with ``rest``
-    the sets (u) of a large key that has several labels."""
+def key_bitmap(opened: DataFrame, tables: int) -> np.ndarray:
+    """One bit for each of the 2^24 keys of each table, set for the keys (s) of ``opened``."""
+    bit = F.expr("shiftleft(1L, s & 63)")
+    got = opened.groupBy(F.shiftright("s", 6).alias("w")).agg(F.bit_or(bit).alias("b")).toArrow()
+    bitmap = np.zeros(tables << 18, dtype=np.uint64)
+    bitmap[got.column("w").to_numpy()] = got.column("b").to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _pairs_apart(small: int, tables: int):
+    """(s, u, v, n, label, rest) of wide rows sorted by key and id: the pairs with different labels that may be similar enough, in the smallest key they share,
+    or with ``rest`` the sets (u) of a large key that has several labels."""
     names = ["s", "u", "v", "n", "label", "rest"]
 
+    def first_shared(rows: np.ndarray, i: np.ndarray, j: np.ndarray, key: int) -> np.ndarray:
+        used, place = np.unique(np.concatenate([i, j]), return_inverse=True)
+        row, keys = near_keys(np.ascontiguousarray(rows[3:, used].T).view(np.uint64), tables)
+        below = keys < key
+        order = np.lexsort((keys[below], row[below]))
+        row, keys = row[below][order], keys[below][order]
+        cuts = np.searchsorted(row, np.arange(len(used) + 1))
+        own = [set(keys[a:b].tolist()) for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+        return np.array([own[a].isdisjoint(own[b]) for a, b in zip(place[: len(i)], place[len(i) :], strict=True)], dtype=bool)
+
     def run(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         broken = None  # key that comes in pieces
         for key, rows, whole in _buckets(stream):
             broken = key if not whole else broken
             if key == broken or rows.shape[1] > small:
-                if key != broken and (rows[3] == rows[3, 0]).all():
+                if key != broken and (rows[2] == rows[2, 0]).all():
                     continue
                 m = rows.shape[1]
-                columns = [np.full(m, key), rows[0], rows[0], rows[1], rows[3], np.ones(m, dtype=bool)]
+                columns = [np.full(m, key), rows[0], rows[0], rows[1], rows[2], np.ones(m, dtype=bool)]
             else:
-                rows = _distinct(rows)
                 i, j = np.triu_indices(rows.shape[1], 1)
-                keep = _can(rows[:, i], rows[:, j]) & (rows[3, i] != rows[3, j])
+                d = _apart(rows[:, i], rows[:, j])
+                # keys are marked by 32 bits: other pairs may have smaller keys that are not marked
+                keep = (d <= FAR) & (np.bitwise_count((rows[-1, i] ^ rows[-1, j]) >> 32 & 0xFFFFFFFF) <= FAR_SKETCH)
                 i, j = i[keep], j[keep]
-                columns = [np.full(len(i), key), rows[0, i], rows[0, j], rows[1, i], rows[3, i], np.zeros(len(i), dtype=bool)]
+                if len(i):
+                    keep = first_shared(rows, i, j, key)
+                    i, j = i[keep], j[keep]
+                columns = [np.full(len(i), key), rows[0, i], rows[0, j], rows[1, i], rows[2, i], np.zeros(len(i), dtype=bool)]
             if len(columns[0]):
+                columns[0] = columns[0].astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
 
     return run
@@ -247,13 +316,6 @@ def asked_sets(texts: DataFrame, asked: DataFrame) -> DataFrame:
     return texts.select("__text", "th").mapInArrow(run, "id long, sh binary").dropDuplicates(["id"])
 
 
-def _possible(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (u, v, fingerprint of u, fingerprint of v) the pairs that are not too far apart."""
-    for batch in stream:
-        x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), dtype=np.uint64).reshape(-1, WORDS) for k in (2, 3))
-        yield batch.select([0, 1]).filter(pa.array(np.bitwise_count(x ^ y).sum(axis=1) <= FAR))
-
-
 def _verify(stream: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in stream:
         keep = np.zeros(batch.num_rows, dtype=bool)
@@ -324,31 +386,35 @@ def similar_links(texts: DataFrame, marked: DataFrame, small: int = SMALL, block
     each = materialize(
         marked.where("n > 0").groupBy("fp").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min("th").alias("th")), "similar-sets"
     )
-    bits = each.select("fp", "bits")
-
-    def possible(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(bits.toDF("u", "x"), "u").join(bits.toDF("v", "y"), "v")
-        return materialize(both.select("u", "v", "x", "y").mapInArrow(_possible, "u long, v long"), "similar-candidates")
+    wide = "s int, id long, n int, label long, " + ", ".join(f"{b} long" for b in WIDE)
 
     def sets_of(ids: DataFrame) -> DataFrame:
         return materialize(asked_sets(texts, each.join(ids.distinct(), "fp", "left_semi").select("th")), "similar-sets")
 
-    # Each set with its smallest and its nearest partner first.
-    keyed = each.select("fp", "n", "bits").mapInArrow(_emit_keys(tables), "s long, id long, n int, sketch int")
-    keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
-    found = materialize(keyed.mapInArrow(_first_partners(small), "u long, v long, can boolean, d int"), "similar-first")
-    partners = found.where("can").groupBy("v").agg(F.min("u").alias("a"), F.min(F.struct("d", "u")).alias("b"))
-    partners = partners.select("v", F.explode(F.array("a", "b.u")).alias("u"))
-    first = possible(partners.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    links = _verified(first, sets_of(first.select(F.explode(F.array("u", "v")).alias("fp"))))
-    # Then what that leaves apart, among the sets that have a partner at all.
-    active = found.select(F.explode(F.array("u", "v")).alias("fp")).distinct()
-    labelled = materialize(_labels(each.join(active, "fp", "left_semi").select("fp", "n", "bits"), links, "fp"), "similar-labels")
-    keyed = labelled.select("fp", "n", "bits", "label").mapInArrow(_emit_keys(tables), "s long, id long, n int, sketch int, label long")
+    # Groups grow by the smallest and the nearest partner of each set.
+    labelled, sets, links = each.select("fp", "n", "bits", F.col("fp").alias("label")), None, None
+    for _ in range(MERGES):
+        keyed = labelled.mapInArrow(_emit(lambda words: centre_keys(words, tables), True), wide)
+        keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
+        found = materialize(keyed.mapInArrow(_partners, "u long, v long, d int"), "similar-partners")
+        if sets is None:
+            active = materialize(found.select(F.explode(F.array("u", "v")).alias("fp")).distinct(), "similar-active")
+            sets = sets_of(active)
+        best = found.groupBy("v").agg(F.min("u").alias("a"), F.min(F.struct("d", "u")).alias("b"))
+        best = best.select("v", F.explode(F.array("a", "b.u")).alias("u"))
+        more = _verified(best.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), sets)
+        links = more if links is None else links.unionByName(more)
+        labels = materialize(_labels(each.select("fp", "n", "bits"), links, "fp"), "similar-labels")
+        labelled = labels.join(active, "fp", "left_semi")
+    # What that leaves apart: keys with several groups first, then their sets.
+    keyed = labels.mapInArrow(_emit(lambda words: near_keys(words, tables), False), "s int, label long, n int, sketch int")
+    opened = materialize(keyed.repartition("s").sortWithinPartitions("s").mapInArrow(_open_keys(small), "s int"), "similar-open")
+    shared = texts.sparkSession.sparkContext.broadcast(key_bitmap(opened, tables))
+    keyed = labels.mapInArrow(_emit(lambda words: near_keys(words, tables), True, shared), wide)
     keyed = keyed.repartition("s").sortWithinPartitions("s", "id")
-    schema = "s long, u long, v long, n long, label long, rest boolean"
-    found = materialize(keyed.mapInArrow(_pairs_apart(small), schema), "similar-apart")
-    pairs = possible(found.where(~F.col("rest")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    schema = "s int, u long, v long, n long, label long, rest boolean"
+    found = materialize(keyed.mapInArrow(_pairs_apart(small, tables), schema), "similar-apart")
+    pairs = found.where(~F.col("rest")).select("u", "v")
     rest = found.where("rest").select("s", F.col("u").alias("id"), "n", "label")
     sets = sets_of(pairs.select(F.explode(F.array("u", "v")).alias("fp")).unionByName(rest.select(F.col("id").alias("fp"))))
     links = links.unionByName(_verified(pairs, sets))
