@@ -20,6 +20,7 @@ BUCKET_NODES = 65_536
 MOST_BUCKETS = 1 << 24
 TRIES = 4
 LADDER_STEPS = 256
+WALK = 4_096  # steps of a walk counted together
 
 FEW_LINKS = 64
 
@@ -77,6 +78,60 @@ def negative_samples(
     return first.select("pair.*").distinct()
 
 
+def ring(nodes: DataFrame) -> DataFrame:
+    """``(id, pos)``: all nodes in the order of a hash, numbered without gaps from the sizes of hash buckets."""
+    buckets = min(MOST_BUCKETS, max(1, -(-nodes.count() // BUCKET_NODES)))
+    placed = nodes.select("id", F.pmod(F.shiftright(mix(F.col("id")), 8), F.lit(buckets)).alias("bucket"))
+    before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = placed.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"))
+    offsets = sizes.select("bucket", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy(mix(F.col("id")), "id")) - 1
+    return placed.withColumn("place", place).join(offsets, "bucket").select("id", (F.col("offset") + F.col("place")).alias("pos"))
+
+
+def exact_negatives(nodes: DataFrame, edges: DataFrame, positives: DataFrame, per_pos: int = 1, seed: int = 0) -> DataFrame:
+    """``(src, dst)``: for each ``src`` of ``positives`` exactly ``per_pos`` times as many distinct nodes as it has positives, none of them
+    itself or a neighbour; all such nodes where there are fewer (``negative_deficits`` tells).
+
+    A source walks a ring of all nodes in hash order from a hashed start. The first ``quota + degree + 1`` steps always hold the quota, so one round
+    is enough, and all steps together are linear in edges and positives. Long walks are cut into pieces of ``WALK`` steps, so a hub is the work of many tasks. Repeated positives
+    count each time. A pair may come from both of its ends. ``edges`` must hold all known edges, each once.
+    """
+    n = nodes.count()
+    if not n:
+        return positives.select("src", "dst").limit(0)
+    taken = symmetric(edges).select("src", F.col("dst").alias("other"))
+    degree = taken.groupBy("src").agg(F.count(F.lit(1)).alias("degree"))
+    asked = positives.groupBy("src").agg((F.count(F.lit(1)) * per_pos).alias("quota")).join(degree, "src", "left")
+    a, b = mix_pair(F.col("src"), F.lit(seed)), mix_pair(F.lit(seed + 1), F.col("src"))
+    steps = F.least(F.lit(n), F.col("quota") + F.coalesce("degree", F.lit(0)) + 1)
+    walks = asked.select("src", "quota", steps.alias("steps"), F.pmod(a * F.lit(1 << 20) + F.shiftright(b, 12), F.lit(n)).alias("start"))
+    pieces = walks.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("steps") - 1) / WALK))))
+    # pieces are dealt out before they become steps, so that a hub's walk isn't one task's
+    pieces = pieces.repartition("src", "piece").withColumn("first", F.col("piece") * WALK)
+    walked = pieces.withColumn("i", F.explode(F.sequence(F.col("first"), F.least(F.col("first") + WALK, "steps") - 1)))
+    found = walked.withColumn("pos", F.pmod(F.col("start") + F.col("i"), F.lit(n))).join(ring(nodes).withColumnRenamed("id", "other"), "pos")
+    free = materialize(
+        found.where(F.col("src") != F.col("other")).join(taken, ["src", "other"], "left_anti").select("src", "other", "quota", "piece", "i"), "free"
+    )
+    before = Window.partitionBy("src").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    counted = free.groupBy("src", "piece").agg(F.count(F.lit(1)).alias("held"))
+    counted = counted.select("src", "piece", F.coalesce(F.sum("held").over(before), F.lit(0)).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("src", "piece").orderBy("i")) + F.col("before")
+    ranked = free.join(counted, ["src", "piece"]).withColumn("rank", rank)
+    return ranked.where(F.col("rank") <= F.col("quota")).select("src", F.col("other").alias("dst"))
+
+
+def negative_deficits(nodes: DataFrame, edges: DataFrame, positives: DataFrame, per_pos: int = 1) -> DataFrame:
+    """``(src, asked, possible, deficit)`` of each source of ``positives``: negatives asked for, nodes that are neither itself nor a neighbour, and what is lacking."""
+    n = nodes.count()
+    near = symmetric(edges).select("src", F.col("dst").alias("id")).unionByName(positives.select("src", F.col("src").alias("id")).distinct())
+    near = near.join(nodes.select("id"), "id", "left_semi").groupBy("src").agg(F.count(F.lit(1)).alias("near"))
+    asked = positives.groupBy("src").agg((F.count(F.lit(1)) * per_pos).alias("asked")).join(near, "src", "left")
+    possible = F.lit(n) - F.coalesce("near", F.lit(0))
+    return asked.select("src", "asked", possible.alias("possible"), F.greatest(F.lit(0), F.col("asked") - possible).alias("deficit"))
+
+
 def labelled_pairs(positives: DataFrame, negatives: DataFrame) -> DataFrame:
     """``(src, dst, y)``."""
     return positives.select("src", "dst", F.lit(1).alias("y")).unionByName(

@@ -723,6 +723,20 @@ def negative_samples(spark, sf_dir):
     return links.negative_samples(nodes, edges, held, 2)
 
 
+@query
+def exact_negatives(spark, sf_dir):
+    nodes, edges = _planted(spark, sf_dir)
+    _, held = links.split_edges(edges, SHARE)
+    return links.exact_negatives(nodes, edges, held, 2)
+
+
+@query
+def negative_deficits(spark, sf_dir):
+    nodes, edges = _planted(spark, sf_dir)
+    _, held = links.split_edges(edges, SHARE)
+    return links.negative_deficits(nodes, edges, held, 2)
+
+
 @query
 def score_links(spark, sf_dir):
     return _scored(spark, sf_dir, "distance")

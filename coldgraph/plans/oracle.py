@@ -518,6 +518,25 @@ w0 AS (SELECT 0::DOUBLE AS a, 0::DOUBLE AS b, 0::DOUBLE AS c)""",
         FROM tot, hc, hl, mi""",
     "split_edges": with_(RETAIL) + f"SELECT src, dst, CASE WHEN {HELD} THEN 'held' ELSE 'train' END AS part FROM edges",
     "negative_samples": with_(NODES, EDGES, PAIRS) + "SELECT src, dst FROM negatives",
+    "exact_negatives": with_(NODES, EDGES, PAIRS, f"""
+        ring AS (SELECT id, row_number() OVER (ORDER BY bucket, {MIX.format('id')}, id) - 1 AS pos FROM bucketed),
+        near AS (SELECT src, count(*) AS degree FROM sym GROUP BY 1),
+        asked AS (SELECT src, 2 * count(*) AS quota FROM held GROUP BY 1),
+        whole AS (SELECT count(*) AS n FROM emb),
+        walks AS (
+          SELECT src, quota, ({mix_pair('src', '0')} * 1048576 + ({mix_pair('1', 'src')} >> 12)) % n AS start,
+                 unnest(range(0, least(n, quota + coalesce(degree, 0) + 1))) AS i
+          FROM asked LEFT JOIN near USING (src), whole),
+        free AS (
+          SELECT w.src, r.id AS dst, quota, row_number() OVER (PARTITION BY w.src ORDER BY i) AS k
+          FROM (SELECT src, quota, i, (start + i) % n AS pos FROM walks, whole) w JOIN ring r USING (pos)
+          WHERE r.id <> w.src AND NOT EXISTS (SELECT 1 FROM sym s WHERE s.src = w.src AND s.dst = r.id))""")
+    + "SELECT src, dst FROM free WHERE k <= quota",
+    "negative_deficits": with_(NODES, EDGES, PAIRS, """
+        asked AS (SELECT src, 2 * count(*) AS asked FROM held GROUP BY 1),
+        near AS (SELECT src, count(*) AS degree FROM sym GROUP BY 1),
+        room AS (SELECT src, asked, (SELECT count(*) FROM emb) - 1 - degree AS possible FROM asked JOIN near USING (src))""")
+    + "SELECT src, asked, possible, greatest(0, asked - possible) AS deficit FROM room",
     "score_links": with_(NODES, EDGES, PAIRS, scored("-list_distance(a.features, b.features)"))
     + "SELECT src, dst, y, score FROM scored",
     "score_links_cosine": with_(NODES, EDGES, PAIRS, COSINE) + "SELECT src, dst, y, score FROM scored",

@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -95,6 +96,47 @@ def test_negatives_are_no_edges(spark, planted, monkeypatch):
     assert len(ends) > 450
 
 
+def test_exact_negatives_fill_every_quota(spark, planted, monkeypatch):
+    nodes, edges = planted
+    _, held = links.split_edges(edges, 0.2)
+    near = {}
+    for r in edges.collect():
+        near.setdefault(r.src, set()).add(r.dst)
+        near.setdefault(r.dst, set()).add(r.src)
+    asked = Counter(r.src for r in held.collect())
+
+    def check(found, per_pos, ids, asked):
+        got = {}
+        for r in found.collect():
+            assert r.dst != r.src and r.dst in ids and r.dst not in near.get(r.src, ())
+            assert r.dst not in got.setdefault(r.src, set())
+            got[r.src].add(r.dst)
+        for src, positives in asked.items():
+            free = len(ids - near.get(src, set()) - {src})
+            assert len(got.get(src, ())) == min(positives * per_pos, free)
+        assert set(got) <= set(asked)
+
+    ids = {r.id for r in nodes.collect()}
+    three = links.exact_negatives(nodes, edges, held, 3)
+    check(three, 3, ids, asked)
+    assert rows(three) == rows(links.exact_negatives(nodes.repartition(5), edges, held.repartition(3), 3))
+    assert rows(three) != rows(links.exact_negatives(nodes, edges, held, 3, seed=1))
+    assert links.negative_deficits(nodes, edges, held, 3).where("deficit > 0").count() == 0
+    monkeypatch.setattr(links, "WALK", 3)
+    monkeypatch.setattr(links, "BUCKET_NODES", 16)
+    check(links.exact_negatives(nodes, edges, held, 3), 3, ids, asked)
+    # More than there are: a hub linked to all but two nodes, repeated positives, a source that is no node.
+    small = spark.range(12)
+    hub = spark.createDataFrame([(0, i, 1.0) for i in range(1, 10)], "src long, dst long, weight double")
+    near = {0: set(range(1, 10)), **{i: {0} for i in range(1, 10)}}
+    positives = hub.select("src", "dst").unionByName(spark.createDataFrame([(3, 0), (3, 0), (99, 0)], "src long, dst long"))
+    check(links.exact_negatives(small, hub, positives, 2), 2, set(range(12)), Counter(r.src for r in positives.collect()))
+    lacking = {r.src: tuple(r)[1:] for r in links.negative_deficits(small, hub, positives, 2).collect()}
+    assert lacking == {0: (18, 2, 16), 3: (4, 10, 0), 99: (2, 12, 0)}
+    assert links.exact_negatives(small.limit(0), hub, positives).count() == 0
+    assert links.exact_negatives(small, hub, positives.limit(0)).count() == 0
+
+
 def test_scores(spark, make):
     nodes = make.nodes([[3.0, 4.0], [0.0, 0.0], [4.0, 3.0]])
     pairs = spark.createDataFrame([(0, 1, 1), (0, 2, 0)], "src bigint, dst bigint, y int")
